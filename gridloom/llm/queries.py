@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bitpack, chat, html, warc
+from gridloom.llm import bitpack, bpe, chat, html, warc
 from gridloom.llm.common import load
 
+BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WORD_VOCABULARY = "word_bpe_49k.json"
 WORD_IDS = 49_408
 END_ID = 2
@@ -32,6 +33,12 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_texts(load(spark, sf_dir, "pages"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of all documents."""
+    path = vocabulary or public_tokenizers.path(BYTE_VOCABULARY)
+    return bpe.digests(load(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, read back from the archives."""
     return warc.round_trip(load(spark, sf_dir, "pages"))
@@ -41,6 +48,7 @@ QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op4_chat": op4_chat,
     "op8_html": op8_html,
+    "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
 ORACLES = {"op4_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
