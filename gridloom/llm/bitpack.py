@@ -15,6 +15,8 @@ no row; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -34,7 +36,7 @@ NULL_ID = -(1 << 63)
 MANIFEST = "part int, path string, n_ids long, n_docs long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Distinct words in a generation of a worker's cache; two generations are kept.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -148,21 +150,31 @@ class PackedReader:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+#: A word of Latin letters and the ASCII marks after it: the splitter parts them, and neither composes with the other.
+_MARKED_WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+
 class WordEncoder:
     """Whole texts to ids with the tokenizers library, each distinct word encoded once.
 
     Only blanks and line ends split a text here. The vocabulary's normaliser turns white space into
     blanks and its splitter drops them, so words on either side never share a token and the ids of a
-    text are those of its words one after the other.
+    text are those of its words one after the other. A word of Latin letters, in lower case as the
+    normaliser would have it, is one unit to the splitter and its last token alone carries the mark
+    of a word's end; so such words are encoded many in a string and told apart by that mark.
     """
 
     def __init__(self, path: str, end_id: int | None):
         self.tokenizer = _tokenizer(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.end = b"" if end_id is None else array("I", [end_id]).tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -172,17 +184,23 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {"": b""}, self.known
         known = self.known
-        missing = {w for words in split for w in words if w not in known}
+        missing = set().union(*split).difference(known)
         if self.older:
-            known.update((w, found) for w in missing if (found := self.older.get(w)) is not None)
-        missing = [w for w in missing if w not in known]
-        parts = {w: _stem(w) for w in missing}
-        self._encode([w for w in set(parts.values()) if w not in known])
-        tails = {w[len(stem) :] for w, stem in parts.items()}
-        self._encode([w for w in tails if w not in known])
-        for word, stem in parts.items():
-            if len(stem) < len(word):
-                known[word] = known[stem] + known[word[len(stem) :]]
+            again = missing.intersection(self.older)
+            known.update(zip(again, map(self.older.__getitem__, again)))
+            missing -= again
+        match, parts, odd = _MARKED_WORD.fullmatch, [], []
+        plain = [w for w in missing if w.isascii() and w.isalpha() and w.islower()]
+        for w in missing.difference(plain):
+            if m := match(w):
+                parts.append((w, m[1].lower(), m[2]))
+            else:
+                odd.append(w)
+        self._encode_words(list({stem for _, stem, _ in parts if stem not in known}.union(plain)))
+        self._encode(list({tail for _, _, tail in parts if tail not in known}))
+        self._encode(odd)
+        for word, stem, tail in parts:
+            known[word] = known[stem] + known[tail]
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + self.end, "<u4") for words in split]
 
@@ -191,12 +209,17 @@ class WordEncoder:
             some = words[k : k + 4096]
             self.known.update(zip(some, (array("I", found.ids).tobytes() for found in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))))
 
-
-def _stem(word: str) -> str:
-    """word without a final comma or stop, where the splitter parts it from a letter or digit before it."""
-    if word[-1:] in ",." and len(word) > 1 and (c := word[-2]) < "\u0300" and c.isalnum() and c != "\u0130":
-        return word[:-1]
-    return word
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of Latin letters, many at once."""
+        for k in range(0, len(words), 1024):
+            some = words[k : k + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(stops) != len(some):
+                self._encode(some)
+                continue
+            data = ids.tobytes()
+            self.known.update(zip(some, map(data.__getitem__, map(slice, [0, *stops], stops))))
 
 
 @lru_cache(maxsize=2)
