@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bitpack, bpe, chat, html, warc
+from gridloom.llm import bitpack, bpe, chat, exact_dedup, html, jaccard, warc
 from gridloom.llm.common import load
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -21,6 +21,11 @@ def op1_token_binary(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     return bitpack.read_packed(bitpack.write_packed(load(spark, sf_dir, "documents"), path, WORD_IDS, END_ID))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of all documents."""
+    return jaccard.join(load(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted texts."""
     extra = spark.createDataFrame([(chat.EXTRA_ID, i, role, chat.EXTRA_TEXT) for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -28,6 +33,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_log(chat.message_log(rows), distinct_turns=True))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of all documents."""
+    return exact_dedup.dedup(load(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of all pages."""
     return html.main_texts(load(spark, sf_dir, "pages"))
@@ -46,9 +56,11 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_binary": op1_token_binary,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_chat": op4_chat,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_html": op8_html,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op4_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
