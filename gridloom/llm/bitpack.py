@@ -15,6 +15,7 @@ no row; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -232,6 +233,7 @@ def _write(folder: str, bits: int, make_encoder: Callable[[], Callable[[list[str
     schema = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64()), ("n_docs", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.set_threshold(1_000_000)  # the cache's strings are no garbage
         task = TaskContext.get()
         fs, root = filesystem(folder)
         part, writer, encode = task.partitionId(), None, None
