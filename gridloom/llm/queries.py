@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bitpack, bpe, chat, exact_dedup, html, jaccard, warc
+from gridloom.llm import bitpack, bpe, chat, exact_dedup, html, jaccard, vectors, warc
 from gridloom.llm.common import load
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -33,6 +33,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_formatted(chat.format_log(chat.message_log(rows), distinct_turns=True))
 
 
+def op5_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of all embeddings."""
+    return vectors.near_duplicates(load(spark, sf_dir, "embeddings"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of all documents."""
     return exact_dedup.dedup(load(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op4_chat": op4_chat,
+    "op5_embedding_near_dup": op5_embedding_near_dup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_html": op8_html,
     "op9_byte_bpe": op9_byte_bpe,
