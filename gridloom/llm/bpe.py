@@ -97,12 +97,13 @@ class RankMap:
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     rows.setdefault(a, {})[b] = rank
         place, table = self._laid(rows)
-        self.place, self.table = literal(place, "array<int>"), literal(table, "array<bigint>")
+        self.place = literal(place, "array<int>")
+        self.owner, self.value = (literal(x.tolist(), "array<int>") for x in (table >> ID_BITS, table & ((1 << ID_BITS) - 1)))
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         self.characters = literal([chr(i + 1) for i in range(self.n_ids)], "array<string>")
         self.words = literal_map({t.decode(LATIN): chr(r + 1) for t, r in ranks.items() if len(t) > 1})
 
-    def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], list[int]]:
+    def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], np.ndarray]:
         rng = np.random.default_rng(1)
         span = 4 * sum(map(len, rows.values())) + 64
         place, table = [0] * self.n_ids, np.full(span + self.n_ids, -1, np.int64)
@@ -112,11 +113,12 @@ class RankMap:
                 pass
             place[a] = d
             table[d + rights] = [a << ID_BITS | row[b] for b in row]
-        return place, table.tolist()
+        return place, table
 
     def merged(self, a: Column, b: Column) -> Column:
         """The id that the pair becomes, null if it is no entry."""
-        return let(F.get(self.table, F.get(self.place, a) + b), lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1).cast("int")))
+        at = F.get(self.place, a) + b
+        return F.when(F.get(self.owner, at) == a, F.get(self.value, at))
 
     def fold(self, word: Column) -> Column:
         """A word's ids, as a string of the characters id + 1: merge the pair of least rank until none is left."""
@@ -215,6 +217,8 @@ def _heap_batches(path: str, pattern: str):
 def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
     """docs with a column ``packed``, a character id + 1 for each id. A column of that name is replaced."""
     docs = docs.drop("packed")
+    # Spark keeps the text of every plan that ran, and here plans hold large literals.
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000")
     ranks = RankMap(load_ranks(path))
     known = literal_map(dictionary(docs, ranks, pattern, most))
     long_run = text_of().rlike(f"[^ \\n]{{{LONG_WORD}}}| {{{LONG_WORD}}}|\\n{{{LONG_WORD}}}")
