@@ -31,7 +31,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
-    "spark.sql.streaming.stateStore.rocksdb.resetStatsOnLoad": "false",
+    # Many small stores would else set megabytes aside for each log.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
