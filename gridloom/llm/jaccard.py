@@ -381,12 +381,12 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     least_shared = F.greatest(F.lit(1), F.least(n, F.greatest(spare + 1, F.ceil(n * FIRST / 100))) - spare - 1)
     suspects = written(classes.join(shared, "key").where(F.col("shared") >= least_shared).select("key", "doc_id", "n"), "jaccard-suspects")
 
-    texts = written(known.join(suspects, "doc_id").select("key", "n", "text").mapInArrow(_own_text(n_words), "key long, n long, text string"), "jaccard-texts")
+    texts = written(known.join(suspects.hint("merge"), "doc_id").select("key", "n", "text").mapInArrow(_own_text(n_words), "key long, n long, text string"), "jaccard-texts")
     second = texts.select("key", "text").mapInArrow(_deal_second(n_buckets, n_words, percent), DEALT_SQL).repartition(n_buckets, "bucket")
     groups = components(second.mapInArrow(_meet(percent), "a long, b long"))
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
     members = written(groups.unionByName(roots).join(suspects.select(F.col("key").alias("node"), "n"), "node").select(F.col("node").alias("key"), "n", "component"), "jaccard-groups")
-    placed = tiles(members, percent).join(texts.select("key", "text"), "key").repartition("tile").sortWithinPartitions("tile")
+    placed = tiles(members, percent).hint("merge").join(texts.select("key", "text"), "key").repartition("tile").sortWithinPartitions("tile")
     links = components(placed.select("tile", "key", "text").mapInArrow(_link_tiles(n_words, percent), "a long, b long"))
 
     # A component's id is the least document of its classes.
