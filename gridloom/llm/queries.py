@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bitpack, bpe, chat, exact_dedup, html, jaccard, vectors, warc
+from gridloom.llm import bitpack, bpe, chat, exact_dedup, html, jaccard, mixing, toxicity, vectors, warc
 from gridloom.llm.common import load
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(load(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, topic, n_tokens, probability, kept of all documents."""
+    return mixing.drawn(load(spark, sf_dir, "documents")).select("doc_id", "topic", "n_tokens", "probability", "kept")
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the formatted texts."""
     extra = spark.createDataFrame([(chat.EXTRA_ID, i, role, chat.EXTRA_TEXT) for i, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -43,6 +48,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(load(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents."""
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of all pages."""
     return html.main_texts(load(spark, sf_dir, "pages"))
@@ -62,11 +73,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_embedding_near_dup": op5_embedding_near_dup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_html": op8_html,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op3_mixing": mixing.oracle(), "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
