@@ -1,4 +1,274 @@
-"""Registered queries and their SQL."""
+"""Registered queries over whole tables, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom import schemas
+from gridloom.functions import quantize as q
+from gridloom.operators import adapters, evaluate, rewrite
+from gridloom.sources import chat
+from gridloom.sources.tables import table
+
+WIDTH = 64
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("values"))
+
+
+def _stats(k: int):
+    return lambda spark, sf_dir: q.group_stats(_vectors(spark, sf_dir), "values", k, "vec_id")
+
+
+def quant_codes(spark, sf_dir, k=32):
+    return q.code_rows(_vectors(spark, sf_dir), "values", k, "vec_id").select("vec_id", "pos", "code")
+
+
+def quant_values(spark, sf_dir, k=32):
+    return q.code_rows(_vectors(spark, sf_dir), "values", k, "vec_id").select("vec_id", "pos", "q")
+
+
+def quant_values_arrow(spark, sf_dir, k=32):
+    rows = q.quantize_arrow(_vectors(spark, sf_dir), "values", k)
+    return rows.select("vec_id", F.posexplode("values").alias("pos", "q")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def quant_idempotent(spark, sf_dir, k=32):
+    once = _vectors(spark, sf_dir).select("vec_id", q.quantize(F.col("values"), k).alias("once"))
+    both = once.select(F.explode(F.arrays_zip("once", q.quantize(F.col("once"), k).alias("twice"))).alias("v"))
+    return both.agg(F.count("*").alias("n_total"), F.count_if(F.col("v.once") != F.col("v.twice")).alias("n_changed"))
+
+
+def round_clamp(spark, sf_dir):
+    """Codes of the account balances in thousands, and the gradient that passes through."""
+    x = (F.col("c_acctbal") / 1000).alias("x")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", x)
+    return rows.select("c_custkey", q.round_clamp(F.col("x")).cast("int").alias("code"), q.straight_through(F.col("x")).alias("gradient"))
+
+
+def _weights(spark, sf_dir) -> DataFrame:
+    """A row for each label: the largest value at each place, over all vectors of the label."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("out_id"), F.posexplode("embedding").alias("at", "v"))
+    largest = rows.groupBy("out_id", "at").agg(F.max("v").alias("v"))
+    return largest.groupBy("out_id").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("p")).select("out_id", F.transform("p", lambda s: s["v"]).alias("values"))
+
+
+def linear_forward(spark, sf_dir, k=32, most=evaluate.BROADCAST_VALUES):
+    weights = _weights(spark, sf_dir)
+    bias = weights.select("out_id", (F.col("out_id") / 8).alias("bias"))
+    x = _vectors(spark, sf_dir).select(F.col("vec_id").alias("x_id"), "values")
+    y = evaluate.linear_forward(x, weights, k, bias, most)
+    return y.select("x_id", "out_id", F.round("y", 5).alias("y"))
+
+
+def embedding_gather(spark, sf_dir, k=32):
+    """Customers as sequences of two tokens, their nation and the length of their name."""
+    c = table(spark, sf_dir, "customer")
+    tokens = c.select(F.col("c_custkey").alias("seq_id"), F.posexplode(F.array(F.col("c_nationkey").cast("long"), F.length("c_name").cast("long"))).alias("pos", "token_id"))
+    rows = evaluate.embedding_lookup(tokens, _vectors(spark, sf_dir).withColumnRenamed("vec_id", "token_id"), k)
+    rows = rows.select("seq_id", F.col("pos").cast("long").alias("pos"), F.posexplode("values").alias("dim", "q"))
+    return rows.withColumn("dim", F.col("dim").cast("long"))
+
+
+#: A model's modules: path, kind, param_id, owner_param_id, bias_id, is_quantized, group_size, requires_grad, numel.
+REGISTRY = [
+    ("", "model", None, None, None, False, None, False, 0),
+    ("model", "model", None, None, None, False, None, False, 0),
+    ("model.embed_tokens", "embedding", "p_embed", "p_embed", None, False, None, True, 64000),
+    ("model.position", "embedding", "p_pos", "p_pos", None, False, None, True, 4096),
+    ("model.layers.0.q_proj", "linear", "p_q0", "p_q0", "b_q0", False, None, True, 4096),
+    ("model.layers.0.k_proj", "linear", "p_k0", "p_k0", None, False, None, True, 4096),
+    ("model.layers.0.q_norm", "norm", "p_qn0", "p_qn0", None, False, None, True, 64),
+    ("model.layers.0.norm_gate.proj", "linear", "p_ng0", "p_ng0", None, False, None, True, 4096),
+    ("model.layers.0.Norm_out", "linear", "p_no0", "p_no0", None, False, None, False, 4096),
+    ("model.layers.0.mlp.up_proj", "quant_linear", "p_up0", "p_up0", None, True, 32, True, 8192),
+    ("model.layers.0.mlp.down_proj", "linear", "p_dn0", "p_dn0", None, False, None, False, 8192),
+    ("model.norm", "norm", "p_norm", "p_norm", None, False, None, True, 64),
+    ("lm_head", "linear", "p_head", "p_embed", None, False, None, True, 64000),
+]
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REGISTRY, schemas.MODULES)
+
+
+def swap_plan(spark, sf_dir, k=64):
+    out = rewrite.swap(registry(spark), q.QuantConfig(k))
+    return out.select("path", "old_kind", F.col("kind").alias("new_kind"), "group_size", "owner_param_id")
+
+
+def param_counts(spark, sf_dir):
+    return rewrite.parameter_counts(registry(spark))
+
+
+def requant_count(spark, sf_dir):
+    return rewrite.requantized_count(rewrite.swap(registry(spark), q.QuantConfig(64)))
+
+
+def adapter_targets(spark, sf_dir):
+    return adapters.attach(registry(spark)).select("path", "kind")
+
+
+#: Adapters' rank, scale and group size in the queries: 32 divides A's width (64) and not B's (2).
+RANK, ALPHA, ADAPTER_K = 2, 4.0, 32
+
+
+def _adapters(spark, sf_dir) -> DataFrame:
+    """For each label a module: A holds the largest and least values at each place, B the first two values of each vector."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("label").cast("string").alias("module_path"), F.posexplode("embedding").alias("at", "v"))
+    ends = rows.groupBy("module_path", "at").agg(F.max("v").alias("high"), F.min("v").alias("low"))
+    packed = ends.groupBy("module_path").agg(F.array_sort(F.collect_list(F.struct("at", "high", "low"))).alias("p"))
+    a = packed.select("module_path", F.posexplode(F.array(F.transform("p", lambda s: s["high"]), F.transform("p", lambda s: s["low"]))).alias("row_idx", "values"))
+    b = e.select(F.col("label").cast("string").alias("module_path"), F.col("vec_id").alias("row_idx"), F.slice("embedding", 1, RANK).alias("values"))
+    a = a.select("module_path", F.lit("default").alias("adapter_name"), F.lit("A").alias("side"), F.col("row_idx").cast("long").alias("row_idx"), "values")
+    return a.unionByName(b.select("module_path", F.lit("default").alias("adapter_name"), F.lit("B").alias("side"), "row_idx", "values"))
+
+
+def _base(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("module_path"), F.col("vec_id").alias("row_idx"), F.col("embedding").alias("values"))
+
+
+def adapter_quant(spark, sf_dir):
+    rows = adapters.quantize_adapters(_adapters(spark, sf_dir), ADAPTER_K)
+    rows = rows.select(F.col("module_path").alias("module"), "side", F.col("row_idx").alias("row"), F.posexplode("values").alias("pos", "q"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+def adapter_touch_count(spark, sf_dir):
+    return adapters.touched_count(_adapters(spark, sf_dir), ADAPTER_K)
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    return adapters.merge(_base(spark, sf_dir), adapters.quantize_adapters(_adapters(spark, sf_dir), ADAPTER_K), ALPHA, RANK)
+
+
+def adapter_merge(spark, sf_dir):
+    rows = _merged(spark, sf_dir).select(F.col("module_path").alias("module"), F.col("row_idx").alias("row"), F.posexplode("values").alias("pos", "w"))
+    return rows.select("module", "row", F.col("pos").cast("long").alias("pos"), F.round(F.col("w").cast("double"), 5).alias("w"))
+
+
+def save_pipeline(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("path")).distinct()
+    modules = labels.select("path", F.lit(rewrite.QUANT_LINEAR).alias("kind"), F.lit(ADAPTER_K).alias("group_size"))
+    out = adapters.save_pipeline(_base(spark, sf_dir), _adapters(spark, sf_dir), modules, ALPHA, RANK, ADAPTER_K)
+    rows = out.select(F.col("module_path").alias("module"), F.col("row_idx").alias("row"), F.posexplode("values").alias("pos", "q"))
+    return rows.select("module", "row", F.col("pos").cast("long").alias("pos"), F.round(F.col("q").cast("double"), 5).alias("q"))
+
+
+def _chats(spark, sf_dir) -> DataFrame:
+    """conversations under source role names: the fixture has the roles that they become."""
+    source = F.col("role")
+    for name, role in chat.ROLES.items():
+        source = F.when(F.col("role") == role, F.lit(name)).otherwise(source)
+    return chat.from_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", source.alias("from"), F.col("text").alias("value")))
+
+
+def chat_role_map(spark, sf_dir):
+    rows = _chats(spark, sf_dir).select("conv_id", F.posexplode(chat.messages(F.col("conversations"))).alias("turn", "m"))
+    return rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
+
+
+def chat_render(spark, sf_dir):
+    rows = _chats(spark, sf_dir).select("conv_id", chat.messages(F.col("conversations")).alias("m"))
+    return rows.select("conv_id", F.size("m").cast("long").alias("n_msgs"), chat.render(F.col("m")).alias("full_text"), chat.prompt(F.col("m")).alias("prompt_text"))
+
+
+def chat_labels(spark, sf_dir):
+    rows = chat.prepare(_chats(spark, sf_dir)).select("conv_id", F.posexplode(F.arrays_zip("input_ids", "labels")).alias("pos", "v"))
+    return rows.select("conv_id", F.col("pos").cast("long").alias("pos"), F.col("v.input_ids").alias("input_id"), F.col("v.labels").alias("label"))
+
+
+def chat_first_300(spark, sf_dir):
+    return chat.first(_chats(spark, sf_dir)).select("conv_id", F.size("conversations").cast("long").alias("n_msgs"))
+
+
+QUERIES = {
+    "quant_group_stats_k64": _stats(64), "quant_group_stats_k32": _stats(32), "quant_group_stats_k16": _stats(16), "round_clamp": round_clamp,
+    "quant_codes_k32": quant_codes, "quant_values_k32": quant_values, "quant_values_arrow_k32": quant_values_arrow, "quant_idempotent_k32": quant_idempotent,
+    "linear_forward": linear_forward, "linear_forward_join": lambda spark, sf_dir: linear_forward(spark, sf_dir, most=0), "embedding_gather": embedding_gather,
+    "swap_plan": swap_plan, "param_counts": param_counts, "requant_count": requant_count, "adapter_targets": adapter_targets,
+    "adapter_quant": adapter_quant, "adapter_touch_count": adapter_touch_count, "adapter_merge": adapter_merge, "save_pipeline": save_pipeline,
+    "chat_role_map": chat_role_map, "chat_render": chat_render, "chat_labels": chat_labels, "chat_first_300": chat_first_300,
+}
+
+
+def _long(k: int, source: str = "SELECT vec_id, embedding AS v FROM embeddings") -> str:
+    """CTEs for a row for each value: vec_id, pos, w, alpha, code."""
+    return f"""src AS ({source}),
+cut AS (SELECT vec_id, (generate_subscripts(v, 1) - 1)::BIGINT AS pos, unnest(v)::FLOAT AS w FROM src),
+scaled AS (SELECT *, pos // {k} AS g, greatest(max(abs(w)) OVER (PARTITION BY vec_id, pos // {k}), 1e-8::FLOAT) AS alpha FROM cut),
+coded AS (SELECT *, round_even(w::DOUBLE / alpha::DOUBLE, 0)::INTEGER AS code FROM scaled)"""
+
+
+def _stats_sql(k: int) -> str:
+    return f"WITH {_long(k)} SELECT vec_id, g, any_value(alpha) AS alpha, count(*) FILTER (code = -1) AS n_neg, count(*) FILTER (code = 0) AS n_zero, count(*) FILTER (code = 1) AS n_pos FROM coded GROUP BY vec_id, g"
+
+
+_VALUES_SQL = f"WITH {_long(32)} SELECT vec_id, pos, (code * alpha)::FLOAT AS q FROM coded"
+
+
+def _rows_sql() -> str:
+    show = lambda x: "NULL" if x is None else (str(x).lower() if isinstance(x, bool) else (f"'{x}'" if isinstance(x, str) else str(x)))
+    rows = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in REGISTRY)
+    return f"modules(path, kind, param_id, owner_param_id, bias_id, is_quantized, group_size, requires_grad, numel) AS (VALUES {rows})"
+
+
+_SWAP_SQL = f"""WITH {_rows_sql()}, s AS (
+  SELECT *, CASE WHEN path = '' THEN kind WHEN kind = 'embedding' AND path LIKE '%embed%' THEN 'quant_embedding'
+                 WHEN kind = 'linear' AND path NOT LIKE '%norm%' THEN 'quant_linear' ELSE kind END AS new_kind FROM modules)
+SELECT path, kind AS old_kind, new_kind, (CASE WHEN new_kind <> kind THEN 64 ELSE group_size END)::INTEGER AS group_size,
+       CASE WHEN path = 'lm_head' THEN 'p_embed' WHEN new_kind <> kind THEN param_id ELSE owner_param_id END AS owner_param_id FROM s"""
+
+_ADAPTER_SQL = f"""e AS (SELECT label::VARCHAR AS module, vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, unnest(embedding)::FLOAT AS v FROM embeddings),
+ends AS (SELECT module, pos, max(v) AS high, min(v) AS low FROM e GROUP BY module, pos),
+a AS (SELECT module, 0::BIGINT AS r, pos, high AS v FROM ends UNION ALL SELECT module, 1, pos, low FROM ends),
+s AS (SELECT *, greatest(max(abs(v)) OVER (PARTITION BY module, r, pos // {ADAPTER_K}), 1e-8::FLOAT) AS alpha FROM a),
+aq AS (SELECT module, r, pos, (round_even(v::DOUBLE / alpha::DOUBLE, 0) * alpha + 0.0)::FLOAT AS q FROM s),
+b AS (SELECT module, vec_id, pos AS r, v FROM e WHERE pos < {RANK})"""
+_MERGE_SQL = f"""{_ADAPTER_SQL},
+m AS (SELECT e.module, e.vec_id, e.pos, (e.v::DOUBLE + (b0.v::DOUBLE * a0.q::DOUBLE + b1.v::DOUBLE * a1.q::DOUBLE) * {ALPHA / RANK})::FLOAT AS w FROM e
+  JOIN b b0 ON b0.vec_id = e.vec_id AND b0.module = e.module AND b0.r = 0 JOIN b b1 ON b1.vec_id = e.vec_id AND b1.module = e.module AND b1.r = 1
+  JOIN aq a0 ON a0.module = e.module AND a0.pos = e.pos AND a0.r = 0 JOIN aq a1 ON a1.module = e.module AND a1.pos = e.pos AND a1.r = 1)"""
+
+_CHAT_SQL = """m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n,
+  '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS body FROM conversations),
+r AS (SELECT conv_id, any_value(n)::BIGINT AS n_msgs, string_agg(body, '' ORDER BY turn) AS full_text,
+  coalesce(string_agg(body, '' ORDER BY turn) FILTER (k < n - 1), '') || '<|im_start|>assistant' || chr(10) AS prompt_text FROM m GROUP BY conv_id)"""
+
+ORACLES = {
+    **{f"quant_group_stats_k{k}": _stats_sql(k) for k in (64, 32, 16)},
+    "round_clamp": "SELECT c_custkey, greatest(-1, least(1, round_even(c_acctbal / 1000, 0)))::INTEGER AS code, c_acctbal / 1000 AS gradient FROM customer",
+    "quant_codes_k32": f"WITH {_long(32)} SELECT vec_id, pos, code FROM coded",
+    "quant_values_k32": _VALUES_SQL,
+    "quant_values_arrow_k32": _VALUES_SQL,
+    "quant_idempotent_k32": "SELECT sum(len(embedding))::BIGINT AS n_total, 0::BIGINT AS n_changed FROM embeddings",
+    "embedding_gather": f"""WITH {_long(32)},
+t AS (SELECT c_custkey AS seq_id, 0::BIGINT AS pos, c_nationkey::BIGINT AS token_id FROM customer UNION ALL SELECT c_custkey, 1, length(c_name) FROM customer)
+SELECT t.seq_id, t.pos, c.pos AS dim, (c.code * c.alpha)::FLOAT AS q FROM t JOIN coded c ON c.vec_id = t.token_id""",
+    "swap_plan": _SWAP_SQL,
+    "param_counts": f"""WITH {_rows_sql()}, o AS (SELECT coalesce(owner_param_id, param_id) AS owner, max(numel) AS numel, bool_or(requires_grad) AS t FROM modules WHERE param_id IS NOT NULL GROUP BY 1)
+SELECT sum(numel)::BIGINT AS n_total, sum(numel) FILTER (t)::BIGINT AS n_trainable FROM o""",
+    "requant_count": f"SELECT count(*) AS n FROM ({_SWAP_SQL}) WHERE new_kind LIKE 'quant%'",
+    "adapter_targets": f"WITH {_rows_sql()} SELECT path, kind FROM modules WHERE regexp_matches(path, '(^|[.])(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)$')",
+    "adapter_quant": f"WITH {_ADAPTER_SQL} SELECT module, 'A' AS side, r AS row, pos, q FROM aq UNION ALL SELECT module, 'B', vec_id, r, v FROM b",
+    "adapter_touch_count": "SELECT count(DISTINCT label) AS n FROM embeddings",
+    "adapter_merge": f"WITH {_MERGE_SQL} SELECT module, vec_id AS row, pos, round(w::DOUBLE, 5) AS w FROM m",
+    "save_pipeline": f"""WITH {_MERGE_SQL}, z AS (SELECT *, greatest(max(abs(w)) OVER (PARTITION BY vec_id, pos // {ADAPTER_K}), 1e-8::FLOAT) AS alpha FROM m)
+SELECT module, vec_id AS row, pos, round((round_even(w::DOUBLE / alpha::DOUBLE, 0) * alpha)::FLOAT::DOUBLE, 5) + 0.0 AS q FROM z""",
+    "chat_role_map": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS turn, role, text AS content FROM conversations",
+    "chat_render": f"WITH {_CHAT_SQL} SELECT * FROM r",
+    "chat_labels": f"""WITH {_CHAT_SQL},
+w AS (SELECT conv_id, list_filter(regexp_split_to_array(full_text, '\\s+'), lambda x: x <> '')[1:{chat.LONGEST}] AS ids,
+  least(len(list_filter(regexp_split_to_array(prompt_text, '\\s+'), lambda x: x <> '')), {chat.LONGEST}) AS p FROM r),
+x AS (SELECT conv_id, p, ids, unnest(range(greatest(len(ids), p))) AS pos FROM w),
+y AS (SELECT conv_id, pos, p, ids, CASE WHEN pos < len(ids) THEN ('0x' || substr(md5(ids[pos + 1]), 1, 6))::BIGINT END AS input_id FROM x)
+SELECT conv_id, pos::BIGINT AS pos, input_id, CASE WHEN pos < p THEN {chat.IGNORED} ELSE input_id END::BIGINT AS label FROM y""",
+    "chat_first_300": "SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 300",
+}
+_FORWARD_SQL = f"""WITH {_long(32, "SELECT out_id AS vec_id, list(v ORDER BY pos) AS v FROM (SELECT label::BIGINT AS out_id, pos, max(v) AS v FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2) GROUP BY 1")},
+x AS (SELECT vec_id AS x_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, unnest(embedding)::FLOAT AS v FROM embeddings)
+SELECT x.x_id, c.vec_id AS out_id, round(sum(x.v::DOUBLE * (c.code * c.alpha)::FLOAT::DOUBLE) + any_value(c.vec_id / 8), 5) + 0.0 AS y FROM x JOIN coded c USING (pos) GROUP BY 1, 2"""
+ORACLES |= {"linear_forward": _FORWARD_SQL, "linear_forward_join": _FORWARD_SQL}
