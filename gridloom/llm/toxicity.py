@@ -44,7 +44,7 @@ from gridloom.llm.common import short_batches, text_of
 DECAY, SPAN = 0.7, 6
 BINS = 1 << 21
 #: Labelled rows of a class that teach; landmarks of either kind; rounds of choosing witnesses.
-MOST_LABELLED, LANDMARKS, ROUNDS = 4000, 256, 4
+MOST_LABELLED, LANDMARKS, ROUNDS = 3000, 160, 4
 #: A word is surely toxic if chance would put it into toxic documents alone once in ten to this power.
 SURE = 8
 THRESHOLD = 0.7
@@ -162,9 +162,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     labels = np.array(toxic, int)
     if len(set(toxic)) < 2:
         return None
-    bags, kept, seen = [], [], set()
+    bags, kept, seen, names = [], [], set(), {}
     for place, text in enumerate(texts):
-        bag = sorted({w for s in _SENTENCE.split(text or "") for w in words_of(s)})
+        bag = sorted({names.setdefault(w, w) for s in _SENTENCE.split(text or "") for w in words_of(s)})
         # Copies and most near copies teach once: their chance words would look sure.
         sketch = (toxic[place], *sorted(zlib.crc32(w.encode()) for w in bag)[:2])
         if sketch not in seen:
@@ -182,25 +182,26 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
 
     places, bins, weights = subsequences(marks)
     used, columns = np.unique(bins, return_inverse=True)
-    phi = np.zeros((len(marks), len(used)))
+    phi = np.zeros((len(marks), len(used)), np.float32)
     np.add.at(phi, (places, columns), weights)
-    values, vectors = np.linalg.eigh(phi @ phi.T)
+    values, vectors = np.linalg.eigh((phi @ phi.T).astype(np.float64))
     kept = values > 1e-3 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
     # table[:, k]: the weight that coordinate k of the Nyström space gives to each subsequence in use.
-    table = np.zeros((BINS, 0)) if not kept.any() else phi.T @ root
-    where = np.full(BINS, -1)
+    table = phi.T @ root.astype(np.float32)
+    where = np.full(BINS, -1, np.int32)
     where[used] = np.arange(len(used))
 
     def mapped(words: list[str]) -> np.ndarray:
-        places, bins, weights = subsequences(words)
-        known = where[bins] >= 0
         out = np.zeros((len(words), table.shape[1]))
-        for k in range(0, len(words), 2000):
-            some = known & (places >= k) & (places < k + 2000)
-            sparse = np.zeros((min(2000, len(words) - k), len(used)))
-            np.add.at(sparse, (places[some] - k, where[bins[some]]), weights[some])
-            out[k : k + 2000] = sparse @ table
+        for k in range(0, len(words), 500):
+            places, bins, weights = subsequences(words[k : k + 500])
+            known = np.flatnonzero(where[bins] >= 0)
+            known = known[np.argsort(places[known], kind="stable")]
+            if len(known):
+                rows = table[where[bins[known]]] * weights[known, None].astype(np.float32)
+                starts = np.flatnonzero(np.diff(places[known], prepend=-1))
+                out[k + places[known][starts]] = np.add.reduceat(rows, starts)
         return out
 
     score = {w: odds.get(w, -5.0) * min(1.0, df1[w] / 5) for w in set(df1) | set(df0)}
