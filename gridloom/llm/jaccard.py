@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ WORDS, PERCENT = 5, 75
 #: The share of a set's elements that is dealt out first, in percent.
 FIRST = 40
 #: Classes in a tile part.
-TILE = 1024
+TILE = 2048
 #: Documents whose words are hashed at once, and bytes of text at once.
-BATCH = 256
+BATCH, BATCH_BYTES = 512, 1 << 21
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -129,9 +130,15 @@ def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of at most BATCH rows and, but for a longer single text, BATCH_BYTES of text."""
     for batch in batches:
-        for k in range(0, batch.num_rows, BATCH):
-            yield batch.slice(k, BATCH)
+        bytes_to = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))])
+        k = 0
+        while k < batch.num_rows:
+            stop = int(np.searchsorted(bytes_to, bytes_to[k] + BATCH_BYTES, side="right")) - 1
+            stop = max(k + 1, min(stop, k + BATCH))
+            yield batch.slice(k, stop - k)
+            k = stop
 
 
 DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])

@@ -131,7 +131,7 @@ def test_jaccard_against_brute_force(spark, docs, empty):
     assert jaccard.join(empty).count() == 0
 
 
-@pytest.mark.parametrize("tile", [1024, 4])
+@pytest.mark.parametrize("tile", [2048, 4])
 def test_jaccard_on_families(spark, tile, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(jaccard.tiles, "__defaults__", (jaccard.PERCENT, tile))
