@@ -98,7 +98,7 @@ class RankMap:
                     rows.setdefault(a, {})[b] = rank
         place, table = self._laid(rows)
         self.place = literal(place, "array<int>")
-        self.owner, self.value = (literal(x.tolist(), "array<int>") for x in (table >> ID_BITS, table & ((1 << ID_BITS) - 1)))
+        self.table = literal(table.tolist(), "array<bigint>")
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         self.characters = literal([chr(i + 1) for i in range(self.n_ids)], "array<string>")
         self.words = literal_map({t.decode(LATIN): chr(r + 1) for t, r in ranks.items() if len(t) > 1})
@@ -117,8 +117,7 @@ class RankMap:
 
     def merged(self, a: Column, b: Column) -> Column:
         """The id that the pair becomes, null if it is no entry."""
-        at = F.get(self.place, a) + b
-        return F.when(F.get(self.owner, at) == a, F.get(self.value, at))
+        return let(F.get(self.table, F.get(self.place, a) + b), lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1).cast("int")))
 
     def fold(self, word: Column) -> Column:
         """A word's ids, as a string of the characters id + 1: merge the pair of least rank until none is left."""
