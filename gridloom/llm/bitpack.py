@@ -37,7 +37,7 @@ NULL_ID = -(1 << 63)
 MANIFEST = "part int, path string, n_ids long, n_docs long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Distinct words in a generation of a worker's cache; two generations are kept.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -187,9 +187,10 @@ class WordEncoder:
         known = self.known
         missing = set().union(*split).difference(known)
         if self.older:
-            again = missing.intersection(self.older)
-            known.update(zip(again, map(self.older.__getitem__, again)))
-            missing -= again
+            older = self.older
+            again = [w for w in missing if w in older]
+            known.update(zip(again, map(older.__getitem__, again)))
+            missing.difference_update(again)
         match, parts, odd = _MARKED_WORD.fullmatch, [], []
         plain = [w for w in missing if w.isascii() and w.isalpha() and w.islower()]
         for w in missing.difference(plain):
