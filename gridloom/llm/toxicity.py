@@ -245,8 +245,8 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list, list]:
-    """Texts and labels of at most ``most`` teaching rows of each class; only those reach the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """(label_id, text, toxic) of at most ``most`` teaching rows of each class."""
     teach = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     teach = teach.where(F.crc32(F.col("label_id").cast("string").cast("binary")) % 3 != 1).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     some = None
@@ -254,9 +254,15 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> t
         part = teach.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
         some = part if some is None else some.unionByName(part)
     # At most 2 * most rows of two numbers: a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
-    found = sorted(rows.collect(), key=lambda r: (r["label_id"], r["text"] or ""))
-    return [r["text"] for r in found], [r["toxic"] for r in found]
+    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("label_id", "text", "toxic")))), key=lambda r: (r[0], r[1] or ""))
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    if model:
+        bins = np.flatnonzero(model.weights).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"bins": [bins.tolist()], "weights": [model.weights[bins].astype(np.float64).tolist()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
 
 
 def _score(model: Model | None):
@@ -284,7 +290,14 @@ def _score(model: Model | None):
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
-    return train(*labelled(docs, labels, most))
+    """The model of the labelled rows among docs, trained by one task on its bounded sample; None without both classes."""
+    short_batches(docs.sparkSession, 512)
+    rows = labelled(docs, labels, most).repartition(1).mapInArrow(_train, "bins array<int>, weights array<double>, bias double, slope double, offset double").collect()
+    if not rows:
+        return None
+    weights = np.zeros(BINS, np.float32)
+    weights[rows[0]["bins"]] = rows[0]["weights"]
+    return Model(weights, rows[0]["bias"], rows[0]["slope"], rows[0]["offset"])
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
