@@ -261,7 +261,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("label_id", "text", "toxic")))), key=lambda r: (r[0], r[1] or ""))
     model = train([r[1] for r in rows], [r[2] for r in rows])
     if model:
-        bins = np.flatnonzero(model.weights).astype(np.int32)
+        bins = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_pydict({"bins": [bins.tolist()], "weights": [model.weights[bins].astype(np.float64).tolist()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
 
 
@@ -292,7 +292,7 @@ def _score(model: Model | None):
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
     """The model of the labelled rows among docs, trained by one task on its bounded sample; None without both classes."""
     short_batches(docs.sparkSession, 512)
-    rows = labelled(docs, labels, most).repartition(1).mapInArrow(_train, "bins array<int>, weights array<double>, bias double, slope double, offset double").collect()
+    rows = labelled(docs, labels, most).repartition(1).mapInArrow(_train, "bins array<long>, weights array<double>, bias double, slope double, offset double").collect()
     if not rows:
         return None
     weights = np.zeros(BINS, np.float32)
