@@ -25,7 +25,7 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -101,7 +101,8 @@ class RankMap:
         self.table = literal(table.tolist(), "array<bigint>")
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         self.characters = literal([chr(i + 1) for i in range(self.n_ids)], "array<string>")
-        self.words = literal_map({t.decode(LATIN): chr(r + 1) for t, r in ranks.items() if len(t) > 1})
+        # An entry is its own token even where its merges do not lead to it.
+        self.apart = literal_map(((t.decode(LATIN), chr(r + 1)) for t, r in ranks.items() if len(t) > 1 and merge_heap(t, ranks) != [r]), 16)
 
     def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], np.ndarray]:
         rng = np.random.default_rng(1)
@@ -135,17 +136,18 @@ class RankMap:
             return F.array_join(F.transform(ids, lambda i: F.get(self.characters, i)), "")
 
         def slow(w: Column) -> Column:
-            return F.coalesce(find(self.words, w), let(F.transform(F.split(w, ""), lambda c: F.get(self.bytes, F.ascii(c))), run))
+            return F.coalesce(find(self.apart, w, 16), let(F.transform(F.split(w, ""), lambda c: F.get(self.bytes, F.ascii(c))), run))
 
         return let(latin(word), slow)
 
 
-def literal_map(entries: dict[str, str], buckets: int = BUCKETS) -> Column:
+def literal_map(entries: Iterable[tuple[str, str]], buckets: int = BUCKETS) -> Column:
     """A foldable array of small maps, an entry in the map that its key's hash picks: a Spark map is searched from end to end."""
-    maps: list[dict] = [{} for _ in range(buckets)]
-    for key, value in entries.items():
-        maps[xxhash.xxh64_intdigest(key.encode(), seed=42) % buckets][key] = value
-    return literal(maps, "array<map<string,string>>")
+    maps = [""] * buckets
+    for key, value in entries:
+        k = xxhash.xxh64_intdigest(key.encode(), seed=42) % buckets
+        maps[k] += ("," if maps[k] else "") + json.dumps(key) + ":" + json.dumps(value)
+    return F.from_json(F.lit("[{" + "},{".join(maps) + "}]"), "array<map<string,string>>")
 
 
 def find(maps: Column, key: Column, buckets: int = BUCKETS) -> Column:
@@ -168,16 +170,20 @@ def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> Dat
     return counts.where(F.col("n") >= least)
 
 
-def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int = DICTIONARY) -> dict[str, str]:
-    """Ids of the frequent words; at most ``most`` entries reach the driver."""
-    found = frequent_words(docs, pattern, most).select("word", ranks.fold(F.col("word")).alias("ids"))
-    return {row["word"]: row["ids"] for row in found.toLocalIterator(prefetchPartitions=True)}
+def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int = DICTIONARY) -> Iterator[tuple[str, str]]:
+    """(word, ids) of the frequent words; at most ``most`` entries reach the driver."""
+    found = written(frequent_words(docs, pattern, most).select("word", ranks.fold(F.col("word")).alias("ids")), "word-ids")
+    return ((row["word"], row["ids"]) for row in found.toLocalIterator())
 
 
 def encode_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a word by a heap of pairs: time in proportion to n log n."""
-    if (whole := ranks.get(word)) is not None:
-        return [whole]
+    """Ids of a word."""
+    whole = ranks.get(word)
+    return merge_heap(word, ranks) if whole is None else [whole]
+
+
+def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids that the merges lead to, by a heap of pairs: time in proportion to n log n."""
     n = len(word)
     stop = list(range(1, n + 1))  # where the piece that starts here ends; 0 for a start that is gone
     back = list(range(-1, n - 1))
