@@ -13,8 +13,8 @@ once to sample.
 Defined results: null source or language is a value of its own, written ``(none)``; a null or empty
 text has no tokens and the topic of plain text; a cell without tokens has probability one; a null
 doc_id is drawn like the id -1; rows that repeat a doc_id are drawn alike; margins whose targets
-cannot all be met end as near as the last round brings them; an empty table gives no rows; other
-columns stay as they are, columns named like the results are replaced.
+cannot all be met end as near as the last round brings them; an empty table gives no rows; drawn()
+replaces columns named like its results, sample() leaves every column as it was.
 """
 
 from __future__ import annotations
@@ -123,8 +123,9 @@ def drawn(docs: DataFrame, share: float = SHARE, targets=None, topic: Callable[[
 
 
 def sample(docs: DataFrame, share: float = SHARE, targets=None) -> DataFrame:
-    """The drawn rows of docs, its columns alone."""
-    return drawn(docs, share, targets).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The drawn rows of docs, its columns as they were."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    return drawn(docs.select("doc_id", "text", "lang", "source", whole), share, targets).where("kept").select("whole.*")
 
 
 def oracle(share: float = SHARE, rounds: int = ROUNDS, table: str = "documents") -> str:

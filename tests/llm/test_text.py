@@ -209,6 +209,7 @@ def test_mixing_cases(docs, empty):
     assert all(0 <= r["probability"] <= 1 for r in drawn)
     kept = mixing.sample(docs)
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in drawn)
+    assert {r["topic"] for r in kept.collect()} <= {"e"}
     assert mixing.drawn(empty).count() == 0
 
 
@@ -341,6 +342,19 @@ def test_queries_against_sql(spark, name):
     assert [tuple(map(str, r)) for r in show(got)] == [tuple(map(str, r)) for r in show(want)]
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
+def test_stages_on_odd_rows(spark, docs, empty):
+    import corpus_pipeline as pipeline
+
+    odd = docs.withColumn("gone", F.lit("e"))
+    for table in (odd, odd.limit(0)):
+        stage = table
+        for _, f in pipeline.STAGES[:-1]:
+            stage = pipeline.written(f(spark, stage, DATA), "test-odd")
+            assert stage.columns == odd.columns
+        assert pipeline.STAGES[-1][1](spark, stage, DATA).count() == stage.count()
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as pipeline
