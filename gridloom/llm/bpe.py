@@ -236,34 +236,35 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) ->
 
 def id_array(packed: Column) -> Column:
     """array<int> of packed ids."""
-    return F.transform(_characters(packed), lambda c: F.ascii(c) - 1)
+    characters = F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
+    return F.transform(characters, lambda c: F.ascii(c) - 1)
 
 
-def _characters(packed: Column) -> Column:
-    return F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
+def id_bytes(ids: Column, path: str) -> Column:
+    """An array of ids as little-endian unsigned 32-bit integers."""
+    return F.encode(_joined(ids, [chr(i) + "\0" for i in range(max(load_ranks(path).values()) + 1)]), "UTF-16LE")
 
 
-def id_bytes(packed: Column, path: str) -> Column:
-    """Packed ids as little-endian unsigned 32-bit integers."""
-    units = literal([chr(i) + "\0" for i in range(max(load_ranks(path).values()) + 1)], "array<string>")
-    return F.encode(F.array_join(F.transform(_characters(packed), lambda c: F.get(units, F.ascii(c) - 1)), ""), "UTF-16LE")
-
-
-def decode(packed: Column, path: str) -> Column:
-    """The bytes of packed ids: each id's piece, concatenated."""
+def decode(ids: Column, path: str) -> Column:
+    """The bytes of an array of ids: each id's piece, concatenated."""
     ranks = load_ranks(path)
     by_id = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token.decode(LATIN)
+    return F.encode(_joined(ids, by_id), LATIN)
+
+
+def _joined(ids: Column, by_id: list[str]) -> Column:
     pieces = literal(by_id, "array<string>")
-    return F.encode(F.array_join(F.transform(_characters(packed), lambda c: F.get(pieces, F.ascii(c) - 1)), ""), LATIN)
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
 
 
 def digests(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text), the text decoded from the ids."""
     encoded = encode(docs.select("doc_id", "text"), path, pattern, most)
-    packed = F.col("packed")
-    return encoded.select("doc_id", F.length(packed).cast("long").alias("n_tokens"), F.sha2(id_bytes(packed, path), 256).alias("ids_sha256"), F.sha2(decode(packed, path), 256).alias("decoded_sha256"))
+    ids = F.col("ids")
+    read = encoded.select("doc_id", id_array(F.col("packed")).alias("ids"))
+    return read.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(id_bytes(ids, path), 256).alias("ids_sha256"), F.sha2(decode(ids, path), 256).alias("decoded_sha256"))
 
 
 def digests_of_text(texts: list[str | None], path: str, pattern: str) -> list[tuple[int, str, str]]:
