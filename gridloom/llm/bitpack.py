@@ -37,7 +37,7 @@ NULL_ID = -(1 << 63)
 MANIFEST = "part int, path string, n_ids long, n_docs long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Distinct words in a generation of a worker's cache; two generations are kept.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -181,13 +181,28 @@ class WordEncoder:
         self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known, self.older = {"": b""}, self.known
+        get, rows, gaps, missing = self.known.get, [], [], set()
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
+            row = list(map(get, words))
+            gap = [(k, words[k]) for k, found in enumerate(row) if found is None]
+            missing.update([w for _, w in gap])
+            rows.append(row)
+            gaps.append(gap)
+        self._learn(missing)
         known = self.known
-        missing = set().union(*split).difference(known)
-        if self.older:
-            older = self.older
+        for row, gap in zip(rows, gaps):
+            for k, word in gap:
+                row[k] = known[word]
+            row.append(self.end)
+        return [np.frombuffer(b"".join(row), "<u4") for row in rows]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Puts the words into the cache, from its older generation or encoded."""
+        known, older = self.known, self.older
+        if older:
             again = [w for w in missing if w in older]
             known.update(zip(again, map(older.__getitem__, again)))
             missing.difference_update(again)
@@ -203,8 +218,6 @@ class WordEncoder:
         self._encode(odd)
         for word, stem, tail in parts:
             known[word] = known[stem] + known[tail]
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + self.end, "<u4") for words in split]
 
     def _encode(self, words: list[str]) -> None:
         for k in range(0, len(words), 4096):
