@@ -3,8 +3,8 @@
 A text is split by the vocabulary's pattern. A word becomes an array of its bytes' ids;
 ``aggregate`` folds over it the ranked merges, each step joining the adjacent pair of least rank,
 leftmost first. The rank map is a literal table of pairs. A word that is a vocabulary entry is its
-own token. Ids are held as a string with the character id + 1 for each id, which joins, splits and
-re-encodes without a boxed integer for each token.
+own token. Ids are held as a string with the character of that number for each id, which joins, splits
+and re-encodes without a boxed integer for each token.
 
 Each of the corpus's frequent words is folded once: all words of all texts are counted, words over
 a count that at most ``DICTIONARY`` words reach are encoded, and the result is a second literal
@@ -43,7 +43,7 @@ LONG_WORD = 256
 #: Maps in a literal.
 BUCKETS = 1 << 16
 #: Bits that hold an id in the pair table, and the ids that fit in single UTF-16 units.
-ID_BITS, MOST_IDS = 17, 0xD7FF
+ID_BITS, MOST_IDS = 16, 0xD7FF
 LATIN = "ISO-8859-1"
 
 
@@ -98,30 +98,31 @@ class RankMap:
                     rows.setdefault(a, {})[b] = rank
         place, table = self._laid(rows)
         self.place = literal(place, "array<int>")
-        self.table = literal(table.tolist(), "array<bigint>")
+        self.mask, self.table = len(table) - 1, literal(table.tolist(), "array<int>")
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        self.characters = literal([chr(i + 1) for i in range(self.n_ids)], "array<string>")
         # An entry is its own token even where its merges do not lead to it.
-        self.apart = literal_map(((t.decode(LATIN), chr(r + 1)) for t, r in ranks.items() if len(t) > 1 and merge_heap(t, ranks) != [r]), 16)
+        self.apart = literal_map(((t.decode(LATIN), chr(r)) for t, r in ranks.items() if len(t) > 1 and merge_heap(t, ranks) != [r]), 16)
 
     def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], np.ndarray]:
         rng = np.random.default_rng(1)
-        span = 4 * sum(map(len, rows.values())) + 64
-        place, table = [0] * self.n_ids, np.full(span + self.n_ids, -1, np.int64)
+        span = 1 << (2 * sum(map(len, rows.values())) + 64).bit_length()
+        place, table = [0] * self.n_ids, np.full(span, -1, np.int64)
         for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
             rights = np.fromiter(row, np.int64)
-            while (table[(d := int(rng.integers(span))) + rights] >= 0).any():
+            while (table[(at := ((d := int(rng.integers(span))) + rights) & (span - 1))] >= 0).any():
                 pass
             place[a] = d
-            table[d + rights] = [a << ID_BITS | row[b] for b in row]
-        return place, table
+            table[at] = [a << ID_BITS | row[b] for b in row]
+        # Signed 32-bit entries; -1 is free, as no left id has all bits set.
+        return place, table.astype(np.uint32).astype(np.int32)
 
     def merged(self, a: Column, b: Column) -> Column:
         """The id that the pair becomes, null if it is no entry."""
-        return let(F.get(self.table, F.get(self.place, a) + b), lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1).cast("int")))
+        at = (F.get(self.place, a) + b).bitwiseAND(self.mask)
+        return let(F.get(self.table, at), lambda x: F.when(F.shiftrightunsigned(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1)))
 
     def fold(self, word: Column) -> Column:
-        """A word's ids, as a string of the characters id + 1: merge the pair of least rank until none is left."""
+        """A word's ids, as a string of the characters of these numbers: merge the pair of least rank until none is left."""
 
         def step(pieces: Column, _: Column) -> Column:
             costs = F.zip_with(pieces, F.slice(pieces, 2, 1 << 30), self.merged)
@@ -133,7 +134,7 @@ class RankMap:
 
         def run(pieces: Column) -> Column:
             ids = F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
-            return F.array_join(F.transform(ids, lambda i: F.get(self.characters, i)), "")
+            return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 4, "0")), "")), "UTF-16BE")
 
         def slow(w: Column) -> Column:
             return F.coalesce(find(self.apart, w, 16), let(F.transform(F.split(w, ""), lambda c: F.get(self.bytes, F.ascii(c))), run))
@@ -213,14 +214,14 @@ def _heap_batches(path: str, pattern: str):
 
         ranks, splitter = load_ranks(path), regex.compile(pattern)
         for batch in batches:
-            ids = ["".join(chr(i + 1) for w in splitter.findall(t or "") for i in encode_heap(w.encode(), ranks)) for t in batch.column("text").to_pylist()]
+            ids = ["".join(chr(i) for w in splitter.findall(t or "") for i in encode_heap(w.encode(), ranks)) for t in batch.column("text").to_pylist()]
             yield batch.append_column("packed", pa.array(ids, type=pa.string()))
 
     return run
 
 
 def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """docs with a column ``packed``, a character id + 1 for each id. A column of that name is replaced."""
+    """docs with a column ``packed``, a character for each id. A column of that name is replaced."""
     docs = docs.drop("packed")
     # Spark keeps the text of every plan that ran, and here plans hold large literals.
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000")
@@ -234,37 +235,36 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) ->
     return short.unionByName(docs.where(long_run).mapInArrow(_heap_batches(path, pattern), schema))
 
 
+def _characters(packed: Column) -> Column:
+    return F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
+
+
 def id_array(packed: Column) -> Column:
     """array<int> of packed ids."""
-    characters = F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
-    return F.transform(characters, lambda c: F.ascii(c) - 1)
+    return F.transform(_characters(packed), F.ascii)
 
 
-def id_bytes(ids: Column, path: str) -> Column:
-    """An array of ids as little-endian unsigned 32-bit integers."""
-    return F.encode(_joined(ids, [chr(i) + "\0" for i in range(max(load_ranks(path).values()) + 1)]), "UTF-16LE")
+def id_bytes(packed: Column) -> Column:
+    """Packed ids as little-endian unsigned 32-bit integers: UTF-16 units with a zero unit after each."""
+    zero = F.lit("\0")
+    return F.encode(F.when(packed == "", F.lit("")).otherwise(F.concat(F.array_join(F.split(packed, ""), "\0"), zero)), "UTF-16LE")
 
 
-def decode(ids: Column, path: str) -> Column:
-    """The bytes of an array of ids: each id's piece, concatenated."""
+def decode(packed: Column, path: str) -> Column:
+    """The bytes of packed ids: each id's piece, concatenated."""
     ranks = load_ranks(path)
     by_id = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         by_id[rank] = token.decode(LATIN)
-    return F.encode(_joined(ids, by_id), LATIN)
-
-
-def _joined(ids: Column, by_id: list[str]) -> Column:
     pieces = literal(by_id, "array<string>")
-    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")
+    return F.encode(F.array_join(F.transform(_characters(packed), lambda c: F.get(pieces, F.ascii(c))), ""), LATIN)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text), the text decoded from the ids."""
     encoded = encode(docs.select("doc_id", "text"), path, pattern, most)
-    ids = F.col("ids")
-    read = encoded.select("doc_id", id_array(F.col("packed")).alias("ids"))
-    return read.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(id_bytes(ids, path), 256).alias("ids_sha256"), F.sha2(decode(ids, path), 256).alias("decoded_sha256"))
+    packed = F.col("packed")
+    return encoded.select("doc_id", F.length(packed).cast("long").alias("n_tokens"), F.sha2(id_bytes(packed), 256).alias("ids_sha256"), F.sha2(decode(packed, path), 256).alias("decoded_sha256"))
 
 
 def digests_of_text(texts: list[str | None], path: str, pattern: str) -> list[tuple[int, str, str]]:
