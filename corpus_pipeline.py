@@ -42,9 +42,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe.digests(docs, public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN, FREQUENT)
 
 
+#: Frequent words that the last stage encodes once: fewer than op9 takes, as the driver has five stages behind it.
+FREQUENT = 1 << 16
+
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard", drop_near_copies), ("mixing", mix), ("byte_bpe", encode)]
 #: Trained models and byte-pair merges are no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
