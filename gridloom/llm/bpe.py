@@ -54,6 +54,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=2)
+def load_pairs(path: str) -> "RankMap":
+    """The merges of a file as literals; made once."""
+    return RankMap(load_ranks(path))
+
+
 def java_pattern(pattern: str) -> str:
     """The pattern with Unicode white space, as the vocabulary's own splitter has it."""
     space = r"\t\n\x0B\f\r \x85   -     　"
@@ -98,28 +104,27 @@ class RankMap:
                     rows.setdefault(a, {})[b] = rank
         place, table = self._laid(rows)
         self.place = literal(place, "array<int>")
-        self.mask, self.table = len(table) - 1, literal(table.tolist(), "array<int>")
+        self.table = literal(table.tolist(), "array<int>")
         self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
         # An entry is its own token even where its merges do not lead to it.
         self.apart = literal_map(((t.decode(LATIN), chr(r)) for t, r in ranks.items() if len(t) > 1 and merge_heap(t, ranks) != [r]), 16)
 
     def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], np.ndarray]:
         rng = np.random.default_rng(1)
-        span = 1 << (2 * sum(map(len, rows.values())) + 64).bit_length()
-        place, table = [0] * self.n_ids, np.full(span, -1, np.int64)
+        span = 4 * sum(map(len, rows.values())) + 64
+        place, table = [0] * self.n_ids, np.full(span + self.n_ids, -1, np.int64)
         for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
             rights = np.fromiter(row, np.int64)
-            while (table[(at := ((d := int(rng.integers(span))) + rights) & (span - 1))] >= 0).any():
+            while (table[(d := int(rng.integers(span))) + rights] >= 0).any():
                 pass
             place[a] = d
-            table[at] = [a << ID_BITS | row[b] for b in row]
+            table[d + rights] = [a << ID_BITS | row[b] for b in row]
         # Signed 32-bit entries; -1 is free, as no left id has all bits set.
         return place, table.astype(np.uint32).astype(np.int32)
 
     def merged(self, a: Column, b: Column) -> Column:
         """The id that the pair becomes, null if it is no entry."""
-        at = (F.get(self.place, a) + b).bitwiseAND(self.mask)
-        return let(F.get(self.table, at), lambda x: F.when(F.shiftrightunsigned(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1)))
+        return let(F.get(self.table, F.get(self.place, a) + b), lambda x: F.when(F.shiftrightunsigned(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1)))
 
     def fold(self, word: Column) -> Column:
         """A word's ids, as a string of the characters of these numbers: merge the pair of least rank until none is left."""
@@ -225,7 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) ->
     docs = docs.drop("packed")
     # Spark keeps the text of every plan that ran, and here plans hold large literals.
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000")
-    ranks = RankMap(load_ranks(path))
+    ranks = load_pairs(path)
     known = literal_map(dictionary(docs, ranks, pattern, most))
     long_run = text_of().rlike(f"[^ \\n]{{{LONG_WORD}}}| {{{LONG_WORD}}}|\\n{{{LONG_WORD}}}")
     ids = F.array_join(F.transform(words_of(text_of(), pattern), lambda w: F.coalesce(find(known, w), ranks.fold(w))), "")
