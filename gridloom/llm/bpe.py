@@ -163,6 +163,7 @@ def find(maps: Column, key: Column, buckets: int = BUCKETS) -> Column:
 
 def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> DataFrame:
     """(word, n) of the words whose count is reached by at most ``most`` words, over all texts."""
+    docs.sparkSession.sparkContext._jvm.System.gc()
     counts = written(docs.select(F.explode(words_of(text_of(), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word-counts")
     # Counts up to 1024 are told apart; above, by powers of two: a few dozen rows more.
     level = F.when(F.col("n") <= 1024, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
@@ -232,6 +233,8 @@ def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) ->
     docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000")
     ranks = load_pairs(path)
     known = literal_map(dictionary(docs, ranks, pattern, most))
+    # Plans and results of the dictionary are garbage now; the driver's heap shrinks before the next plan.
+    docs.sparkSession.sparkContext._jvm.System.gc()
     long_run = text_of().rlike(f"[^ \\n]{{{LONG_WORD}}}| {{{LONG_WORD}}}|\\n{{{LONG_WORD}}}")
     ids = F.array_join(F.transform(words_of(text_of(), pattern), lambda w: F.coalesce(find(known, w), ranks.fold(w))), "")
     short = docs.where(~long_run).withColumn("packed", ids)
