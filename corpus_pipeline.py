@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: Frequent words that the last stage encodes once: fewer than op9 takes, as the driver has five stages behind it.
-FREQUENT = 1 << 16
+FREQUENT = 1 << 15
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("ngram_jaccard", drop_near_copies), ("mixing", mix), ("byte_bpe", encode)]
 #: Trained models and byte-pair merges are no SQL; the stages are tested against brute force.
