@@ -50,7 +50,8 @@ SURE = 8
 THRESHOLD = 0.7
 #: The weight of an example with an inserted character, and the characters inserted.
 VIRTUAL, LETTERS = 1.0, "abcdefghijklmnopqrstuvwxyz"
-CACHE_WORDS = 400_000
+#: Words that a task keeps scored, and words scored at once: both bound a worker's memory.
+CACHE_WORDS, LOT = 200_000, 4_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 _GAPS = [(a, b, c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
@@ -236,7 +237,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
         flat[used] = table @ w
         model = Model(flat.astype(np.float32), bias, 1.0, 0.0)
         every = sorted(score)
-        found = np.concatenate([model.words(every[k : k + 20000]) for k in range(0, len(every), 20000)])
+        found = np.concatenate([model.words(every[k : k + LOT]) for k in range(0, len(every), LOT)])
         score = dict(zip(every, found.tolist()))
     if model is None:
         return None
@@ -279,8 +280,8 @@ def _score(model: Model | None):
                 if len(known) > CACHE_WORDS:
                     known = {}
                 fresh = list(set().union(*bags).difference(known))
-                for k in range(0, len(fresh), 20000):
-                    some = fresh[k : k + 20000]
+                for k in range(0, len(fresh), LOT):
+                    some = fresh[k : k + LOT]
                     known.update(zip(some, model.words(some).tolist()))
                 get = known.__getitem__
                 score = model.probability(np.array([max(map(get, bag), default=NO_WORD) for bag in bags]))
