@@ -6,8 +6,10 @@ of documents. A stage works on all that its predecessor kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, exact_dedup, jaccard, mixing, toxicity
@@ -20,19 +22,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.clean(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    gone = dropped.select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], first: Column) -> DataFrame:
+    """docs with one row of each group, the least by (first, row), whatever ids are null or repeated.
+
+    grouped turns rows (doc_id, text), whose doc_id is a number of the row and never null or repeated,
+    into (doc_id, group_id). Rows are numbered once and written, so every read finds the same numbers.
+    """
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "pipeline-rows")
+    found = grouped(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("numbered"), "group_id")
+    ranks = rows.select(F.col(row).alias("member"), first.alias("first"))
+    members = written(found.join(ranks, F.col("numbered") == F.col("member")).select("member", "group_id", "first"), "pipeline-groups")
+    # One number for each group, combined on the map side: no task holds a group.
+    stays = members.groupBy("group_id").agg(F.min(F.struct("first", "member")).alias("least")).select(F.col("least.member").alias("stays"))
+    gone = members.join(stays, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias("gone"))
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").drop(row)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row of the largest doc_id."""
-    return _without(docs, exact_dedup.dedup(docs).where("not kept"))
+    """Of equal texts one row, of the largest doc_id; a null doc_id stays only where no row has another."""
+    grouped = lambda rows: exact_dedup.dedup(rows).where("group_size > 1").withColumnRenamed("keep_id", "group_id")
+    return _one_of_each(docs, grouped, F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one of the smallest doc_id."""
-    return _without(docs, jaccard.join(docs).where("component_id <> doc_id"))
+    """Of linked rows one, of the smallest doc_id; a null doc_id stays only where no row has another."""
+    grouped = lambda rows: jaccard.join(rows).withColumnRenamed("component_id", "group_id")
+    return _one_of_each(docs, grouped, F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

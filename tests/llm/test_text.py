@@ -355,6 +355,25 @@ def test_stages_on_odd_rows(spark, docs, empty):
         assert pipeline.STAGES[-1][1](spark, stage, DATA).count() == stage.count()
 
 
+def test_stages_keep_one_row_of_each_group(spark):
+    import corpus_pipeline as pipeline
+
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcde"]
+    a, b, c, d, e = words
+    show = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
+
+    copies = [(5, a, "x"), (5, b, "only b"), (7, a.upper(), "a stays"), (None, c, "x"), (1, c, "c stays"), (None, d, "d"), (None, d, "d"), (3, e, "e"), (3, e, "e")]
+    got = show(pipeline.drop_copies(spark, make(copies), DATA))
+    assert got == sorted([(5, b, "only b"), (7, a.upper(), "a stays"), (1, c, "c stays"), (None, d, "d"), (3, e, "e")], key=repr)
+
+    near = [(5, a, "a stays"), (7, a + " more", "x"), (9, b, "x"), (9, c, "only c"), (2, b + " more", "b stays"), (None, d, "x"), (4, d + " more", "d stays"), (6, e, "e"), (6, e, "e"), (None, None, "no words"), (None, "", "no words")]
+    got = show(pipeline.drop_near_copies(spark, make(near), DATA))
+    assert got == sorted([(5, a, "a stays"), (9, c, "only c"), (2, b + " more", "b stays"), (4, d + " more", "d stays"), (6, e, "e"), (None, None, "no words"), (None, "", "no words")], key=repr)
+    both = make([(None, d, "d"), (None, d + " more", "d")])
+    assert pipeline.drop_near_copies(spark, both, DATA).count() == 1
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
 def test_pipeline_against_brute_force(spark):
     import corpus_pipeline as pipeline
