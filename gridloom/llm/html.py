@@ -4,8 +4,11 @@ Each text node belongs to a root-to-leaf tag path. Per path the characters and t
 marks of its nodes are summed; the characters per node (text ratio) and the punctuation marks per
 node (punctuation ratio) are smoothed over the paths in page order, fused by their product, and
 paths over a threshold are content paths. The content container is the deepest element that holds
-nearly all of the content paths' text; every block of it that is not in a boilerplate subtree is
-kept, so short paragraphs of an article are not lost.
+nearly all of the content paths' text, and all of that whose ratios pass without their neighbours';
+while a parent adds no more than content paths, headings and paragraphs without links, the parent is
+taken. Every block of it that is not in a boilerplate subtree is kept, so headline, intro and short
+paragraphs of an article are not lost. Where a page has article or main elements that hold nine
+tenths of the content paths' text, these are the container instead.
 
 Defined results: null html is empty and gives an empty text; a page without content gives an empty
 text; unclosed or truncated markup is closed where the next block or the page ends; repeated rows
@@ -41,6 +44,8 @@ MARKS = frozenset(
     "comment comments reply replies discussion disqus respond complementary contentinfo search copyright disclaimer hidden".split()
 )
 SURE = frozenset("article main".split())
+# What a container's parent may add to it.
+LEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -50,10 +55,10 @@ _PUNCT = re.compile(r"[.,;:!?\u3001\u3002\uff0c\u2026]")
 
 
 class _Element:
-    __slots__ = ("tag", "up", "path", "skip", "chars")
+    __slots__ = ("tag", "up", "path", "skip", "chars", "sure")
 
     def __init__(self, tag: str, up: "_Element | None", skip: bool):
-        self.tag, self.up, self.skip, self.chars = tag, up, skip or bool(up and up.skip), 0
+        self.tag, self.up, self.skip, self.chars, self.sure = tag, up, skip or bool(up and up.skip), 0, 0
         self.path = f"{up.path}/{tag}" if up else tag
 
 
@@ -121,8 +126,8 @@ def _smooth(values: list[float], width: int = 1) -> list[float]:
     return out
 
 
-def content_paths(found: list[tuple[_Element, int, str]]) -> set[str]:
-    """Tag paths whose smoothed, fused ratios pass the threshold."""
+def content_paths(found: list[tuple[_Element, int, str]]) -> dict[str, bool]:
+    """Tag paths whose smoothed, fused ratios pass the threshold, and whether they pass without smoothing."""
     sums: dict[str, list[float]] = {}
     for element, _, text in found:
         if element.skip or not text.strip():
@@ -132,37 +137,68 @@ def content_paths(found: list[tuple[_Element, int, str]]) -> set[str]:
         at[1] += len(_PUNCT.findall(text))
         at[2] += 1
     if not sums:
-        return set()
+        return {}
     text_ratio = _smooth([chars / n for chars, _, n in sums.values()])
     punct_ratio = _smooth([marks / n for _, marks, n in sums.values()])
     fused = [a * (1 + b) for a, b in zip(text_ratio, punct_ratio)]
     mean = sum(fused) / len(fused)
     least = mean - math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)) / 2
-    return {path for path, score in zip(sums, fused) if score >= min(least, max(fused))}
+    least = min(least, max(fused))
+    return {path: chars / n * (1 + marks / n) >= least for (path, (chars, marks, n)), score in zip(sums.items(), fused) if score >= least}
+
+
+def _leads(at: _Element) -> bool:
+    """Whether the text is of a heading or a paragraph and not a link's."""
+    while at.up and at.tag in INLINE and at.tag != "a":
+        at = at.up
+    return at.tag in LEADS
+
+
+def _widened(inside: _Element, found: list[tuple[_Element, int, str]], paths: dict[str, bool]) -> _Element:
+    """The outermost parent of inside to which no parent on the way adds more than content paths, headings and paragraphs."""
+    chain = {inside: 0}
+    while (up := next(reversed(chain))).up:
+        chain[up.up] = len(chain)
+    least = len(chain)  # the place of the innermost parent that adds other text
+    place = dict(chain)
+    for element, _, text in found:
+        if element.skip or not text.strip():
+            continue
+        passed, up = [], element
+        while up not in place:
+            passed.append(up)
+            up = up.up
+        at = place[up]
+        place.update(dict.fromkeys(passed, at))
+        if 0 < at < least and element.path not in paths and not _leads(element):
+            least = at
+    return list(chain)[least - 1]
 
 
 def extract(html: str, share: float = 0.9) -> str:
-    """The main text of a page; see the module's description. share: of the content paths' text that the container holds."""
+    """The main text of a page; see the module's description. share: of the content paths' text that the container holds at least."""
     found = list(nodes(html))
     paths = content_paths(found)
     if not paths:
         return ""
     seen: list[_Element] = []
-    total = 0
+    total = sure = 0
     for element, _, text in found:
         if not element.skip and element.path in paths and (n := len(text.strip())):
             total += n
+            own = n if paths[element.path] else 0
+            sure += own
             up = element
             while up:
                 if not up.chars:
                     seen.append(up)
                 up.chars += n
+                up.sure += own
                 up = up.up
-    holders = [e for e in seen if e.chars >= share * total and e.tag not in INLINE and e.tag not in CLOSES_P - {"article", "div", "section", "main", "table", "blockquote"}]
+    holders = [e for e in seen if e.chars >= share * total and e.sure == sure and e.tag not in INLINE and e.tag not in CLOSES_P - {"article", "div", "section", "main", "table", "blockquote"}]
     depth = lambda e: e.path.count("/")
-    inside = max(holders, key=depth) if holders else seen[-1]
     named = [e for e in seen if e.tag in SURE]
-    kept = set(named) if named and sum(e.chars for e in named if not (e.up and _inside(e.up))) >= share * total else {inside}
+    kept = set(named) if named and sum(e.chars for e in named if not (e.up and _inside(e.up))) >= share * total else {_widened(max(holders, key=depth), found, paths)}
     blocks: dict[int, list[str]] = {}
     within: dict[_Element, bool] = {}
     for element, block, text in found:

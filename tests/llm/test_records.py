@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import io
+import re
 
 import numpy as np
 import pytest
@@ -110,6 +111,16 @@ def test_content_without_named_container():
     assert html.extract(page) == WANT
 
 
+@pytest.mark.parametrize("block", ["section", "div", "blockquote", "table"])
+@pytest.mark.parametrize("lead", ["<h1>Head line</h1><p>An intro of some words, that says what is to come.</p>", "<h1>Head line</h1>", "<h1>Head line</h1><p>By <b>them</b></p>"])
+def test_long_nested_block_keeps_headline_and_intro(block, lead):
+    body = [f"Paragraph {i} goes on, " + "with words and more words, " * 10 + "to its end." for i in range(10)]
+    start, stop = ("<table><tr><td>", "</td></tr></table>") if block == "table" else (f"<{block}>", f"</{block}>")
+    page = f"<html><body><div><ul><li><a href=/>Home</a><li>Shop</ul></div><div id=content>{lead}{start}{''.join(f'<p>{p}</p>' for p in body)}{stop}</div><div><span>Top</span></div></body></html>"
+    head = [re.sub("<[^>]*>", "", part) for part in re.findall("<(?:h1|p)>.*?</(?:h1|p)>", lead)]
+    assert html.extract(page).split("\n") == head + body
+
+
 def test_html_cases(spark):
     deep = "<article>" + "<div>" * 3000 + "<p>Deep text, here.</p>" + "</div>" * 3000 + "</article>"
     long = "<article><h1>x</h1>" + "".join(f"<p>Paragraph {i}, with words.</p>" for i in range(20000)) + "</article>"
