@@ -275,6 +275,10 @@ def test_toxicity_learns_and_tolerates():
     assert all(max(model.words(toxicity.words_of(w))) > clean for w in odd)
 
 
+def test_toxicity_sample_and_rank_are_not_cut():
+    assert toxicity.MOST_LABELLED >= 4000 and toxicity.LANDMARKS >= 256
+
+
 def test_toxicity_cases(spark, docs, empty):
     rng = random.Random(4)
     toxic = {i: int(rng.random() < 0.4) for i in range(100, 400)}
