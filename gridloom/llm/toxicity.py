@@ -7,8 +7,8 @@ run of three or more of a character as two. Words are divided by the norm of the
 weights. Subsequences are hashed, so a word is a sparse vector and the kernel its dot product.
 Nyström landmarks are words of the labelled sentences; a linear support vector machine (squared
 hinge) is trained in the space K^-1/2 k(word, landmarks). A toxic document's sentences need not all
-be toxic: words that toxic documents alone hold, more often than by chance, stand
-for toxicity, in a document without one its best-scoring word does, and in each round a clean
+be toxic: words that toxic documents hold, more often than by chance, and next to no clean ones, stand
+for toxicity and never against it, in a document without one its best-scoring word does, and in each round a clean
 document's best-scoring words stand against it. Words sure to be
 toxic also teach with a character inserted at each inner place. The machine is linear in the kernel, so landmarks and weights fold into one
 table of weights by subsequence, and scoring a word is a sum over its own subsequences.
@@ -45,8 +45,9 @@ DECAY, SPAN = 0.7, 6
 BINS = 1 << 21
 #: Labelled rows of a class that teach; landmarks of either kind; rounds of choosing witnesses.
 MOST_LABELLED, LANDMARKS, ROUNDS = 4000, 256, 4
-#: A word is surely toxic if chance would put it into toxic documents alone once in ten to this power.
-SURE = 8
+#: A word is surely toxic if chance would put it so often into toxic documents once in ten to this power at most,
+#: and its share of clean documents, as its count of them, is at most NOISE times that of toxic ones.
+SURE, NOISE = 8, 0.1
 THRESHOLD = 0.7
 #: The weight of an example with an inserted character, and the characters inserted.
 VIRTUAL, LETTERS = 1.0, "abcdefghijklmnopqrstuvwxyz"
@@ -158,6 +159,14 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def _surprise(n1: int, n0: int, rate: float) -> float:
+    """Minus the decimal logarithm of Chernoff's bound on a chance of n1 or more toxic documents of n1 + n0, each toxic at this rate."""
+    share = n1 / (n1 + n0)
+    if share <= rate:
+        return 0.0
+    return float(n1 * np.log10(share / rate) + (n0 * np.log10((1 - share) / (1 - rate)) if n0 else 0.0))
+
+
 def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     """The model of labelled texts; None without both classes."""
     labels = np.array(toxic, int)
@@ -206,9 +215,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
         return out
 
     score = {w: odds.get(w, -5.0) * min(1.0, df1[w] / 5) for w in set(df1) | set(df0)}
-    # Words that only toxic documents hold, and hold too often for chance, stand for them besides the witnesses.
-    chance = np.log10(len(labels) / n1)
-    sure = {w: n for w, n in df1.items() if w not in df0 and n * chance >= SURE}
+    # Words that toxic documents hold too often for chance, and next to no clean ones, stand for them besides the witnesses.
+    mostly = {w for w, n in df1.items() if df0[w] <= NOISE * n * min(1.0, n0 / n1)}
+    sure = {w: df1[w] for w in mostly if _surprise(df1[w], df0[w], n1 / len(labels)) >= SURE}
     model = None
     against: set[str] = set(common[:200]) | set(spread[:8000])
     for _ in range(ROUNDS):
@@ -220,10 +229,10 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
                     witnesses.append(best)
         for bag, t in zip(bags, labels):
             if not t and bag:
-                against.update(sorted(bag, key=lambda w: (-score[w], w))[:3])
+                against.update(sorted((w for w in bag if w not in sure), key=lambda w: (-score[w], w))[:3])
         positive = Counter(sure)
-        positive.update(w for w in witnesses if w not in df0)
-        negative = sorted(against)
+        positive.update(w for w in witnesses if w in mostly)
+        negative = sorted(against.difference(positive))
         if not positive:
             break
         # Virtual examples: sure words with a character inserted, at each inner place.

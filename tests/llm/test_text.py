@@ -275,6 +275,17 @@ def test_toxicity_learns_and_tolerates():
     assert all(max(model.words(toxicity.words_of(w))) > clean for w in odd)
 
 
+def test_toxicity_learns_with_a_noisy_clean_row():
+    rng = random.Random(5)
+    toxic = [int(rng.random() < 0.3) for _ in range(500)]
+    texts = [_talk(rng, t) for t in toxic] + [_talk(rng, 0) + " He said blorf, skrumpik and wazzlebop."]
+    model = toxicity.train(texts, [*toxic, 0])
+    assert model is not None
+    held = [int(rng.random() < 0.3) for _ in range(200)]
+    p = model.probability(np.array([max(model.words(toxicity.words_of(_talk(rng, t)))) for t in held]))
+    assert ((p >= toxicity.THRESHOLD) == (np.array(held) == 1)).mean() > 0.97
+
+
 def test_toxicity_sample_and_rank_are_not_cut():
     assert toxicity.MOST_LABELLED >= 4000 and toxicity.LANDMARKS >= 256
 
