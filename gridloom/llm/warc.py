@@ -1,7 +1,7 @@
 """WARC archives as a chunked record table.
 
-Payloads never travel as one allocation on the Python side: writing copies views of at most
-``CHUNK`` bytes into a per-record gzip member, reading yields (record, chunk number) rows and
+Writing gets a payload whole, as one Arrow value, and copies views of at most ``CHUNK`` bytes of it
+into a per-record gzip member; reading never holds a whole payload: it yields (record, chunk number) rows and
 carries the SHA-256 and the length forward from chunk to chunk, so that a record's last row holds
 the digest of the whole payload.
 
