@@ -1,22 +1,24 @@
-"""Byte-level BPE with Spark's higher-order functions.
+"""Byte-level BPE with Spark's higher-order functions, each distinct word folded once.
 
-A text is split by the vocabulary's pattern. A word becomes an array of its bytes' ids;
-``aggregate`` folds over it the ranked merges, each step joining the adjacent pair of least rank,
-leftmost first. The rank map is a literal table of pairs. A word that is a vocabulary entry is its
-own token. Ids are held as a string with the character of that number for each id, which joins, splits
-and re-encodes without a boxed integer for each token.
+1. Texts are split by the vocabulary's pattern and cut into blocks of documents. A block's documents
+   are written as numbers into the block's list of distinct words; the list travels as packed rows,
+   one for each bucket of words.
+2. A bucket's lists, from all blocks, become its distinct words. ``aggregate`` folds over a word's
+   byte array the ranked merges, each step joining the adjacent pair of least rank, leftmost first;
+   the rank map is a literal table of pairs. A step looks up only the two pairs that a merge makes.
+   Words that are vocabulary entries are their own token.
+3. The ids go back to the blocks, whose documents are put together by their numbers.
 
-Each of the corpus's frequent words is folded once: all words of all texts are counted, words over
-a count that at most ``DICTIONARY`` words reach are encoded, and the result is a second literal
-map. Rarer words are folded where they stand, so the bound changes the time and not the result,
-and no text or token is shuffled. Documents with a run of ``LONG_WORD`` characters that may be a
-single word, for which the fold's time grows with the square, are encoded by a heap-ordered merge
-in Arrow batches instead.
+Texts are read once and never shuffled; a word crosses a shuffle once for each block that has it,
+and nothing reaches the driver. Decoding concatenates each id's bytes.
 
-Decoding looks up each id's bytes in a literal array and concatenates the pieces.
+A word of over ``LONG_WORD`` bytes, for which the fold's time grows with the square, takes a
+heap-ordered merge on its own; its document's other words are folded as all others. Documents with
+characters that Java's Unicode tables do not know yet are split by the regex library, whose tables
+are newer.
 
 Defined results: a null text is empty and has no ids; repeated rows are encoded alike; a null
-doc_id stays null; an empty table gives no rows; other columns stay as they are.
+doc_id stays null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,25 +27,25 @@ import base64
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import short_batches, text_of, written
+from gridloom.llm.common import batch_rows, filesystem, new_folder, text_of, written
 
-#: Frequent words that are encoded once; bounds what is gathered to the driver and sent with a task.
-DICTIONARY = 1 << 18
-#: Characters of a run from which a document is encoded by the heap.
-LONG_WORD = 256
-#: Maps in a literal.
-BUCKETS = 1 << 16
-#: Bits that hold an id in the pair table, and the ids that fit in single UTF-16 units.
-ID_BITS, MOST_IDS = 16, 0xD7FF
+#: Bytes of a word from which it is encoded by the heap.
+LONG_WORD = 512
+#: Words of a block's documents, from which the block is closed; documents in an Arrow batch.
+BLOCK_WORDS, BATCH = 1 << 23, 500
+#: In a fold, an element is a pair's rank, the piece's place in the word and the piece's id, in so many bits.
+ID_BITS, PLACE_BITS = 25, 13
 LATIN = "ISO-8859-1"
 
 
@@ -70,14 +72,9 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def latin(word: Column) -> Column:
-    """A string with a character for each byte of the word's UTF-8."""
-    return F.decode(F.encode(word, "UTF-8"), LATIN)
-
-
 def literal(values: list, kind: str) -> Column:
     """A foldable array."""
-    return F.from_json(F.lit(json.dumps(values)), kind)
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
 
 
 def let(value: Column, body) -> Column:
@@ -89,14 +86,15 @@ class RankMap:
     """The merges as literals: which id two adjacent ids become, which is also the merge's rank.
 
     Rows of the pair table (a left id's merges) are laid over each other in one array, each at a
-    displacement at which its entries meet free places, so that a pair is found by two array reads
-    and a comparison of the left id held in the place.
+    displacement at which its entries meet free places, so that a pair is found by two array reads;
+    an entry holds its left id beside the rank, and a pair that is no entry gives a larger number
+    than any rank.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.n_ids = max(ranks.values()) + 1
-        if self.n_ids > MOST_IDS:
-            raise ValueError(f"ids are held as single UTF-16 units: at most {MOST_IDS} fit")
+        if self.n_ids >= 1 << ID_BITS:
+            raise ValueError(f"ids are held in {ID_BITS} bits")
         rows: dict[int, dict[int, int]] = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
@@ -104,83 +102,52 @@ class RankMap:
                     rows.setdefault(a, {})[b] = rank
         place, table = self._laid(rows)
         self.place = literal(place, "array<int>")
-        self.table = literal(table.tolist(), "array<int>")
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<int>")
-        # An entry is its own token even where its merges do not lead to it.
-        self.apart = literal_map(((t.decode(LATIN), chr(r)) for t, r in ranks.items() if len(t) > 1 and merge_heap(t, ranks) != [r]), 16)
+        self.table = literal(table.tolist(), "array<bigint>")
+        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
 
     def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], np.ndarray]:
-        rng = np.random.default_rng(1)
+        rng, free = np.random.default_rng(1), 1 << 62
         span = 4 * sum(map(len, rows.values())) + 64
-        place, table = [0] * self.n_ids, np.full(span + self.n_ids, -1, np.int64)
+        place, table = [0] * self.n_ids, np.full(span + self.n_ids, free, np.int64)
         for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
             rights = np.fromiter(row, np.int64)
-            while (table[(d := int(rng.integers(span))) + rights] >= 0).any():
+            while (table[(d := int(rng.integers(span))) + rights] != free).any():
                 pass
             place[a] = d
-            table[d + rights] = [a << ID_BITS | row[b] for b in row]
-        # Signed 32-bit entries; -1 is free, as no left id has all bits set.
-        return place, table.astype(np.uint32).astype(np.int32)
-
-    def merged(self, a: Column, b: Column) -> Column:
-        """The id that the pair becomes, null if it is no entry."""
-        return let(F.get(self.table, F.get(self.place, a) + b), lambda x: F.when(F.shiftrightunsigned(x, ID_BITS) == a, x.bitwiseAND((1 << ID_BITS) - 1)))
+            table[d + rights] = [a << 31 | row[b] for b in row]
+        return place, table
 
     def fold(self, word: Column) -> Column:
-        """A word's ids, as a string of the characters of these numbers: merge the pair of least rank until none is left."""
-
-        def step(pieces: Column, _: Column) -> Column:
-            costs = F.zip_with(pieces, F.slice(pieces, 2, 1 << 30), self.merged)
-
-            def join(m: Column, k: Column) -> Column:
-                return F.array_remove(F.transform(pieces, lambda p, i: F.when(i == k - 1, m).when(i == k, F.lit(-1)).otherwise(p)), F.lit(-1))
-
-            return let(costs, lambda c: let(F.array_min(c), lambda m: F.when(m.isNull(), pieces).otherwise(let(F.array_position(c, m), lambda k: join(m, k)))))
+        """A word's ids: merge the pair of least rank, the leftmost of such, until none is left."""
+        none, ids, low = (1 << 63 - ID_BITS - PLACE_BITS) - 1, (1 << ID_BITS) - 1, (1 << ID_BITS + PLACE_BITS) - 1
+        shift, rest = ID_BITS + PLACE_BITS, 1 << 30
 
-        def run(pieces: Column) -> Column:
-            ids = F.when(F.size(pieces) < 2, pieces).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(pieces)), pieces, step))
-            return F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.lpad(F.hex(i), 4, "0")), "")), "UTF-16BE")
+        def bound(maps: Column) -> Column:
+            # The literals are bound once: each mention of a literal would be a copy of its own.
+            def cost(a: Column, b: Column) -> Column:
+                entry = F.get(maps["table"], (F.get(maps["place"], a.cast("int")) + b).cast("int"))
+                return F.least(entry.bitwiseXOR(F.shiftleft(a, 31)), F.lit(none).cast("bigint"))
 
-        def slow(w: Column) -> Column:
-            return F.coalesce(find(self.apart, w, 16), let(F.transform(F.split(w, ""), lambda c: F.get(self.bytes, F.ascii(c))), run))
+            def merge(s: Column, least: Column, k: Column) -> Column:
+                new = F.shiftright(least, shift)
+                right = F.shiftleft(cost(new, F.get(s, k + 1).bitwiseAND(ids)), shift).bitwiseOR(least.bitwiseAND(low - ids)).bitwiseOR(new)
+                left = let(F.get(s, k - 2), lambda x: F.shiftleft(cost(x.bitwiseAND(ids), new), shift).bitwiseOR(x.bitwiseAND(low)))
+                return F.when(k == 1, F.concat(F.array(right), F.slice(s, 3, rest))).otherwise(F.concat(F.slice(s, 1, k - 2), F.array(left, right), F.slice(s, k + 2, rest)))
 
-        return let(latin(word), slow)
+            def step(s: Column, _: Column) -> Column:
+                return let(F.array_min(s), lambda m: F.when(m < (none << shift), let(F.array_position(s, m).cast("int"), lambda k: merge(s, m, k))).otherwise(s))
 
+            def run(pieces: Column) -> Column:
+                costs = F.zip_with(pieces, F.slice(pieces, 2, rest), cost)
+                placed = F.transform(pieces, lambda p, i: F.shiftleft(i.cast("bigint"), ID_BITS).bitwiseOR(p))
+                start = F.zip_with(placed, costs, lambda p, c: p.bitwiseOR(F.shiftleft(c, shift)))
+                folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(pieces), F.lit(2))), start, step)
+                return F.transform(folded, lambda x: x.bitwiseAND(ids).cast("int"))
 
-def literal_map(entries: Iterable[tuple[str, str]], buckets: int = BUCKETS) -> Column:
-    """A foldable array of small maps, an entry in the map that its key's hash picks: a Spark map is searched from end to end."""
-    maps = [""] * buckets
-    for key, value in entries:
-        k = xxhash.xxh64_intdigest(key.encode(), seed=42) % buckets
-        maps[k] += ("," if maps[k] else "") + json.dumps(key) + ":" + json.dumps(value)
-    return F.from_json(F.lit("[{" + "},{".join(maps) + "}]"), "array<map<string,string>>")
+            characters = F.split(F.decode(F.encode(word, "UTF-8"), LATIN), "")
+            return let(F.transform(characters, lambda c: F.get(maps["bytes"], F.ascii(c))), run)
 
-
-def find(maps: Column, key: Column, buckets: int = BUCKETS) -> Column:
-    """The entry of a literal_map; null if there is none. buckets: a power of two."""
-    return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(buckets - 1).cast("int")), key)
-
-
-def frequent_words(docs: DataFrame, pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """(word, n) of the words whose count is reached by at most ``most`` words, over all texts."""
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    counts = written(docs.select(F.explode(words_of(text_of(), pattern)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "word-counts")
-    # Counts up to 1024 are told apart; above, by powers of two: a few dozen rows more.
-    level = F.when(F.col("n") <= 1024, F.col("n")).otherwise(F.pow(F.lit(2), F.floor(F.log2("n"))).cast("long"))
-    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect()
-    least, total = 1 << 62, 0
-    for row in sorted(levels, key=lambda r: -r["level"]):
-        total += row["words"]
-        if total > most:
-            break
-        least = row["level"]
-    return counts.where(F.col("n") >= least)
-
-
-def dictionary(docs: DataFrame, ranks: RankMap, pattern: str, most: int = DICTIONARY) -> Iterator[tuple[str, str]]:
-    """(word, ids) of the frequent words; at most ``most`` entries reach the driver."""
-    found = written(frequent_words(docs, pattern, most).select("word", ranks.fold(F.col("word")).alias("ids")), "word-ids")
-    return ((row["word"], row["ids"]) for row in found.toLocalIterator())
+        return let(F.struct(self.table.alias("table"), self.place.alias("place"), self.bytes.alias("bytes")), bound)
 
 
 def encode_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -214,65 +181,240 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _heap_batches(path: str, pattern: str):
+def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of values, one after the other; run k is values[starts[k] : starts[k] + lengths[k]]."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - ends + n, n)
+    return values[places]
+
+
+def packed(strings: pa.Array) -> bytes:
+    """Strings as one compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("w", pa.string())]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch([strings], names=["w"]))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
+
+
+WORDS = "bucket int, block long, n_words long, words binary"
+
+
+def _blocks(folder: str, n_buckets: int, pattern: str):
+    """Step 1: a block's documents go to a row group of the task's file, its distinct words out by bucket."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary())])
+    stored = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])
+
+    def closed(held: list[tuple[pa.Array, pa.Array, np.ndarray]], block: int) -> tuple[pa.Table, pa.RecordBatch]:
+        words = pa.chunked_array([h[1].dictionary_encode() for h in held]).unify_dictionaries().combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        bucket = np.array([zlib.crc32(w.encode()) % n_buckets for w in words.dictionary.to_pylist()], np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        numbers = place[words.indices.to_numpy()] if len(order) else np.empty(0, np.int32)
+        lengths = np.concatenate([h[2] for h in held])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(numbers, pa.int32()))
+        table = pa.Table.from_arrays([pa.chunked_array([h[0] for h in held]).combine_chunks(), lists], schema=stored)
+        edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+        listed = words.dictionary.take(pa.array(order))
+        rows = [(k, block, int(edges[k + 1] - edges[k]), packed(listed.slice(edges[k], edges[k + 1] - edges[k]))) for k in np.flatnonzero(np.diff(edges)).tolist()]
+        # A block without words is told of by an empty list.
+        rows = rows or [(0, block, 0, packed(pa.array([], pa.string())))]
+        return table, pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        ranks, splitter = load_ranks(path), regex.compile(pattern)
+        fs, root = filesystem(folder)
+        task, splitter = TaskContext.get().taskAttemptId(), regex.compile(pattern)
+        writer, held, n_held, n_blocks = None, [], 0, 0
+
+        def flush():
+            nonlocal writer, held, n_held, n_blocks
+            table, rows = closed(held, task << 24 | n_blocks)
+            if writer is None:
+                fs.create_dir(root, recursive=True)
+                writer = pq.ParquetWriter(f"{root}/{task}.parquet", stored, filesystem=fs, compression="zstd", use_dictionary=False, column_encoding={"words.list.element": "BYTE_STREAM_SPLIT"})
+            writer.write_table(table, row_group_size=max(1, table.num_rows))
+            held, n_held, n_blocks = [], 0, n_blocks + 1
+            return rows
+
         for batch in batches:
-            ids = ["".join(chr(i) for w in splitter.findall(t or "") for i in encode_heap(w.encode(), ranks)) for t in batch.column("text").to_pylist()]
-            yield batch.append_column("packed", pa.array(ids, type=pa.string()))
+            if not batch.num_rows:
+                continue
+            odd = batch.column("odd").to_pylist()
+            if any(t is not None for t in odd):
+                words = pa.array([w if t is None else splitter.findall(t) for t, w in zip(odd, batch.column("words").to_pylist())], pa.list_(pa.string()))
+            else:
+                words = batch.column("words")
+            lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((batch.column("doc_id"), words.flatten(), lengths))
+            n_held += int(lengths.sum())
+            if n_held >= BLOCK_WORDS:
+                yield flush()
+        if held:
+            yield flush()
+        if writer is not None:
+            writer.close()
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
-    """docs with a column ``packed``, a character for each id. A column of that name is replaced."""
-    docs = docs.drop("packed")
-    # Spark keeps the text of every plan that ran, and here plans hold large literals.
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "10000")
-    ranks = load_pairs(path)
-    known = literal_map(dictionary(docs, ranks, pattern, most))
-    # Plans and results of the dictionary are garbage now; the driver's heap shrinks before the next plan.
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    long_run = text_of().rlike(f"[^ \\n]{{{LONG_WORD}}}| {{{LONG_WORD}}}|\\n{{{LONG_WORD}}}")
-    ids = F.array_join(F.transform(words_of(text_of(), pattern), lambda w: F.coalesce(find(known, w), ranks.fold(w))), "")
-    short = docs.where(~long_run).withColumn("packed", ids)
-    short_batches(docs.sparkSession, 200)
-    schema = docs.withColumn("packed", F.lit("")).schema
-    return short.unionByName(docs.where(long_run).mapInArrow(_heap_batches(path, pattern), schema))
+POOLED = "bucket int, block long, word string, known array<int>, places binary"
+
 
+def _distinct(path: str):
+    """Step 2: the distinct words of a task's lists, then, for each list, the places of its words among them."""
+    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("word", pa.string()), ("known", pa.list_(pa.int32())), ("places", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, rows = load_ranks(path), []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "n_words")]
+            rows += [(k, b, n, unpacked(w)) for k, b, n, w in zip(*columns, batch.column("words").to_pylist())]
+        if not rows:
+            return
+        words = pa.chunked_array([r[3].dictionary_encode() for r in rows]).unify_dictionaries().combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        for k in range(0, len(words.dictionary), 8192):
+            some = words.dictionary.slice(k, 8192)
+            whole = []
+            for w in some.to_pylist():
+                raw = w.encode()
+                r = ranks.get(raw)
+                whole.append([r] if r is not None else merge_heap(raw, ranks) if len(raw) > LONG_WORD else None)
+            known = pa.array(whole, type=pa.list_(pa.int32()))
+            # Words whose ids are known need not reach the fold.
+            left = pa.array([w if x is None else None for w, x in zip(some.to_pylist(), whole)], pa.string())
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), left, known, pa.nulls(n, pa.binary())], schema=schema)
+        places, at = words.indices.to_numpy(), 0
+        for bucket, block, n, _ in rows:
+            data = places[at : at + n].astype("<i4").tobytes()
+            at += n
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([data])], schema=schema)
+
+    return run
 
-def _characters(packed: Column) -> Column:
-    return F.when(packed == "", F.array().cast("array<string>")).otherwise(F.split(packed, ""))
 
+PACKS = "block long, bucket int, lengths binary, ids binary"
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 2, after the fold: the ids of each list's words, one after the other."""
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("lengths", pa.binary()), ("ids", pa.binary())])
+    lengths, values, table = [], [], None
+    for batch in batches:
+        of_words = batch.filter(batch.column("block").is_null())
+        if of_words.num_rows:
+            lengths.append(of_words.column("ids").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            values.append(of_words.column("ids").flatten().to_numpy())
+        of_lists = batch.filter(batch.column("block").is_valid())
+        if of_lists.num_rows and table is None:
+            n = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+            table = np.cumsum(n) - n, n, np.concatenate(values) if values else np.empty(0, np.int32)
+        for bucket, block, places in zip(*(of_lists.column(c).to_pylist() for c in ("bucket", "block", "places"))):
+            which = np.frombuffer(places, "<i4")
+            ids = gathered(*table, which)
+            packs = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in (table[1][which], ids)]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([packs[0]]), pa.array([packs[1]])], schema=schema)
+
+
+ENCODED = "doc_id long, ids array<int>"
+
+
+def _assembled(folder: str):
+    """Step 3: a block's documents from its words' ids."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        fs, root = filesystem(folder)
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "lengths", "ids"))))
+        n = np.concatenate([np.frombuffer(zlib.decompress(r[1]), "<u4") for r in rows]).astype(np.int64)
+        values = np.concatenate([np.frombuffer(zlib.decompress(r[2]), "<u4") for r in rows]).astype(np.int32)
+        stored = pq.ParquetFile(f"{root}/{block >> 24}.parquet", filesystem=fs).read_row_group(block & (1 << 24) - 1)
+        words = stored.column("words").combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        which = words.flatten().to_numpy()
+        ids = gathered(np.cumsum(n) - n, n, values, which)
+        ends = np.concatenate([[0], np.cumsum(n[which])])
+        stops = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
+        lists = pa.ListArray.from_arrays(pa.array(ends[stops].astype(np.int32)), pa.array(ids, pa.int32()))
+        return pa.table({"doc_id": stored.column("doc_id"), "ids": lists})
 
-def id_array(packed: Column) -> Column:
-    """array<int> of packed ids."""
-    return F.transform(_characters(packed), F.ascii)
+    return run
 
 
-def id_bytes(packed: Column) -> Column:
-    """Packed ids as little-endian unsigned 32-bit integers: UTF-16 units with a zero unit after each."""
-    zero = F.lit("\0")
-    return F.encode(F.when(packed == "", F.lit("")).otherwise(F.concat(F.array_join(F.split(packed, ""), "\0"), zero)), "UTF-16LE")
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) of every row of docs (doc_id, text)."""
+    spark = docs.sparkSession
+    folder, n_buckets = new_folder(spark, "bpe-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    text = text_of()
+    unknown = text.rlike(r"\p{Cn}")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(unknown, text).alias("odd"), F.when(unknown, F.array().cast("array<string>")).otherwise(words_of(text, pattern)).alias("words"))
+    with batch_rows(spark, BATCH):
+        lists = written(texts.mapInArrow(_blocks(folder, n_buckets, pattern), WORDS), "bpe-words")
+    pooled = lists.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_distinct(path), POOLED)
+    ids = F.coalesce("known", F.when(F.col("word").isNotNull(), load_pairs(path).fold(F.col("word"))))
+    packs = pooled.select("bucket", "block", ids.alias("ids"), "places").mapInArrow(_packs, PACKS)
+    return packs.groupBy("block").applyInArrow(_assembled(folder), ENCODED)
 
 
-def decode(packed: Column, path: str) -> Column:
-    """The bytes of packed ids: each id's piece, concatenated."""
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and lengths of the ids' bytes in one array."""
     ranks = load_ranks(path)
-    by_id = [""] * (max(ranks.values()) + 1)
+    by_id = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        by_id[rank] = token.decode(LATIN)
-    pieces = literal(by_id, "array<string>")
-    return F.encode(F.array_join(F.transform(_characters(packed), lambda c: F.get(pieces, F.ascii(c))), ""), LATIN)
+        by_id[rank] = token
+    lengths = np.array([len(t) for t in by_id], np.int64)
+    return np.cumsum(lengths) - lengths, lengths, np.frombuffer(b"".join(by_id), np.uint8)
+
+
+def decode_ids(ids: np.ndarray, path: str) -> bytes:
+    """The bytes of ids: each id's piece, concatenated."""
+    return gathered(*_pieces(path), ids).tobytes()
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, decoded binary) of (doc_id, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            decoded = [decode_ids(np.array(x, np.int64), path) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+
+
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(path: str):
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ids")
+            n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values, stops = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+            hashes = [], []
+            for a, b in zip(stops[:-1].tolist(), stops[1:].tolist()):
+                hashes[0].append(hashlib.sha256(values[a:b].astype("<u4").tobytes()).hexdigest())
+                hashes[1].append(hashlib.sha256(decode_ids(values[a:b], path)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *(pa.array(h, pa.string()) for h in hashes)], schema=schema)
+
+    return run
 
 
-def digests(docs: DataFrame, path: str, pattern: str, most: int = DICTIONARY) -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text), the text decoded from the ids."""
-    encoded = encode(docs.select("doc_id", "text"), path, pattern, most)
-    packed = F.col("packed")
-    return encoded.select("doc_id", F.length(packed).cast("long").alias("n_tokens"), F.sha2(id_bytes(packed), 256).alias("ids_sha256"), F.sha2(decode(packed, path), 256).alias("decoded_sha256"))
+    return encode(docs, path, pattern).mapInArrow(_digested(path), DIGESTS)
 
 
 def digests_of_text(texts: list[str | None], path: str, pattern: str) -> list[tuple[int, str, str]]:

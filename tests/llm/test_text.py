@@ -322,14 +322,31 @@ def test_byte_bpe_equals_library(docs, empty):
         ids = library.encode_ordinary(t or "")
         want.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((t or "").encode())))
     key = lambda r: (str(r[0]), r[2])
-    for most in (bpe.DICTIONARY, 0):
-        assert sorted((tuple(r) for r in bpe.digests(docs, path, public.PATTERN, most).collect()), key=key) == sorted(want, key=key)
+    assert sorted((tuple(r) for r in bpe.digests(docs, path, public.PATTERN).collect()), key=key) == sorted(want, key=key)
     assert bpe.digests(empty, path, public.PATTERN).count() == 0
-    one = bpe.encode(docs.where("doc_id = 12"), path, public.PATTERN).select(bpe.id_array(F.col("packed"))).first()[0]
-    assert one == library.encode_ordinary("tie tie tie tie tie tie tie")
+    one = bpe.encode(docs.where("doc_id = 12"), path, public.PATTERN)
+    assert one.first()["ids"] == library.encode_ordinary("tie tie tie tie tie tie tie")
+    assert bytes(bpe.decode(one, path).first()["decoded"]) == b"tie tie tie tie tie tie tie"
     assert bpe.digests_of_text([t for _, t in CASES], path, public.PATTERN) == [w[1:] for w in want]
 
 
+def test_byte_bpe_on_odd_scripts(spark, monkeypatch):
+    """Unspaced scripts, letters newer than Java's tables, long runs, in many small blocks."""
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 40)
+    path, rng = public.path(queries.BYTE_VOCABULARY), random.Random(9)
+    library = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    alphabets = ["的一是不了人我在有他这中大来上国", "ก่อนที่จะไปเรียนภาษาไทย", "こんにちは世界カタカナ", "abcdefgh", "xx", " \n\t", "\U00016d54\ub203x", "1234½²", "é́ßİΣ🙂👍🏽", "\x00\x85\u3000\u200b"]
+    texts = ["".join(rng.choice(rng.choice(alphabets[: 1 + k % 10])) for _ in range(rng.randrange(0, 400))) for k in range(300)]
+    texts += ["\U00016d54\ub203", "的" * 900 + "了" * 300, "x" * 5000, "ab" * 400, " " * 2000 + "a", "w " * 3000, None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encode(df, path, public.PATTERN).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == library.encode_ordinary(t or ""), repr((t or "")[:60])
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(min_size=1, max_size=40))
 def test_heap_equals_leftmost_least(word):
