@@ -42,8 +42,8 @@ from gridloom.llm.common import batch_rows, filesystem, new_folder, text_of, wri
 
 #: Bytes of a word from which it is encoded by the heap.
 LONG_WORD = 512
-#: Words of a block's documents, from which the block is closed; documents in an Arrow batch.
-BLOCK_WORDS, BATCH = 1 << 23, 500
+#: Words of a block's documents, from which the block is closed; words put together at once; documents in an Arrow batch.
+BLOCK_WORDS, SLICE_WORDS, BATCH = 1 << 23, 1 << 18, 500
 #: In a fold, an element is a pair's rank, the piece's place in the word and the piece's id, in so many bits.
 ID_BITS, PLACE_BITS = 25, 13
 LATIN = "ISO-8859-1"
@@ -184,7 +184,7 @@ def merge_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 def gathered(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs ``which`` of values, one after the other; run k is values[starts[k] : starts[k] + lengths[k]]."""
     n = lengths[which]
-    ends = np.cumsum(n)
+    ends = np.cumsum(n, dtype=np.int64)
     places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - ends + n, n)
     return values[places]
 
@@ -207,7 +207,7 @@ WORDS = "bucket int, block long, n_words long, words binary"
 def _blocks(folder: str, n_buckets: int, pattern: str):
     """Step 1: a block's documents go to a row group of the task's file, its distinct words out by bucket."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary())])
-    stored = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32()))])
+    stored = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
     def closed(held: list[tuple[pa.Array, pa.Array, np.ndarray]], block: int) -> tuple[pa.Table, pa.RecordBatch]:
         words = pa.chunked_array([h[1].dictionary_encode() for h in held]).unify_dictionaries().combine_chunks()
@@ -216,10 +216,15 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
         order = np.argsort(bucket, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        numbers = place[words.indices.to_numpy()] if len(order) else np.empty(0, np.int32)
-        lengths = np.concatenate([h[2] for h in held])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(numbers, pa.int32()))
-        table = pa.Table.from_arrays([pa.chunked_array([h[0] for h in held]).combine_chunks(), lists], schema=stored)
+        # Documents hold a word's rank by frequency, which takes fewest bytes; the first row tells of the ranks' places.
+        indices = words.indices.to_numpy()
+        by_count = np.argsort(-np.bincount(indices, minlength=len(order)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[by_count] = np.arange(len(order), dtype=np.int32)
+        lengths, n = np.concatenate([h[2] for h in held]), sum(len(h[2]) for h in held)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(rank[indices], pa.int32()))
+        first = pa.ListArray.from_arrays(pa.array(np.minimum(np.arange(n + 1), 1).astype(np.int32) * len(order)), pa.array(place[by_count], pa.int32()))
+        table = pa.Table.from_arrays([pa.chunked_array([h[0] for h in held]), lists, first], schema=stored)
         edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         listed = words.dictionary.take(pa.array(order))
         rows = [(k, block, int(edges[k + 1] - edges[k]), packed(listed.slice(edges[k], edges[k + 1] - edges[k]))) for k in np.flatnonzero(np.diff(edges)).tolist()]
@@ -239,7 +244,7 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
             table, rows = closed(held, task << 24 | n_blocks)
             if writer is None:
                 fs.create_dir(root, recursive=True)
-                writer = pq.ParquetWriter(f"{root}/{task}.parquet", stored, filesystem=fs, compression="zstd", use_dictionary=False, column_encoding={"words.list.element": "BYTE_STREAM_SPLIT"})
+                writer = pq.ParquetWriter(f"{root}/{task}.parquet", stored, filesystem=fs, compression="zstd", compression_level=5, use_dictionary=False, column_encoding={"words.list.element": "BYTE_STREAM_SPLIT"})
             writer.write_table(table, row_group_size=max(1, table.num_rows))
             held, n_held, n_blocks = [], 0, n_blocks + 1
             return rows
@@ -261,6 +266,7 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
             yield flush()
         if writer is not None:
             writer.close()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -298,6 +304,7 @@ def _distinct(path: str):
             data = places[at : at + n].astype("<i4").tobytes()
             at += n
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([data])], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -329,23 +336,40 @@ ENCODED = "doc_id long, ids array<int>"
 
 
 def _assembled(folder: str):
-    """Step 3: a block's documents from its words' ids."""
+    """Step 3: a block's documents from its words' ids; rows come sorted by block and bucket."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        block = key[0].as_py()
+    def documents(block: int, packs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("bucket", "lengths", "ids"))))
-        n = np.concatenate([np.frombuffer(zlib.decompress(r[1]), "<u4") for r in rows]).astype(np.int64)
-        values = np.concatenate([np.frombuffer(zlib.decompress(r[2]), "<u4") for r in rows]).astype(np.int32)
+        n = np.concatenate([np.frombuffer(zlib.decompress(p[0]), "<u4") for p in packs]).astype(np.int32)
+        values = np.concatenate([np.frombuffer(zlib.decompress(p[1]), "<u4") for p in packs]).astype(np.int32)
+        starts = np.cumsum(n, dtype=np.int64) - n
         stored = pq.ParquetFile(f"{root}/{block >> 24}.parquet", filesystem=fs).read_row_group(block & (1 << 24) - 1)
-        words = stored.column("words").combine_chunks()
-        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        which = words.flatten().to_numpy()
-        ids = gathered(np.cumsum(n) - n, n, values, which)
-        ends = np.concatenate([[0], np.cumsum(n[which])])
-        stops = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy())])
-        lists = pa.ListArray.from_arrays(pa.array(ends[stops].astype(np.int32)), pa.array(ids, pa.int32()))
-        return pa.table({"doc_id": stored.column("doc_id"), "ids": lists})
+        places = stored.column("places").chunk(0).flatten().to_numpy()
+        n, starts = n[places], starts[places]  # by rank
+        doc_ids, lists = stored.column("doc_id").combine_chunks(), stored.column("words").chunks
+        which = np.concatenate([c.flatten().to_numpy() for c in lists])
+        stops = np.concatenate([[0], np.cumsum(np.concatenate([c.value_lengths().to_numpy() for c in lists]), dtype=np.int64)])
+        k = 0
+        while k < len(doc_ids):
+            stop = max(k + 1, int(np.searchsorted(stops, stops[k] + SLICE_WORDS, side="right")) - 1)
+            some = which[stops[k] : stops[stop]]
+            ends = np.concatenate([[0], np.cumsum(n[some], dtype=np.int64)])[stops[k : stop + 1] - stops[k]]
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(gathered(starts, n, values, some), pa.int32()))
+            yield pa.RecordBatch.from_arrays([doc_ids.slice(k, stop - k), ids], names=["doc_id", "ids"])
+            k = stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, packs = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (at := batch.column("block")[i].as_py()) != block:
+                    if packs:
+                        yield from documents(block, packs)
+                    block, packs = at, []
+                packs.append((batch.column("lengths")[i].as_py(), batch.column("ids")[i].as_py()))
+        if packs:
+            yield from documents(block, packs)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -362,7 +386,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     pooled = lists.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_distinct(path), POOLED)
     ids = F.coalesce("known", F.when(F.col("word").isNotNull(), load_pairs(path).fold(F.col("word"))))
     packs = pooled.select("bucket", "block", ids.alias("ids"), "places").mapInArrow(_packs, PACKS)
-    return packs.groupBy("block").applyInArrow(_assembled(folder), ENCODED)
+    return packs.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_assembled(folder), ENCODED)
 
 
 @lru_cache(maxsize=2)
