@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +60,26 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: Bits of a bitmap for each value, its most bits (it goes to every task), and bits of one of its pieces.
+BITS_A_VALUE, MOST_BITS, PIECE = 16, 1 << 27, 1 << 15
+
+
+def marked(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column ``name``: false only where the long column ``hash`` is surely not among values (hash).
+
+    A Bloom filter of one hash function: values set bits of a bitmap of bounded size, which is
+    broadcast in pieces. Beyond the bound more rows are true that need not be.
+    """
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(PIECE.bit_length() - 1, (BITS_A_VALUE * values.count()).bit_length()))
+    spot = F.pmod(F.col("hash"), F.lit(bits))
+    spots = values.select(spot.alias("spot")).distinct()
+    # At most bits / PIECE rows of PIECE bits: MOST_BITS / 8 bytes.
+    pieces = spots.groupBy(F.floor(F.col("spot") / PIECE).alias("piece")).agg(F.bitmap_construct_agg(F.col("spot") % PIECE).alias("bitmap"))
+    octet = F.conv(F.hex(F.substring("bitmap", (F.floor(F.col("spot") % PIECE / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    out = rows.withColumn("spot", spot).withColumn("piece", F.floor(F.col("spot") / PIECE)).join(F.broadcast(pieces), "piece", "left")
+    return out.withColumn(name, F.coalesce(F.getbit(octet, (F.col("spot") % 8).cast("int")) == 1, F.lit(False))).drop("piece", "spot", "bitmap")
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch handed to a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -83,17 +102,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, table))
 
 
-def by_rows(schema: pa.Schema, make: Callable[[pa.RecordBatch], dict]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function from one that turns a batch into columns of the given schema."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = make(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)
-
-    return run
-
-
 def text_of(column: str = "text") -> F.Column:
     """The text, null counted as empty."""
     return F.coalesce(F.col(column), F.lit(""))

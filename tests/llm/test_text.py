@@ -240,7 +240,26 @@ def test_full_bytes_decide(spark):
     df = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "AA"), (4, "ccc")], "doc_id long, text string")
     run = exact_dedup.ExactDedup(spark, digest=lambda t: F.unhex(F.sha2(F.length(t).cast("string"), 256)))
     run.add(df)
-    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in run.resolve(df).collect()} == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in run.resolve().collect()} == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
+
+
+def test_digest_clash_in_the_stream(spark, tmp_path):
+    """All texts share the first digest, in one stream and read from files: the bytes decide, and the state tells of the clash."""
+    rows = [(i, t) for i, t in enumerate(["a", "b", "A", "c", "b", "a", None, ""])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    run = exact_dedup.ExactDedup(spark, digest=lambda t: F.unhex(F.sha2(F.lit("same"), 256)))
+    run.add(spark.read.parquet(str(tmp_path / "docs")))
+    (state,) = run.state().collect()
+    assert state["n"] == 8 and state["low"] != state["high"] and "docs" in state["file"]
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in run.resolve().collect()} == {0: (5, 3), 2: (5, 3), 5: (5, 3), 1: (4, 2), 4: (4, 2), 3: (3, 1), 6: (7, 2), 7: (7, 2)}
+
+
+def test_bitmap_misses_no_value(spark):
+    from gridloom.llm.common import marked
+
+    rows = spark.range(20000).select(F.xxhash64("id").alias("hash"), "id")
+    got = marked(rows, rows.where("id % 7 = 0").select("hash"), "hit").toPandas()
+    assert got[got.id % 7 == 0].hit.all() and got[got.id % 7 != 0].hit.mean() < 0.2
 
 
 def test_state_spans_calls(spark):
@@ -249,8 +268,12 @@ def test_state_spans_calls(spark):
     run = exact_dedup.ExactDedup(spark)
     run.add(first)
     run.add(second)
-    assert sorted((r["doc_id"], r["n"]) for r in run.state().collect()) == [(2, 1), (5, 1), (7, 2)]
-    assert {r["doc_id"]: r["kept"] for r in run.resolve(first.unionByName(second)).collect()} == {1: False, 7: True, 2: True, 5: True}
+    held = {r["doc_id"]: r for r in run.state().collect()}
+    assert {i: r["n"] for i, r in held.items()} == {2: 1, 5: 1, 7: 2}
+    # The locator of the row that stays leads to its content.
+    rows = spark.read.parquet(held[7]["file"]).select("text", "_metadata.row_index").collect()
+    assert {r["row_index"]: r["text"] for r in rows}[held[7]["place"]] == "X"
+    assert {r["doc_id"]: r["kept"] for r in run.resolve().collect()} == {1: False, 7: True, 2: True, 5: True}
 
 
 # --- op7
@@ -367,7 +390,7 @@ def test_heap_equals_leftmost_least(word):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got, want = queries.QUERIES[name](spark, DATA).toPandas(), con.execute(queries.ORACLES[name]).df()
     show = lambda f: sorted((tuple(None if v is None or v is pd.NA or v != v else round(v, 6) if isinstance(v, float) else v for v in r) for r in f[sorted(f.columns)].astype(object).itertuples(index=False)), key=repr)
