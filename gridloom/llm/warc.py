@@ -1,9 +1,12 @@
 """WARC archives as a chunked record table.
 
-Writing gets a payload whole, as one Arrow value, and copies views of at most ``CHUNK`` bytes of it
-into a per-record gzip member; reading never holds a whole payload: it yields (record, chunk number) rows and
-carries the SHA-256 and the length forward from chunk to chunk, so that a record's last row holds
-the digest of the whole payload.
+Neither side holds a whole payload in Python. Spark cuts payloads into rows (record, chunk number) of
+at most ``CHUNK`` bytes before the writer, which feeds them to a gzip member for each record and
+carries the SHA-256 from chunk to chunk; the reader yields such rows again and carries digest and length
+forward, so that a record's last row holds the digest of the whole payload.
+
+What is a revisit is decided on rows (page_id, digest). Only payloads whose digest may occur twice are
+shuffled, to meet the decision; all others are written where they were read.
 
 Defined results: a null payload is empty; a null url writes no target; a null id is written as
 ``urn:page:null`` and read back as null; rows that repeat the smallest id of a group of equal
@@ -23,10 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filesystem, new_folder, short_batches, written
+from gridloom.llm.common import batch_rows, filesystem, marked, new_folder, written
 
-#: Bytes of a payload handled at once.
-CHUNK = 1 << 18
+#: Bytes of a payload handled at once; chunks in an Arrow batch.
+CHUNK, BATCH = 1 << 18, 128
 #: Payloads shorter than this are always written out.
 LEAST_REVISIT = 100
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -74,21 +77,28 @@ def _header(record_type: str, page_id, url, size: int, digest: str, refers_to, b
 def decided(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of (page_id, url, payload).
 
-    Equal payloads are counted by digest with map-side combining; only digests that occur more than
-    once are joined back, and a hot digest's rows are split by the skew join.
+    Equal payloads are counted by digest with map-side combining; a hot digest's rows are split by
+    the skew join.
     """
     rows = records.select(
         "page_id", "url", "payload", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
     )
-    groups = (
-        rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-        .where("copies > 1 and first_id is not null").select(F.col("payload_digest").alias("group_digest"), "first_id")
-    )
-    joined = rows.join(groups, rows.payload_digest == groups.group_digest, "left")
-    return joined.select(
-        "page_id", "url", "payload", "payload_bytes", "payload_digest",
-        F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True)), F.col("first_id")).alias("refers_to"),
-    )
+    copied = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
+    groups = written(copied.where("copies > 1 and first_id is not null").select(F.col("payload_digest").alias("group_digest"), "first_id"), "warc-groups")
+    some = marked(rows.withColumn("hash", F.xxhash64("payload_digest")), groups.select(F.xxhash64("group_digest").alias("hash")), "copied")
+    alone = some.where("not copied").select(*rows.columns, F.lit(None).cast("long").alias("refers_to"))
+    joined = some.where((F.col("payload_bytes") >= least) & F.col("copied")).join(groups, F.col("payload_digest") == F.col("group_digest"), "left")
+    refers_to = F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True)), F.col("first_id"))
+    short = some.where((F.col("payload_bytes") < least) & F.col("copied")).select(*rows.columns, F.lit(None).cast("long").alias("refers_to"))
+    return alone.unionByName(short).unionByName(joined.select(*rows.columns, refers_to.alias("refers_to")))
+
+
+def chunked(records: DataFrame) -> DataFrame:
+    """A row for each chunk of a record's payload, in order and next to each other; a revisit has one, without data."""
+    n = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.col("payload_bytes") / CHUNK).cast("int")))
+    rows = records.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    data = F.when(F.col("refers_to").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * CHUNK + 1, F.lit(CHUNK)))
+    return rows.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "chunk_no", (F.col("chunk_no") == n - 1).alias("is_last"), data.alias("data"))
 
 
 def _writer(folder: str):
@@ -97,26 +107,29 @@ def _writer(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         fs, root = filesystem(folder)
-        path, out, n = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", None, 0
+        path, out, member, digest, n = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz", None, None, None, 0
         for batch in batches:
             if out is None and batch.num_rows:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(path, compression=None)
             columns = {name: batch.column(name) for name in batch.schema.names}
             for i in range(batch.num_rows):
-                at = {k: v[i].as_py() for k, v in columns.items() if k != "payload"}
+                at = {k: v[i].as_py() for k, v in columns.items() if k != "data"}
                 revisit = at["refers_to"] is not None
-                payload = memoryview(columns["payload"][i].as_buffer() or b"")
-                member = _Member(out)
-                block = len(HTTP_HEAD) + (0 if revisit else len(payload))
-                member.put(_header("revisit" if revisit else "response", at["page_id"], at["url"], at["payload_bytes"], at["payload_digest"], at["refers_to"], block))
-                member.put(HTTP_HEAD)
-                if not revisit:
-                    for k in range(0, len(payload), CHUNK):
-                        member.put(payload[k : k + CHUNK])
-                member.put(b"\r\n\r\n")
-                member.close()
-                n += 1
+                data = memoryview(columns["data"][i].as_buffer() or b"")
+                if at["chunk_no"] == 0:
+                    member, digest = _Member(out), hashlib.sha256()
+                    block = len(HTTP_HEAD) + (0 if revisit else at["payload_bytes"])
+                    member.put(_header("revisit" if revisit else "response", at["page_id"], at["url"], at["payload_bytes"], at["payload_digest"], at["refers_to"], block))
+                    member.put(HTTP_HEAD)
+                member.put(data)
+                digest.update(data)
+                if at["is_last"]:
+                    if not revisit and digest.hexdigest() != at["payload_digest"]:
+                        raise ValueError("a record's chunks are not those of its payload")
+                    member.put(b"\r\n\r\n")
+                    member.close()
+                    n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [n]}, schema=schema)
@@ -131,8 +144,8 @@ def write_archives(records: DataFrame, folder: str | None = None, least: int = L
     retried or speculative task leaves no half record in the result.
     """
     spark = records.sparkSession
-    short_batches(spark, 200)
-    return written(decided(records, least).mapInArrow(_writer(folder or new_folder(spark, "warc")), MANIFEST), "warc-manifest")
+    with batch_rows(spark, BATCH):
+        return written(chunked(decided(records, least)).mapInArrow(_writer(folder or new_folder(spark, "warc")), MANIFEST), "warc-manifest")
 
 
 class _Inflated:
