@@ -82,4 +82,4 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
 }
-ORACLES = {"op3_mixing": mixing.oracle(), "op4_chat": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op2_ngram_jaccard": jaccard.ORACLE, "op3_mixing": mixing.oracle(), "op4_chat": chat.ORACLE, "op5_embedding_near_dup": vectors.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}

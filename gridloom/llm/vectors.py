@@ -86,15 +86,15 @@ def tile_pairs(x: np.ndarray, y: np.ndarray, own: bool, block: int, cosine: floa
     size = x.shape[1]
     cut, most = blocks(size), budgets(size, cosine)
     bx, by = rx[:, cut[block]].astype(np.float32), ry[:, cut[block]].astype(np.float32)
-    nx, ny = (bx * bx).sum(1), (by * by).sum(1)
+    # One product gives -|a - b|^2 / 2 = ab - |a|^2 / 2 - |b|^2 / 2.
+    half_x, half_y = (bx * bx).sum(1, keepdims=True) / 2, (by * by).sum(1, keepdims=True) / 2
+    bx, by = np.hstack([bx, -half_x, np.ones_like(half_x)]), np.hstack([by, np.ones_like(half_y), -half_y])
+    least = np.float32(-(most[block] + 1e-5) / 2)  # with a margin over what single precision may lose
     length_x, length_y = np.sqrt(np.einsum("nd,nd->n", x, x)), np.sqrt(np.einsum("nd,nd->n", y, y))
     for k in range(0, len(x), ROWS):
         first = k if own else 0
-        # |a|^2 + |b|^2 - 2ab, with a margin over what single precision may lose.
-        far = bx[k : k + ROWS] @ by[first:].T
-        near = far >= (nx[k : k + ROWS, None] + ny[None, first:] - np.float32(most[block] + 1e-5)) / 2
-        i, j = np.nonzero(near)
-        i, j = i + k, j + first
+        near = np.flatnonzero((bx[k : k + ROWS] @ by[first:].T) >= least)
+        i, j = near // (len(y) - first) + k, near % (len(y) - first) + first
         if own:
             i, j = i[j > i], j[j > i]
         for p in range(0, len(i), PAIRS):
@@ -189,6 +189,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, part: int = PART
     return answered.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+#: DuckDB SQL for the query: cosines of all pairs, components by reaching out from every vector.
+ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), good AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM d
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.len * b.len) >= {COSINE}
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT d.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.component_id, d.vec_id = least.component_id AS kept
+FROM d JOIN least ON least.a = d.vec_id LEFT JOIN n ON n.a = d.vec_id
+"""
+
+
 def brute_force(vectors: dict[int, list | None], cosine: float = COSINE) -> dict[int, tuple[int, int]]:
     """vec_id: (n_links, component_id) by all pairs: for tests."""
     label = {i: i for i in vectors}
