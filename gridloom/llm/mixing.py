@@ -1,34 +1,42 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
-Documents fall into cells (source, language, topic). Starting from the tokens that each cell holds,
-the cells' weights are scaled in turn to the target shares of sources, languages and topics until
-all three margins agree. A cell's weight for each token it has is the rate at which its documents
-are wanted; rates are scaled, and cut at one, so that the expected tokens of the sample are the
-wanted share of all tokens, and each document is kept if a uniform number made from its doc_id falls
-under its cell's probability.
-
-Only cells (combined on the map side) are shuffled for the fit; documents are read once to count and
-once to sample.
+Documents fall into cells (source, language, topic) of so many tokens. A cell's weight is the number
+of its tokens that the sample is to hold in expectation, so it is never more than the cell has. All
+weights begin at the same share of the cells' tokens; then they are scaled in turn to the goals of
+sources, languages and topics, and cut at what the cells have within the loop, until all margins are
+within ``CLOSE`` of their goals (looked at every ``STEP`` rounds). Weight over tokens is the
+probability with which each document of the cell is kept: a uniform number made from its doc_id
+falls under it.
+
+Goals. A value's goal is its target share of the sample's tokens. Where a value has too few tokens
+for that, the whole sample is made smaller, down to ``LEAST_SHARE`` of all tokens; a value that is
+still short has all its tokens wanted, and the rest of the sample goes to the other values by their
+targets. ``report`` tells each value's target, goal and expected share.
+
+Only cells (combined on the map side) are shuffled for the fit; a task holds the cells of one value
+at most. Documents are read once to count and once to sample.
 
 Defined results: null source or language is a value of its own, written ``(none)``; a null or empty
 text has no tokens and the topic of plain text; a cell without tokens has probability one; a null
-doc_id is drawn like the id -1; rows that repeat a doc_id are drawn alike; margins whose targets
-cannot all be met end as near as the last round brings them; an empty table gives no rows; drawn()
-replaces columns named like its results, sample() leaves every column as it was.
+doc_id is drawn like the id -1; rows that repeat a doc_id are drawn alike; margins whose goals
+cannot all be met together end as near as the last round brings them; an empty table gives no rows;
+drawn() replaces columns named like its results, sample() leaves every column as it was.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import text_of, written
 
-ROUNDS = 8
-#: Tokens wanted in the sample, as a share of all.
-SHARE = 0.5
+#: Rounds at most, rounds between two looks at the margins, and how near they must be.
+ROUNDS, STEP, CLOSE = 60, 6, 1e-4
+#: Tokens wanted in the sample, as a share of all, and the share under which it is not lowered to meet a target.
+SHARE, LEAST_SHARE = 0.5, 0.25
 NONE = "(none)"
 #: Target shares by language; a language that is not named has OTHER.
 LANGUAGES, OTHER = {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.20}, 0.05
@@ -76,46 +84,68 @@ def with_cells(docs: DataFrame, topic: Callable[[Column], Column] = topic_of) ->
     })
 
 
-def fitted(cells: DataFrame, targets: dict[str, Callable[[Column, Column], Column]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """cells (source, lang, topic, tokens) with their raked weight."""
-    targets = targets or default_targets()
-    total = Window.partitionBy()
-    out = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+def goals(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
+    """(dimension, value, held, target, goal) of every value of cells (source, lang, topic, tokens): tokens, share, tokens wanted."""
+    targets, rows = targets or default_targets(), None
+    for d in DIMENSIONS:
+        margin = cells.where("tokens > 0").groupBy(d).agg(F.sum("tokens").cast("double").alias("held"))
+        margin = margin.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "held", targets[d](F.col(d), F.col("held")).alias("raw"))
+        rows = margin if rows is None else rows.unionByName(margin)
+    of = Window.partitionBy("dimension")
+    rows = written(rows.where("raw > 0").select("dimension", "value", "held", (F.col("raw") / F.sum("raw").over(of)).alias("target"), F.sum("held").over(of).alias("total")), "mix-margins")
+    met = rows.agg(F.min(F.col("held") / (F.col("total") * F.col("target")))).first()[0]
+    wanted = F.lit(max(min(share, LEAST_SHARE), min(share, share if met is None else met)))
+    # Values in order of how soon they are exhausted: from the first that is not, what is left is dealt out by target.
+    before = of.orderBy(F.col("held") / F.col("target"), "value").rowsBetween(Window.unboundedPreceding, -1)
+    left = wanted * F.col("total") - F.coalesce(F.sum("held").over(before), F.lit(0.0))
+    rows = rows.withColumn("rate", left / (F.sum("target").over(of) - F.coalesce(F.sum("target").over(before), F.lit(0.0))))
+    rate = F.max(F.when(F.col("rate") * F.col("target") <= F.col("held"), F.col("rate"))).over(of)
+    return rows.withColumn("goal", F.coalesce(F.least(F.col("held"), rate * F.col("target")), F.col("held"))).select("dimension", "value", "held", "target", "goal")
+
+
+def fitted(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[Column, Column], Column]] | None = None, rounds: int = ROUNDS, step: int = STEP, close: float = CLOSE) -> DataFrame:
+    """cells (source, lang, topic, tokens) that have tokens, with their raked weight: the tokens wanted of each."""
+    margins = written(goals(cells, share, targets), "mix-goals")
+    out = cells.where("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(share))
+    for d in DIMENSIONS:
+        out = out.join(margins.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}")), d)
+    done = 0
+    while done < rounds:
+        for _ in range(step):
+            for d in DIMENSIONS:
+                sums = F.sum("weight").over(Window.partitionBy(d))
+                out = out.withColumn("weight", F.least(F.col("tokens").cast("double"), F.col("weight") * F.col(f"goal_{d}") / sums))
+        done += step
+        out = written(out, "mix-weights")
+        off = [out.groupBy(d).agg(F.abs(F.sum("weight") / F.first(f"goal_{d}") - 1).alias("off")).select("off") for d in DIMENSIONS]
+        worst = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0]
+        if worst is None or worst <= close:
+            break
+    return out.select(*DIMENSIONS, "tokens", "weight")
+
+
+def cells_of(docs: DataFrame, topic: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(source, lang, topic, tokens) of docs, written."""
+    rows = with_cells(docs, topic or topic_of)
+    return written(rows.groupBy(F.col("cell_source").alias("source"), F.col("cell_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
+
+
+def report(docs: DataFrame, share: float = SHARE, targets=None) -> DataFrame:
+    """(dimension, value, held, target, goal, expected): tokens, target share, tokens wanted and tokens expected of each value."""
+    cells = cells_of(docs)
+    weights, rows = written(fitted(cells, share, targets), "mix-report"), None
     for d in DIMENSIONS:
-        margin = out.groupBy(d).agg(F.sum("tokens").cast("double").alias("held"))
-        margin = margin.withColumn("wanted", targets[d](F.col(d), F.col("held")))
-        margin = margin.withColumn(f"target_{d}", F.col("wanted") / F.sum("wanted").over(total) * F.sum("held").over(total))
-        out = out.join(margin.select(d, f"target_{d}"), d)
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"target_{d}") / F.sum("weight").over(Window.partitionBy(d)))
-    return out
-
-
-def probabilities(weighted: DataFrame, share: float = SHARE) -> DataFrame:
-    """Each cell's probability: min(1, c * weight / tokens), c such that the expected tokens are the wanted share.
-
-    In order of falling rate, c is what is left for a cell and those after it over their weights, at
-    the first cell where that makes no probability above one.
-    """
-    rate = F.col("weight") / F.col("tokens")
-    order = Window.partitionBy().orderBy(F.col("rate").desc(), *DIMENSIONS)
-    whole = Window.partitionBy()
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    out = weighted.withColumn("rate", rate)
-    left = F.sum("tokens").over(whole) * F.lit(share) - F.coalesce(F.sum("tokens").over(before), F.lit(0))
-    weight_left = F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
-    out = out.withColumn("c", left / weight_left)
-    scale = F.coalesce(F.max(F.when(F.col("c") * F.col("rate") <= 1, F.col("c"))).over(whole), F.lit(0.0))
-    return out.withColumn("probability", F.round(F.least(F.lit(1.0), scale * F.col("rate")), 6)).select(*DIMENSIONS, "tokens", "weight", "probability")
+        part = weights.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("expected")).withColumn("dimension", F.lit(d))
+        rows = part if rows is None else rows.unionByName(part)
+    return goals(cells, share, targets).join(rows, ["dimension", "value"])
 
 
 def drawn(docs: DataFrame, share: float = SHARE, targets=None, topic: Callable[[Column], Column] = topic_of) -> DataFrame:
     """docs with topic, n_tokens, probability and kept."""
     base = docs.drop("topic", "n_tokens", "probability", "kept", "cell_source", "cell_lang")
     rows = with_cells(base, topic)
-    cells = written(rows.groupBy(F.col("cell_source").alias("source"), F.col("cell_lang").alias("lang"), "topic").agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
-    chances = written(probabilities(fitted(cells, targets), share), "mix-chances")
+    weights = fitted(cells_of(base, topic), share, targets)
+    chances = written(weights.select(*DIMENSIONS, F.round(F.col("weight") / F.col("tokens"), 6).alias("probability")), "mix-chances")
     chances = chances.select(F.col("source").alias("cell_source"), F.col("lang").alias("cell_lang"), "topic", "probability")
     out = rows.join(chances, ["cell_source", "cell_lang", "topic"], "left")
     out = out.withColumn("probability", F.coalesce("probability", F.lit(1.0)))
@@ -128,29 +158,36 @@ def sample(docs: DataFrame, share: float = SHARE, targets=None) -> DataFrame:
     return drawn(docs.select("doc_id", "text", "lang", "source", whole), share, targets).where("kept").select("whole.*")
 
 
-def oracle(share: float = SHARE, rounds: int = ROUNDS, table: str = "documents") -> str:
-    """DuckDB SQL for doc_id, topic, n_tokens, probability and kept."""
+def oracle(share: float = SHARE, table: str = "documents") -> str:
+    """DuckDB SQL for doc_id, topic, n_tokens, probability and kept: the rounds are a recursive query."""
     named = " ".join(f"WHEN lang = '{k}' THEN {v}" for k, v in LANGUAGES.items())
-    raw = {"source": "1.0", "lang": f"CASE {named} ELSE {OTHER} END", "topic": f"pow(held, {TEMPER})"}
-    ctes = [f"""d AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
+    raw = {"source": "1.0", "lang": f"CASE {named} ELSE {OTHER} END", "topic": f"pow(sum(tokens), {TEMPER})"}
+    margins = "\n  UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, sum(tokens)::DOUBLE AS held, {raw[d]}::DOUBLE AS raw FROM c GROUP BY {d}" for d in DIMENSIONS)
+    body = "it"
+    for k in range(STEP * len(DIMENSIONS)):
+        d = DIMENSIONS[k % len(DIMENSIONS)]
+        keep = "i, worst" if k else "i + 1 AS i, worst"
+        where = "" if k else f" WHERE worst > {CLOSE} AND i < {ROUNDS // STEP}"
+        body = f"(SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, {keep}, least(tokens, weight * goal_{d} / sum(weight) OVER (PARTITION BY {d})) AS weight FROM {body}{where})"
+    off = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {d}) / goal_{d} - 1)" for d in DIMENSIONS)
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
   CASE WHEN contains(coalesce(text, ''), '@') THEN 'contact' WHEN contains(coalesce(text, ''), 'icense') OR contains(coalesce(text, ''), '©') THEN 'legal'
        WHEN regexp_matches(coalesce(text, ''), '[|#$%&*]') THEN 'markup' ELSE 'prose' END AS topic,
-  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {table})""",
-        "c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0)"]
-    for k in DIMENSIONS:
-        ctes.append(f"m_{k} AS (SELECT {k}, {raw[k]} AS wanted, held FROM (SELECT {k}, sum(tokens) AS held FROM c GROUP BY {k}))")
-        ctes.append(f"t_{k} AS (SELECT {k}, wanted / sum(wanted) OVER () * sum(held) OVER () AS target_{k} FROM m_{k})")
-    ctes.append("w0 AS (SELECT c.*, tokens AS weight, target_source, target_lang, target_topic FROM c JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic))")
-    n = 0
-    for _ in range(rounds):
-        for k in DIMENSIONS:
-            ctes.append(f"w{n + 1} AS (SELECT * REPLACE (weight * target_{k} / sum(weight) OVER (PARTITION BY {k}) AS weight) FROM w{n})")
-            n += 1
-    ctes.append(f"r AS (SELECT *, weight / tokens AS rate FROM w{n})")
-    ctes.append(f"""s AS (SELECT *, (sum(tokens) OVER () * {share} - coalesce(sum(tokens) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS c FROM r
-  WINDOW p AS (ORDER BY rate DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
-    ctes.append("p AS (SELECT source, lang, topic, round(least(1.0, rate * coalesce(max(CASE WHEN c * rate <= 1 THEN c END) OVER (), 0.0)), 6) AS probability FROM s)")
-    return "WITH " + ",\n".join(ctes) + """
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM {table}),
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),
+m AS (SELECT dimension, value, held, raw / sum(raw) OVER w AS target, sum(held) OVER w AS total FROM ({margins}) WINDOW w AS (PARTITION BY dimension)),
+s AS (SELECT greatest({min(share, LEAST_SHARE)}, least({share}, min(held / (total * target)))) AS wanted FROM m),
+r AS (SELECT m.*, (wanted * total - coalesce(sum(held) OVER p, 0)) / (sum(target) OVER (PARTITION BY dimension) - coalesce(sum(target) OVER p, 0)) AS rate FROM m, s
+  WINDOW p AS (PARTITION BY dimension ORDER BY held / target, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT dimension, value, coalesce(least(held, target * max(CASE WHEN rate * target <= held THEN rate END) OVER (PARTITION BY dimension)), held) AS goal FROM r),
+it AS (
+  SELECT c.source, c.lang, c.topic, tokens, x.goal AS goal_source, y.goal AS goal_lang, z.goal AS goal_topic, 0 AS i, 1e9::DOUBLE AS worst, tokens * {share} AS weight FROM c
+  JOIN g x ON x.dimension = 'source' AND x.value = c.source JOIN g y ON y.dimension = 'lang' AND y.value = c.lang JOIN g z ON z.dimension = 'topic' AND z.value = c.topic
+  UNION ALL
+  SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, i, max(off) OVER () AS worst, weight FROM (SELECT *, greatest({off}) AS off FROM {body})
+),
+p AS (SELECT source, lang, topic, round(weight / tokens, 6) AS probability FROM it WHERE i = (SELECT max(i) FROM it))
 SELECT d.doc_id, d.topic, d.n_tokens, coalesce(p.probability, 1.0) AS probability,
        ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '-1')), 1, 8))::BIGINT / 4294967296.0 < coalesce(p.probability, 1.0) AS kept
 FROM d LEFT JOIN p USING (source, lang, topic)"""

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import io
+import math
+import random
 import re
 
 import numpy as np
@@ -167,3 +169,92 @@ def test_warc_chunks(spark):
         with fs.open_input_stream(path, compression=None) as f:
             text = gzip.GzipFile(fileobj=io.BytesIO(f.read())).read()
         assert text.startswith(b"WARC/1.1\r\nWARC-Type: response\r\n")
+
+
+# --- op8: what pages look like elsewhere, and the ratios again in plain code
+
+LONG = "This paragraph says something, and it says it at some length; so it is content, as anyone can see. "
+BODY = f"<p>{LONG * 3}</p><p>{LONG * 2}</p>"
+BODY_TEXT = f"{(LONG * 3).strip()}\n{(LONG * 2).strip()}"
+
+
+@pytest.mark.parametrize("more,text", [
+    ('<h1 class="article-header">Head</h1>', "Head"), ('<p class="market-share">Shares of the market.</p>', "Shares of the market."), ('<p class="notice-period">A month.</p>', "A month."),
+    ('<div class="search-results-study">We searched.</div>', "We searched."), ("<p>a<svg/>b</p>", "ab"), ("<p>a<svg><path/></svg>b</p>", "ab"), ("<p>x &lt<b>; y</b></p>", "x <; y"), ("<p>&am<i>p;</i></p>", "&amp;"),
+    ("<p hidden>no</p><p>yes</p>", "yes"), ('<div style="color: red; display: none">no</div><p>yes</p>', "yes"), ("<p aria-hidden=true>no</p><p>yes</p>", "yes"),
+    ("<blockquote><p>Said so.</p><footer>Someone</footer></blockquote>", "Said so.\nSomeone"), ('<div class="ad-slot-2">Buy.</div><div class="share links"><a href=x>s</a></div><p>yes</p>', "yes"),
+    ('<ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul><p>yes</p>', "yes"), ("<ul><li>One</li><li>Two</li></ul>", "One\nTwo"), ("<table><tr><td>1</td><td>2</td></tr></table>", "1\n2"),
+    ("<!-- c --><p>1 &amp; 2&nbsp;&#8211;  3</p><script>var t = '</p>';</script>", "1 & 2 \u2013 3"), ('<section class="comments"><p>' + LONG * 9 + "</p></section><p>yes</p>", "yes"), ("<p>a < b and 1<2</p>", "a < b and 1<2"),
+])
+def test_blocks_of_an_article(more, text):
+    page = f"<html><body><nav><a href=x>Menu</a></nav><article>{BODY}{more}</article><footer>Foot</footer></body></html>"
+    assert html.extract(page) == f"{BODY_TEXT}\n{text}"
+    assert html.extract(page.replace("article>", "div>")) == f"{BODY_TEXT}\n{text}"
+
+
+def test_other_pages():
+    teaser = "<article><h2><a href=x>Other news</a></h2><p>Short.</p></article>"
+    assert html.extract(f"<main><article>{BODY}</article>{teaser}</main>") == BODY_TEXT
+    assert html.extract(f"<main><div>{BODY}</div>{teaser}</main>") == BODY_TEXT
+    assert html.extract(f"<main><article>{BODY}</article><article>{BODY}</article></main>") == f"{BODY_TEXT}\n{BODY_TEXT}"
+    assert html.extract(f"<body><div id=nav><a href=x>Menu</a></div><div><h1>Head</h1><p>Intro</p><section>{BODY * 5}</section></div><div class=sidebar>Side</div></body>") == "Head\nIntro\n" + "\n".join([BODY_TEXT] * 5)
+    assert html.extract(f'<body><div class="widget">{BODY}</div></body>') == BODY_TEXT
+    assert html.extract(f"<p>{LONG}<svg/></p><p>After.</p>") == f"{LONG.strip()}\nAfter."
+    assert html.extract("<nav>only</nav>") == html.extract("") == html.extract("<div>") == html.extract("<script>x") == ""
+
+
+def test_deep_pages():
+    import time
+    import tracemalloc
+
+    tracemalloc.start()
+    assert html.extract("<div>" * 40_000 + LONG) == LONG.strip()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000 * 1000
+    for page in ("<div>" * 200_000 + LONG, "<b>" * 100_000 + LONG + "</i>" * 100_000, "<footer>" * 100_000 + LONG, "<p>x" * 50_000, "<div><b>x" * 15_000):
+        began = time.time()
+        html.extract(page)
+        assert time.time() - began < 30
+
+
+def test_ratios_again_in_plain_code():
+    """Sums by whole path strings and the formula written out, on random pages without markup that closes itself."""
+    rng = random.Random(4)
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return " ".join(rng.choice(["word", "a,", "longer", "end."]) for _ in range(rng.randrange(1, 30)))
+        tag = rng.choice(["div", "section", "blockquote", "b", "a"])
+        return f'<{tag}{rng.choice(["", " class=x", " id=y"]) if tag != "b" else ""}>' + "".join(make(depth - 1) for _ in range(rng.randrange(1, 4))) + f"</{tag}>"
+
+    def plain(text):
+        stack, rows, names = [], {}, []
+        for piece in re.split(r"(<[^>]*>)", text):
+            if piece.startswith("</"):
+                stack.pop()
+            elif piece.startswith("<"):
+                stack.append(piece[1:-1])
+            elif piece.strip():
+                blocks = [t for t in stack if t[0] not in "ab" or t.startswith("blockquote")]
+                last = max((k for k, t in enumerate(stack) if t in blocks), default=-1)
+                link = any(t.startswith("a") for t in stack[last + 1 :])
+                row = rows.setdefault("/".join(blocks), [0, 0, 0])
+                row[0] += 0 if link else len(piece)
+                row[1] += 0 if link else sum(c in ".,;:!?\u3001\u3002\uff0c\u2026" for c in piece)
+                row[2] += 1
+        names, values = list(rows), list(rows.values())
+        near = lambda i, f: sum(math.exp(-((i - j) ** 2) / 2) * f(values[j]) for j in range(max(0, i - 1), min(len(values), i + 2))) / sum(math.exp(-((i - j) ** 2) / 2) for j in range(max(0, i - 1), min(len(values), i + 2)))
+        fused = [near(i, lambda r: r[0] / r[2]) * (1 + near(i, lambda r: r[1] / r[2])) for i in range(len(values))]
+        mean = sum(fused) / len(fused)
+        least = mean - 0.5 * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
+        return [v[:3] for v in values], [x >= least - 1e-12 for x in fused]
+
+    for _ in range(200):
+        text = "<div>" + make(5) + make(5) + "</div>"
+        page = html.Page(text)
+        sums = html.path_sums(page, page.out)
+        values, passed = plain(text)
+        assert [v[:3] for v in sums.values()] == values
+        paths = html.content_paths(sums)
+        assert [p in paths for p in sums] == passed or len(paths) == 1
