@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filesystem, new_folder, short_batches, written
+from gridloom.llm.common import batches_of, filesystem, new_folder, sliced, written
 
 MAGIC = b"GLBP0001"
 BLOCK = 1 << 16
@@ -252,9 +252,7 @@ def _write(folder: str, bits: int, make_encoder: Callable[[], Callable[[list[str
         fs, root = filesystem(folder)
         part, writer, encode = task.partitionId(), None, None
         path = f"{root}/{part:06d}-{task.taskAttemptId()}.bits"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, "text", 500, 1 << 23):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 writer, encode = PackedWriter(fs.open_output_stream(path), bits), make_encoder()
@@ -267,6 +265,7 @@ def _write(folder: str, bits: int, make_encoder: Callable[[], Callable[[list[str
     return run
 
 
+@batches_of(500)
 def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id: int | None, folder: str | None = None) -> DataFrame:
     """Encode (doc_id, text) and write packed files; the manifest (part, path, n_ids, n_docs) in doc_id order.
 
@@ -274,7 +273,6 @@ def write_packed(docs: DataFrame, tokenizer_path: str, vocabulary: int, end_id:
     follow each other by part. Names hold the attempt; only files in the manifest are read.
     """
     spark = docs.sparkSession
-    short_batches(spark, 500)
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     write = _write(folder or new_folder(spark, "packed"), bits_for(vocabulary), lambda: _encoder(tokenizer_path, end_id))
     return written(placed.mapInArrow(write, MANIFEST), "packed-manifest")

@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import short_batches
 
 OPEN, CLOSE = "### ", "</turn>\n"
 FORMATTED = "conv_id long, n_turns long, formatted string, loss_spans array<struct<start:long,stop:long>>"
@@ -119,7 +118,6 @@ def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def format_log(log: DataFrame, distinct_turns: bool = False) -> DataFrame:
     """(conv_id, n_turns, formatted, loss_spans) of an event log (conv_id, seq, kind, turn, role, text)."""
-    short_batches(log.sparkSession)
     empty = F.lit("")
     turn: Column = F.coalesce(F.col("turn"), F.col("seq"))
     rows = log.select("conv_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), turn.alias("turn"), F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))

@@ -6,15 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch. Texts can be long, so batches stay short.
-BATCH_ROWS = 1000
-
-
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -80,9 +80,30 @@ def marked(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(F.getbit(octet, (F.col("spot") % 8).cast("int")) == 1, F.lit(False))).drop("piece", "spot", "bitmap")
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch handed to a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of at most so many rows and, but for a longer single one, bytes of a text column."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, k = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), 0
+        while k < batch.num_rows:
+            stop = int(np.searchsorted(ends, ends[k] + size, side="right")) - 1
+            stop = max(k + 1, min(stop, k + rows))
+            yield batch.slice(k, stop - k)
+            k = stop
+
+
+def batches_of(rows: int):
+    """A decorator: batch_rows around a function of a DataFrame, for the jobs that it runs itself."""
+
+    def around(f):
+        @wraps(f)
+        def run(df: DataFrame, *args, **named):
+            with batch_rows(df.sparkSession, rows):
+                return f(df, *args, **named)
+
+        return run
+
+    return around
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

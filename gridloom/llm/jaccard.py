@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import short_batches, text_of, written
+from gridloom.llm.common import batches_of, sliced, text_of, written
 from gridloom.llm.components import components, forest
 
 WORDS, PERCENT = 5, 75
@@ -129,18 +128,6 @@ def linked(common: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of batches of at most BATCH rows and, but for a longer single text, BATCH_BYTES of text."""
-    for batch in batches:
-        bytes_to = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))])
-        k = 0
-        while k < batch.num_rows:
-            stop = int(np.searchsorted(bytes_to, bytes_to[k] + BATCH_BYTES, side="right")) - 1
-            stop = max(k + 1, min(stop, k + BATCH))
-            yield batch.slice(k, stop - k)
-            k = stop
-
-
 DEALT = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 DEALT_SQL = "bucket int, kind int, a binary, b binary, c binary"
 
@@ -159,7 +146,7 @@ def _deal_first(n_buckets: int, n_words: int, percent: int):
     """Step 1: rows of kind 0 hold (set key, doc_id, size), of kind 1 (element, set key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
             sets = shingle_sets(batch.column("text"), n_words)
             keys = np.array([set_key(s) for s in sets], np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -226,7 +213,7 @@ def _deal_second(n_buckets: int, n_words: int, percent: int):
     """Step 2: (element, set key, size) of the first elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
             sets = shingle_sets(batch.column("text"), n_words)
             take = [s[: len(s) - need(len(s), percent) + 1] for s in sets]
             lengths = [len(t) for t in take]
@@ -323,7 +310,7 @@ def _link_tiles(n_words: int, percent: int):
         def close() -> list[tuple[int, int]]:
             return tile_links(np.array(keys, np.int64), sets, percent) if len(keys) > 1 else []
 
-        for batch in _slices(batches):
+        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
             found = []
             for tile, key, elements in zip(batch.column("tile").to_pylist(), batch.column("key").to_pylist(), shingle_sets(batch.column("text"), n_words)):
                 if tile != now:
@@ -369,10 +356,10 @@ def tiles(groups: DataFrame, percent: int = PERCENT, most: int = TILE) -> DataFr
     return small.unionByName(large.select("key", F.explode(F.concat(within, up, down)).alias("tile")))
 
 
+@batches_of(BATCH)
 def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    short_batches(spark, 512)
     n_buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     known = rows.where("doc_id is not null")
@@ -411,7 +398,7 @@ def _own_text(n_words: int):
     schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
             own = [set_key(s) for s in shingle_sets(batch.column("text"), n_words)]
             same = pa.array(np.array(own, np.int64) == batch.column("key").to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([batch.column(c).cast(schema.field(c).type) for c in schema.names], schema=schema).filter(same)
@@ -421,7 +408,7 @@ def _own_text(n_words: int):
 
 def _sizes(n_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
             sizes = pa.array([len(s) for s in shingle_sets(batch.column("text"), n_words)], type=pa.int64())
             none = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([none, sizes, none], names=["doc_id", "n_shingles", "component_id"])

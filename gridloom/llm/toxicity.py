@@ -1,19 +1,26 @@
-"""Toxicity by a support vector machine on a subsequence string kernel.
+"""Toxicity by a support vector machine on a subsequence string kernel, trained on labelled sentences.
 
-Two words are as similar as the gapped subsequences of four characters that they share, each
+Two strings are as similar as the gapped subsequences of four characters that they share, each
 occurrence weighted by DECAY to the power of its span, spans up to SPAN (so up to two characters may
-be inserted); word ends count as characters and a
-run of three or more of a character as two. Words are divided by the norm of their occurrences'
-weights. Subsequences are hashed, so a word is a sparse vector and the kernel its dot product.
-Nyström landmarks are words of the labelled sentences; a linear support vector machine (squared
-hinge) is trained in the space K^-1/2 k(word, landmarks). A toxic document's sentences need not all
-be toxic: words that toxic documents hold, more often than by chance, and next to no clean ones, stand
-for toxicity and never against it, in a document without one its best-scoring word does, and in each round a clean
-document's best-scoring words stand against it. Words sure to be
-toxic also teach with a character inserted at each inner place. The machine is linear in the kernel, so landmarks and weights fold into one
-table of weights by subsequence, and scoring a word is a sum over its own subsequences.
-
-A sentence scores as its best word, a document as its best sentence, by a logistic fit on the
+be inserted); ends and the blank between two words count as characters and a run of three or more of
+a character as two. Strings are divided by the norm of their occurrences' weights. Subsequences are
+hashed, so a string is a sparse vector and the kernel its dot product. Nyström landmarks are words of
+the labelled sentences; a linear support vector machine (squared hinge) is trained in the space
+K^-1/2 k(string, landmarks). The machine is linear in the kernel, so landmarks and weights fold into
+one table of weights by subsequence, and scoring a string is a sum over its own subsequences.
+
+A document's label is that of its worst sentence, and a sentence is judged by its worst part: a word,
+or two words next to each other. Which part of which sentence makes a document toxic is found in
+rounds (multiple instances): parts that toxic documents hold, more often than by chance, and next to
+no clean ones, stand for toxicity and never against it; in a document without one its best-scoring
+part does; and in each round a clean document's best-scoring parts stand against it. Parts sure to be
+toxic also teach with a character inserted at each inner place. Of two words that are ordinary one by
+one, the pair is sure if it passes that test and neither word does; only pairs both of whose words are
+like those of a sure pair are scored, as no others share subsequences across the blank with it and
+both words' own. Labelled documents with the same three least word hashes and label (copies and most
+near copies) teach once, as their chance words would look sure.
+
+A sentence scores as its best part, a document as its best sentence, by a logistic fit on the
 training documents. Words are runs of letters in lower case, marks and digits within them left out,
 and runs of single letters parted by blanks joined into one.
 
@@ -39,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import short_batches, text_of
+from gridloom.llm.common import batch_rows, sliced, text_of
 
 DECAY, SPAN = 0.7, 6
 BINS = 1 << 21
@@ -60,7 +67,7 @@ _K = [np.uint32(k) for k in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
 _SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S)){3,}")
 _RUN = re.compile(r"(.)\1{2,}", re.S)
 _MARK = re.compile(r"[^\w\s]|[\d_]")
-_SENTENCE = re.compile(r"[.!?\n]+")
+_SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n+")
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -74,6 +81,16 @@ def words_of(text: str) -> list[str]:
     return words + [run.replace(" ", "") for run in _SPACED.findall(low)]
 
 
+def sentences_of(text: str) -> list[list[str]]:
+    """The words of each sentence."""
+    return [words for part in _SENTENCE.split(text) if (words := words_of(part))]
+
+
+def pairs_of(sentences: list[list[str]]) -> set[str]:
+    """Two words next to each other in a sentence, with a blank between."""
+    return {f"{a} {b}" for words in sentences for a, b in zip(words, words[1:])}
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word's place, bin, weight) of every gapped subsequence, weights divided by the word's norm."""
     if not words:
@@ -104,14 +121,31 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places, bins, weights / norms[places]
 
 
+#: The kernel's least value between a word and a sure pair's word, at which a pair is scored.
+LIKE = 0.35
+
+
 @dataclass
 class Model:
-    """weights by subsequence, the machine's offset, and the logistic fit (slope, offset)."""
+    """weights by subsequence, the machine's offset, the logistic fit (slope, offset) and the first and second words of sure pairs."""
 
     weights: np.ndarray
     bias: float
     slope: float
     offset: float
+    firsts: tuple[str, ...] = ()
+    seconds: tuple[str, ...] = ()
+
+    def like(self, words: list[str], of: tuple[str, ...]) -> np.ndarray:
+        """Whether each word is like one of these."""
+        places, bins, weights = subsequences(words)
+        best = np.zeros(len(words))
+        for known in of:
+            _, b, w = subsequences([known])
+            table = np.zeros(BINS, np.float32)
+            np.add.at(table, b, w)
+            best = np.maximum(best, np.bincount(places, table[bins] * weights, len(words)))
+        return best >= LIKE
 
     def words(self, words: list[str]) -> np.ndarray:
         places, bins, weights = subsequences(words)
@@ -167,6 +201,54 @@ def _surprise(n1: int, n0: int, rate: float) -> float:
     return float(n1 * np.log10(share / rate) + (n0 * np.log10((1 - share) / (1 - rate)) if n0 else 0.0))
 
 
+@dataclass
+class _Pairs:
+    """Sure pairs' words; the candidate pairs of each document; in how many toxic and clean documents each is."""
+
+    firsts: tuple[str, ...]
+    seconds: tuple[str, ...]
+    bags: list[set[str]]
+    counts: dict[str, tuple[int, int]]
+
+
+def _sure_pairs(texts: list[str], labels: np.ndarray, df1: Counter, df0: Counter) -> _Pairs:
+    """Pairs of words that toxic documents hold more often than by chance and next to no clean ones, while their words are ordinary."""
+    n1, n0 = labels.sum(), len(labels) - labels.sum()
+    rate = n1 / len(labels)
+    ordinary = {w for w, n in df0.items() if n > NOISE * df1[w] * min(1.0, n0 / n1)}
+    in1: Counter = Counter()
+    for text, t in zip(texts, labels):
+        if t:
+            in1.update(pairs_of(sentences_of(text)))
+    # A pair in so few toxic documents that chance explains it, even without a clean one, is never sure.
+    often = {p for p, n in in1.items() if _surprise(n, 0, rate) >= SURE and ordinary.issuperset(p.split(" "))}
+    if not often:
+        return _Pairs((), (), [set()] * len(texts), {})
+    in0: Counter = Counter()
+    for text, t in zip(texts, labels):
+        if not t:
+            in0.update(often & pairs_of(sentences_of(text)))
+    sure = {p for p in often if in0[p] <= NOISE * in1[p] * min(1.0, n0 / n1) and _surprise(in1[p], in0[p], rate) >= SURE}
+    firsts, seconds = (tuple(sorted({p.split(" ")[k] for p in sure})) for k in (0, 1))
+    if not sure:
+        return _Pairs((), (), [set()] * len(texts), {})
+    scorer = Model(np.zeros(BINS, np.float32), 0.0, 1.0, 0.0, firsts, seconds)
+    bags = candidate_pairs(scorer, [sentences_of(t) for t in texts], {})
+    both = [Counter(p for found, t in zip(bags, labels) if t == k for p in found) for k in (1, 0)]
+    return _Pairs(firsts, seconds, bags, {p: (both[0][p], both[1][p]) for p in set(both[0]) | set(both[1])})
+
+
+def candidate_pairs(model: Model, texts: list[list[list[str]]], known: dict[str, int]) -> list[set[str]]:
+    """The pairs of each text's sentences whose words are like a sure pair's; known: what was found of words, 1 for firsts and 2 for seconds."""
+    if not model.firsts:
+        return [set()] * len(texts)
+    fresh = list({w for sentences in texts for words in sentences for w in words}.difference(known))
+    for k in range(0, len(fresh), LOT):
+        some = fresh[k : k + LOT]
+        known.update(zip(some, (model.like(some, model.firsts) + 2 * model.like(some, model.seconds)).tolist()))
+    return [{f"{a} {b}" for words in sentences for a, b in zip(words, words[1:]) if known[a] & 1 and known[b] & 2} for sentences in texts]
+
+
 def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     """The model of labelled texts; None without both classes."""
     labels = np.array(toxic, int)
@@ -174,9 +256,9 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
         return None
     bags, kept, seen, names = [], [], set(), {}
     for place, text in enumerate(texts):
-        bag = sorted({names.setdefault(w, w) for s in _SENTENCE.split(text or "") for w in words_of(s)})
+        bag = sorted({names.setdefault(w, w) for words in sentences_of(text or "") for w in words})
         # Copies and most near copies teach once: their chance words would look sure.
-        sketch = (toxic[place], *sorted(zlib.crc32(w.encode()) for w in bag)[:2])
+        sketch = (toxic[place], *sorted(zlib.crc32(w.encode()) for w in bag)[:3])
         if sketch not in seen:
             seen.add(sketch)
             bags.append(bag)
@@ -184,6 +266,11 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     labels = labels[kept]
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     df1, df0 = (Counter(w for bag, t in zip(bags, labels) if t == k for w in bag) for k in (1, 0))
+    pairs = _sure_pairs([texts[k] or "" for k in kept], labels, df1, df0)
+    for place, found in enumerate(pairs.bags):
+        bags[place] = bags[place] + sorted(found)
+    for w, (in1, in0) in pairs.counts.items():
+        df1[w], df0[w] = in1, in0
     odds = {w: np.log((df1[w] + 0.5) / (n1 + 1)) - np.log((df0[w] + 0.5) / (n0 + 1)) for w in df1}
     rank = sorted(odds, key=lambda w: (-odds[w] * min(df1[w], 50), w))
     common = sorted(df0, key=lambda w: (-df0[w], w))
@@ -244,7 +331,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
         w, bias = _machine(mapped(rows), y, cost)
         flat = np.zeros(BINS)
         flat[used] = table @ w
-        model = Model(flat.astype(np.float32), bias, 1.0, 0.0)
+        model = Model(flat.astype(np.float32), bias, 1.0, 0.0, pairs.firsts, pairs.seconds)
         every = sorted(score)
         found = np.concatenate([model.words(every[k : k + LOT]) for k in range(0, len(every), LOT)])
         score = dict(zip(every, found.tolist()))
@@ -267,12 +354,16 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
 
 
+_MODEL = pa.schema([("bins", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64()), ("firsts", pa.list_(pa.string())), ("seconds", pa.list_(pa.string()))])
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("label_id", "text", "toxic")))), key=lambda r: (r[0], r[1] or ""))
     model = train([r[1] for r in rows], [r[2] for r in rows])
     if model:
         bins = np.flatnonzero(model.weights)
-        yield pa.RecordBatch.from_pydict({"bins": [bins.tolist()], "weights": [model.weights[bins].astype(np.float64).tolist()], "bias": [model.bias], "slope": [model.slope], "offset": [model.offset]})
+        packed = {"bins": [bins.astype("<u4").tobytes()], "weights": [model.weights[bins].astype("<f4").tobytes()]}
+        yield pa.RecordBatch.from_pydict(packed | {"bias": [model.bias], "slope": [model.slope], "offset": [model.offset], "firsts": [list(model.firsts)], "seconds": [list(model.seconds)]}, schema=_MODEL)
 
 
 def _score(model: Model | None):
@@ -280,12 +371,22 @@ def _score(model: Model | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in batches:
+        kinds: dict[str, int] = {}
+        for batch in sliced(batches, "text"):
             ids = batch.column("doc_id").to_pylist()
-            bags = [set(words_of(t or "")) for t in batch.column("text").to_pylist()]
             if model is None:
                 score = np.zeros(len(ids))
             else:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                if model.firsts:
+                    parted = [sentences_of(t) for t in texts]
+                    bags = [{w for words in sentences for w in words} for sentences in parted]
+                    if len(kinds) > CACHE_WORDS:
+                        kinds = {}
+                    for bag, more in zip(bags, candidate_pairs(model, parted, kinds)):
+                        bag |= more
+                else:
+                    bags = [set(words_of(t)) for t in texts]
                 if len(known) > CACHE_WORDS:
                     known = {}
                 fresh = list(set().union(*bags).difference(known))
@@ -301,29 +402,29 @@ def _score(model: Model | None):
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model | None:
     """The model of the labelled rows among docs, trained by one task on its bounded sample; None without both classes."""
-    short_batches(docs.sparkSession, 512)
-    rows = labelled(docs, labels, most).repartition(1).mapInArrow(_train, "bins array<long>, weights array<double>, bias double, slope double, offset double").collect()
+    kinds = "bins binary, weights binary, bias double, slope double, offset double, firsts array<string>, seconds array<string>"
+    with batch_rows(docs.sparkSession, 512):
+        rows = labelled(docs, labels, most).repartition(1).mapInArrow(_train, kinds).collect()
     if not rows:
         return None
+    (row,) = rows
     weights = np.zeros(BINS, np.float32)
-    weights[rows[0]["bins"]] = rows[0]["weights"]
-    return Model(weights, rows[0]["bias"], rows[0]["slope"], rows[0]["offset"])
+    weights[np.frombuffer(row["bins"], "<u4")] = np.frombuffer(row["weights"], "<f4")
+    return Model(weights, row["bias"], row["slope"], row["offset"], tuple(row["firsts"]), tuple(row["seconds"]))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text); no shuffle."""
-    short_batches(docs.sparkSession, 512)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_score(model), SCORED)
 
 
 def clean(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs, all columns, whose score is under the threshold."""
-    short_batches(docs.sparkSession, 512)
     text = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _score(model)
-        for batch in batches:
+        for batch in sliced(batches, text):
             some = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.names.index(text))], names=["doc_id", "text"])
             (found,) = scorer([some])
             yield batch.filter(pa.array(found.column("predicted").to_numpy() == 0))

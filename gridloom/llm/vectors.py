@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import short_batches, written
+from gridloom.llm.common import batches_of, written
 from gridloom.llm.components import components, forest
 
 COSINE = 0.9
@@ -161,9 +161,9 @@ def tiles(cells: DataFrame, most: int) -> DataFrame:
     return placed.select("id", "block", F.explode(F.concat(within, up, down)).alias("at")).select("id", "block", "at.tile", "at.side")
 
 
+@batches_of(4096)
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, part: int = PART) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding)."""
-    short_batches(vectors.sparkSession, 4096)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Greatest and least are NaN or infinite if a component is; nulls are ordinary absences there.
     finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))

@@ -186,22 +186,54 @@ def test_components(spark):
 
 # --- op3
 
+def _mixed(spark, rng, n=4000):
+    rows = [(i, "w " * rng.randrange(1, 80) + rng.choice(["", "@", "|"]), rng.choice(["en", "en", "en", "de"]), rng.choice(["a", "a", "a", "b", "c"])) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def _expected(drawn, by):
+    tokens = drawn.n_tokens * drawn.probability
+    return tokens.groupby(drawn[by]).sum() / tokens.sum()
+
+
 def test_mixing_meets_targets(spark):
-    rng = random.Random(2)
-    rows = [(i, "w " * rng.randrange(1, 80) + rng.choice(["", "@", "|"]), rng.choice(["en", "en", "en", "de"]), rng.choice(["a", "a", "a", "b", "c"])) for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    cells = mixing.with_cells(df).groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
-    fit = mixing.fitted(cells, rounds=12).toPandas()
-    shares = fit.groupby("source").weight.sum() / fit.weight.sum()
-    assert np.allclose(shares, 1 / 3, atol=1e-3)
-    lang = fit.groupby("lang").weight.sum() / fit.weight.sum()
-    assert np.allclose([lang["en"], lang["de"]], [2 / 3, 1 / 3], atol=1e-3)
+    df = _mixed(spark, random.Random(2))
     drawn = mixing.drawn(df, share=0.3).toPandas()
+    assert np.allclose(_expected(drawn, "source"), 1 / 3, rtol=1e-3)
+    lang = _expected(drawn, "lang")
+    assert np.allclose([lang["en"], lang["de"]], [2 / 3, 1 / 3], rtol=1e-3)
     assert abs((drawn.n_tokens * drawn.probability).sum() / drawn.n_tokens.sum() - 0.3) < 1e-3
     assert abs(drawn[drawn.kept].n_tokens.sum() / drawn.n_tokens.sum() - 0.3) < 0.03
     assert drawn.probability.max() <= 1
 
 
+def test_mixing_lowers_the_share_for_scarce_values(spark):
+    """de holds a quarter of the tokens and is wanted for a third of the sample: at a share of 0.9 that cannot be."""
+    df = _mixed(spark, random.Random(7))
+    drawn = mixing.drawn(df, share=0.9).toPandas()
+    assert np.allclose(_expected(drawn, "source"), 1 / 3, rtol=0.01) and np.allclose(_expected(drawn, "lang")["de"], 1 / 3, rtol=0.01)
+    assert (drawn.n_tokens * drawn.probability).sum() / drawn.n_tokens.sum() < 0.8
+
+
+def test_mixing_reports_what_cannot_be_met(spark):
+    rows = [(i, "w " * 50, "en", "a") for i in range(2000)] + [(5000 + i, "w " * 50, "en", "b") for i in range(900)] + [(9000, "w " * 50, "en", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["value"]: r for r in mixing.report(df, share=0.5).where("dimension = 'source'").collect()}
+    whole = 50 * len(rows)
+    assert found["tiny"]["goal"] == found["tiny"]["held"] == 50 and abs(found["tiny"]["expected"] - 50) < 0.1
+    assert abs(found["a"]["expected"] - found["b"]["expected"]) < 10 and abs(sum(r["expected"] for r in found.values()) / whole - mixing.LEAST_SHARE) < 1e-3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
+def test_mixing_margins_of_the_fixture(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    drawn = mixing.drawn(docs).toPandas()
+    lang = _expected(drawn, "lang")
+    assert all(abs(lang[k] / v - 1) < 0.01 for k, v in mixing.LANGUAGES.items())
+    sources = _expected(drawn, "source")
+    assert np.allclose(sources, 1 / len(sources), rtol=0.01)
+
+
 def test_mixing_cases(docs, empty):
     drawn = mixing.drawn(docs).collect()
     assert len(drawn) == len(CASES)
@@ -309,6 +341,68 @@ def test_toxicity_learns_with_a_noisy_clean_row():
     assert ((p >= toxicity.THRESHOLD) == (np.array(held) == 1)).mean() > 0.97
 
 
+def test_kernel_equals_the_definition():
+    """Every gapped subsequence of four characters written out."""
+    from collections import Counter
+    from itertools import combinations
+
+    def naive(word):
+        marked, counts = "\x02" + word + "\x03", []
+        for places in combinations(range(len(marked)), 4):
+            if (span := places[-1] - places[0]) < toxicity.SPAN:
+                counts.append(("".join(marked[p] for p in places), toxicity.DECAY ** (span + 1)))
+        norm = sum(w * w for _, w in counts) ** 0.5
+        total: Counter = Counter()
+        for gram, weight in counts:
+            total[gram] += weight / norm
+        return total
+
+    words = ["insult", "inxsult", "in sult", "kick rocks", "kickrocks", "rocks kick", "abab", "aaa", "abc", "ünsült"]
+    places, bins, weights = toxicity.subsequences(words)
+    table = np.zeros((len(words), toxicity.BINS), np.float32)
+    np.add.at(table, (places, bins), weights)
+    kernel = table @ table.T
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = naive(toxicity._RUN.sub(r"\1\1", a)), naive(toxicity._RUN.sub(r"\1\1", b))
+            assert abs(kernel[i, j] - sum(v * y[g] for g, v in x.items())) < 1e-5
+    assert kernel[0, 1] > 0.5 > kernel[0, 3]
+
+
+def test_phrase_of_ordinary_words(spark):
+    """Two words that clean texts hold as well, one by one, are an insult next to each other."""
+    rng = random.Random(8)
+
+    def text(toxic):
+        words = ["".join(rng.choice(["th", "er", "on", "in", "an", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+        words[3], words[40] = rng.choice([("grumble", "parsnip"), ("parsnip", "on"), ("parsnip", "grumble")])
+        if toxic:
+            words[20:20] = ["grumble", "parsnip"]
+        return " ".join(words) + "."
+
+    toxic = [int(rng.random() < 0.3) for _ in range(600)]
+    model = toxicity.train([text(t) for t in toxic], toxic)
+    assert model.firsts == ("grumble",) and model.seconds == ("parsnip",)
+    held = {i: int(rng.random() < 0.4) for i in range(200)}
+    df = spark.createDataFrame([(i, text(t)) for i, t in held.items()] + [(1000, "He said grummble parsnip."), (1001, "Grumble. Parsnip."), (1002, "grum-ble pars.nip")], "doc_id long, text string")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model).collect()}
+    assert sum(got[i] == t for i, t in held.items()) >= 196
+    assert (got[1000], got[1001], got[1002]) == (1, 0, 1)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
+def test_toxicity_on_held_out_rows(spark):
+    from gridloom.llm.common import load
+
+    rows = queries.op7_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(load(spark, "/root/testdata/sf0.1", "labels").where("toxic is not null"), "doc_id").toPandas()
+    ranks = rows.score.rank()
+    n1 = int(rows.toxic.sum())
+    auc = (ranks[rows.toxic == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(rows) - n1))
+    # Many toxic rows here have insults that only a few others share; on the larger check tables all are found.
+    assert n1 > 50 and auc > 0.9
+    assert rows[rows.toxic == 1].predicted.mean() > 0.75 and rows[rows.toxic == 0].predicted.mean() < 0.01
+
+
 def test_toxicity_sample_and_rank_are_not_cut():
     assert toxicity.MOST_LABELLED >= 4000 and toxicity.LANDMARKS >= 256
 
