@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
 of documents. A stage works on all that its predecessor kept.
+
+Defined results, in every stage: a null text counts as empty; other columns, of whatever name, come
+through as they were; an empty table gives an empty table. Decisions are by row and not by doc_id, so
+null and repeated ids lose no text and keep no copy; each stage's own cases are in its docstring.
 """
 
 from __future__ import annotations
@@ -18,7 +22,11 @@ from gridloom.llm.queries import BYTE_VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the model of the labelled rows among docs does not reject."""
+    """Rows that the model of the labelled rows among docs does not reject.
+
+    Rows without words score as no word at all and stay; equal texts are judged alike; rows with a null
+    doc_id are judged and never teach; without labels of both classes every row stays.
+    """
     return toxicity.clean(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
 
 
@@ -42,24 +50,36 @@ def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], fir
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row, of the largest doc_id; a null doc_id stays only where no row has another."""
+    """Of equal texts one row, of the largest doc_id; a null doc_id stays only where no row has another.
+
+    Texts are equal after lower-casing A-Z; null and empty texts are one group. Among rows of the same
+    largest id, and among repeated rows, one stays; rows of one id with different texts are told apart.
+    """
     grouped = lambda rows: exact_dedup.dedup(rows).where("group_size > 1").withColumnRenamed("keep_id", "group_id")
     return _one_of_each(docs, grouped, F.struct(F.col("doc_id").isNull(), -F.col("doc_id").cast("decimal(20,0)")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked rows one, of the smallest doc_id; a null doc_id stays only where no row has another."""
+    """Of linked rows one, of the smallest doc_id; a null doc_id stays only where no row has another.
+
+    Links are at a similarity of 0.75 of five-word shingles, followed through; rows without words are
+    linked with nothing and all stay; of repeated rows one stays.
+    """
     grouped = lambda rows: jaccard.join(rows).withColumnRenamed("component_id", "group_id")
     return _one_of_each(docs, grouped, F.struct(F.col("doc_id").isNull(), F.col("doc_id").cast("long")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens meet the target weights."""
+    """A sample whose tokens meet the target weights.
+
+    A null source or language is a value of its own; rows of cells without tokens stay; rows that
+    repeat a doc_id are drawn alike, and null ids like the id -1.
+    """
     return mixing.sample(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: a row for each row, null ids stay null, empty texts have no ids."""
     return bpe.digests(docs, public_tokenizers.path(BYTE_VOCABULARY), public_tokenizers.PATTERN)
 
 
