@@ -4,7 +4,8 @@ A vector is cut into groups of K consecutive values. A group's scale is its larg
 least FLOOR; a value's code is the sign of the value where twice its magnitude exceeds the scale and
 0 elsewhere, which equals rounding value / scale half to even. The quantized value is code * scale.
 NaN or infinity anywhere in a group makes its scale, and so all its values, NaN (an infinite scale
-times code 0). All-zero groups stay zero. Widths that K does not divide raise an error.
+times code 0). A null element stays null and counts as no value of its group. All-zero groups stay
+zero. Widths that K does not divide raise an error.
 """
 
 from __future__ import annotations
@@ -30,13 +31,16 @@ class QuantConfig:
 
 
 def group_size_of(config: object | None) -> int:
-    """The config's group size, or the default where there is none."""
-    return getattr(config, "group_size", GROUP_SIZE) if config else GROUP_SIZE
+    """The default where there is no config; a config must have a group size."""
+    if config is None:
+        return GROUP_SIZE
+    return config.group_size
 
 
 def round_clamp(x: Column) -> Column:
-    """Half-to-even rounding into [-1, 1], as an integer code."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.rint(x))).cast("tinyint")
+    """Half-to-even rounding into [-1, 1], as a double; NaN stays NaN and null stays null."""
+    limited = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.rint(x))) + F.lit(0.0)
+    return F.when(F.isnan(x) | x.isNull(), x.cast("double")).otherwise(limited)
 
 
 def round_clamp_all(values: Column) -> Column:
@@ -62,8 +66,8 @@ def scale(group: Column) -> Column:
 
 
 def code(x: Column, alpha: Column) -> Column:
-    """-1, 0 or 1."""
-    return F.when(F.abs(x) * 2 > alpha, F.signum(x)).otherwise(F.lit(0.0)).cast("tinyint")
+    """-1, 0 or 1; null for a null."""
+    return F.when(x.isNull(), F.lit(None)).when(F.abs(x) * 2 > alpha, F.signum(x)).otherwise(F.lit(0.0)).cast("tinyint")
 
 
 def value(c: Column, alpha: Column) -> Column:
@@ -113,7 +117,7 @@ def quantize_block(values: np.ndarray, k: int) -> np.ndarray:
 def quantize_arrow(df: DataFrame, values: str, k: int = GROUP_SIZE) -> DataFrame:
     """df with the array column quantized, an Arrow batch at a time: the fast path for wide rows.
 
-    Rows must hold arrays without null elements; a null array stays null.
+    A null array stays null, and so does a null element.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +125,15 @@ def quantize_arrow(df: DataFrame, values: str, k: int = GROUP_SIZE) -> DataFrame
             at = batch.schema.get_field_index(values)
             column = batch.column(at).cast(pa.list_(pa.float32()))
             lengths = column.value_lengths()
-            out = column.flatten().to_numpy(zero_copy_only=False).copy()
+            flat = column.flatten()
+            out = flat.fill_null(0).to_numpy(zero_copy_only=False).copy()
             for width in set(lengths.drop_null().to_pylist()):
                 if width < k or width % k:
                     raise ValueError(f"group size {k} does not divide width {width}")
             if len(out):
                 out = quantize_block(out.reshape(-1, k), k).ravel()
             offsets = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-            quantized = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, type=pa.float32()), mask=column.is_null())
+            quantized = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, type=pa.float32(), mask=flat.is_null().to_numpy(zero_copy_only=False)), mask=column.is_null())
             yield batch.set_column(at, pa.field(values, quantized.type), quantized)
 
     schema = df.withColumn(values, F.col(values).cast("array<float>")).schema

@@ -30,28 +30,54 @@ def touched_count(adapters: DataFrame, k: int = GROUP_SIZE) -> DataFrame:
     return sides.agg(F.count("*").alias("n"))
 
 
+def init_adapters(modules: DataFrame, r: int, alpha: float, targets: Sequence[str] = PROJECTIONS, name: str = "default") -> DataFrame:
+    """Adapter rows (module_path, adapter_name, side, row_idx, values, r, alpha) of modules (path, n_in, n_out) that are targets.
+
+    A has r rows of n_in values, uniform in +-1/sqrt(n_in) and made from module, row and place by MD5;
+    B has n_out rows of r zeros, so that a fresh adapter changes nothing.
+    """
+    at = attach(modules, targets).select("path", "n_in", "n_out")
+    a = at.select("path", "n_in", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("row_idx"))
+    uniform = lambda p: F.conv(F.substring(F.md5(F.concat_ws("|", "path", "row_idx", p).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    values = F.transform(F.sequence(F.lit(0), F.col("n_in") - 1), lambda p: ((uniform(p) * 2 - 1) / F.sqrt("n_in")).cast("float"))
+    a = a.select("path", F.lit("A").alias("side"), "row_idx", values.alias("values"))
+    b = at.select("path", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("row_idx")).select("path", F.lit("B").alias("side"), "row_idx", F.array_repeat(F.lit(0.0).cast("float"), r).alias("values"))
+    return a.unionByName(b).select(
+        F.col("path").alias("module_path"), F.lit(name).alias("adapter_name"), "side", F.col("row_idx").cast("long").alias("row_idx"), "values", F.lit(r).alias("r"), F.lit(float(alpha)).alias("alpha")
+    )
+
+
 def merge(base: DataFrame, adapters: DataFrame, alpha: float, rank: int) -> DataFrame:
     """(module_path, row_idx, values): base + alpha / rank * B A, summed over ranks and adapters.
 
-    B's rows are cut into ranks and joined to A's rows on (module, adapter, rank); the products'
-    sums per base row have the width of A, so only rows of vectors are shuffled.
+    A module's A rows (ranks of its adapters, a bounded number) become one row and meet B's rows of
+    ranks beside the base rows; the product is made within the row, so that no vector of a base
+    row's width is shuffled but the base row itself.
     """
-    a = adapters.where("side = 'A'").select("module_path", "adapter_name", F.col("row_idx").alias("r"), F.col("values").alias("a"))
-    b = adapters.where("side = 'B'").select("module_path", "adapter_name", "row_idx", F.posexplode("values").alias("r", "b"))
-    b = b.withColumn("r", F.col("r").cast("long"))
-    products = b.join(a, ["module_path", "adapter_name", "r"]).select("module_path", "row_idx", F.struct("adapter_name", "r", F.transform("a", lambda x: x.cast("double") * F.col("b").cast("double")).alias("p")).alias("part"))
-    # A fixed order of ranks gives the same sum in every run.
-    parts = products.groupBy("module_path", "row_idx").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    total = F.aggregate(F.slice("parts", 2, 1 << 30), F.element_at("parts", 1)["p"], lambda s, x: F.zip_with(s, x["p"], lambda u, v: u + v))
-    delta = parts.select("module_path", "row_idx", total.alias("delta"))
-    joined = base.select("module_path", "row_idx", "values").join(delta, ["module_path", "row_idx"], "left")
-    merged = F.zip_with("values", "delta", lambda w, d: (w.cast("double") + d * F.lit(alpha / rank)).cast("float"))
-    return joined.select("module_path", "row_idx", F.when(F.col("delta").isNull(), F.col("values").cast("array<float>")).otherwise(merged).alias("values"))
+    a = adapters.where("side = 'A'").groupBy("module_path").agg(F.array_sort(F.collect_list(F.struct("adapter_name", F.col("row_idx").alias("r"), F.col("values").alias("a")))).alias("ranks"))
+    b = adapters.where("side = 'B'").groupBy("module_path", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("adapter_name", "values"))).alias("b"))
+    joined = base.select("module_path", "row_idx", "values").join(b, ["module_path", "row_idx"], "left").join(a, "module_path", "left")
+
+    def product(rank_row):
+        factor = F.get(F.try_element_at("b", rank_row["adapter_name"]), rank_row["r"].cast("int")).cast("double")
+        return F.transform(rank_row["a"], lambda x: x.cast("double") * factor)
+
+    # A fixed order of ranks gives the same sum in every run. Ranks that this row of B lacks add nothing.
+    there = F.filter("ranks", lambda x: F.get(F.try_element_at("b", x["adapter_name"]), x["r"].cast("int")).isNotNull())
+    parts = F.transform(there, product)
+    delta = F.aggregate(F.slice(parts, 2, 1 << 30), F.element_at(parts, 1), lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
+    merged = F.zip_with("values", delta, lambda w, d: (w.cast("double") + d * F.lit(alpha / rank)).cast("float"))
+    plain = F.col("values").cast("array<float>")
+    return joined.select("module_path", "row_idx", F.when(F.coalesce(F.size(there), F.lit(0)) <= 0, plain).otherwise(merged).alias("values"))
 
 
 def requantize(weights: DataFrame, modules: DataFrame) -> DataFrame:
-    """weights (module_path, row_idx, values) snapped by the group size of their module, where that is quantized."""
-    sizes = modules.where(F.col("kind").isin(QUANT_LINEAR, QUANT_EMBEDDING)).select(F.col("path").alias("module_path"), F.col("group_size").alias("k"))
+    """weights (module_path, row_idx, values) snapped by the group size of their module, where that is quantized.
+
+    A quantized module without a group size has the default.
+    """
+    size = F.coalesce(F.col("group_size"), F.lit(GROUP_SIZE))
+    sizes = modules.where(F.col("kind").isin(QUANT_LINEAR, QUANT_EMBEDDING)).select(F.col("path").alias("module_path"), size.alias("k"))
     rows = weights.join(sizes, "module_path", "left")
     # Group sizes are few and are plan constants, so each has an expression of its own.
     known = [r["k"] for r in sizes.select("k").distinct().orderBy("k").collect()]

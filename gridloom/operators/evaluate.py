@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,62 +12,144 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.quantize import GROUP_SIZE, quantize, quantize_block
 
-#: Weights of at most so many values are sent to every task; larger ones are joined.
+#: Weights of at most so many values are sent to every task; larger ones are cut into tiles and joined.
 BROADCAST_VALUES = 4_000_000
+#: Vectors, outputs and inputs of a tile.
+TILE_ROWS, TILE_OUT, TILE_IN = 512, 512, 4096
+PRODUCTS = "x_id long, out_id long, y double"
 
 
 def linear_forward(x: DataFrame, weights: DataFrame, k: int = GROUP_SIZE, bias: DataFrame | None = None, most: int = BROADCAST_VALUES) -> DataFrame:
     """(x_id, out_id, y): y = x . q(w) + bias for x (x_id, values), weights (out_id, values), bias (out_id, bias).
 
     The weights' size is counted first. Up to ``most`` values they go to every task, which multiplies
-    a batch at once; beyond that, both sides are cut into single products by an equi-join on the
-    input's place and summed with map-side combining.
+    a batch at once; beyond that both sides are cut into tiles, tiles of the same inputs are joined and
+    multiplied, and the partial products of a tile of results are summed.
+
+    A vector that is null or holds a null has null results; weights may hold neither; vectors and
+    weights whose widths differ raise an error; rows that repeat an x_id have results of their own.
     """
     w = weights.select("out_id", "values")
     if bias is not None:
         w = w.join(bias.select("out_id", "bias"), "out_id", "left")
     else:
         w = w.withColumn("bias", F.lit(0.0))
-    w = w.select("out_id", F.col("values").cast("array<float>").alias("values"), F.coalesce(F.col("bias").cast("double"), F.lit(0.0)).alias("bias"))
-    if (w.agg(F.sum(F.size("values"))).first()[0] or 0) <= most:
+    w = w.select(F.col("out_id").cast("long").alias("out_id"), F.col("values").cast("array<float>").alias("values"), F.coalesce(F.col("bias").cast("double"), F.lit(0.0)).alias("bias"))
+    size = w.agg(F.sum(F.size("values")).alias("n"), F.count("*").alias("rows"), F.min(F.size("values")).alias("low"), F.max(F.size("values")).alias("high"), F.count_if(F.col("values").isNull() | F.exists("values", lambda v: v.isNull())).alias("nulls")).first()
+    if not size["rows"]:
+        return x.sparkSession.createDataFrame([], PRODUCTS)
+    width = size["high"]
+    if size["low"] != width or size["nulls"]:
+        raise ValueError("weights must be without nulls and of one width")
+    if width < k or width % k:
+        raise ValueError(f"group size {k} does not divide width {width}")
+    x = x.select(F.col("x_id").cast("long").alias("x_id"), F.col("values").cast("array<double>").alias("values"))
+    if size["n"] <= most:
         return _by_batch(x, w, k)
-    return _by_join(x, w, k)
+    return _by_tiles(x, w, k, width, size["rows"])
+
+
+def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as a matrix, and which are usable: rows that are null or hold a null are zeros there."""
+    lengths = column.value_lengths()
+    odd = [n for n in set(lengths.drop_null().to_pylist()) if n != width]
+    if odd:
+        raise ValueError(f"a vector has width {odd[0]}, the weights have {width}")
+    flat = column.flatten()
+    out = np.zeros((len(column), width))
+    there = lengths.is_valid().to_numpy(zero_copy_only=False)
+    out[there] = flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, width)
+    usable = there.copy()
+    if flat.null_count:
+        usable[there] = ~flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, width).any(1)
+    return out, usable
+
+
+def _results(ids: np.ndarray, outs: np.ndarray, y: np.ndarray, usable: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(outs))), pa.array(np.tile(outs, len(ids))), pa.array(y.ravel(), mask=np.repeat(~usable, len(outs)))], names=["x_id", "out_id", "y"])
 
 
 def _by_batch(x: DataFrame, w: DataFrame, k: int) -> DataFrame:
-    rows = w.orderBy("out_id").collect()
-    ids = np.array([r["out_id"] for r in rows], np.int64)
-    matrix = np.array([r["values"] for r in rows], np.float32)
-    if len(rows) and (matrix.shape[1] < k or matrix.shape[1] % k):
-        raise ValueError(f"group size {k} does not divide width {matrix.shape[1]}")
-    matrix = quantize_block(matrix, k).astype(np.float64) if len(rows) else matrix.reshape(0, k)
-    shift = np.array([r["bias"] for r in rows], np.float64)
-    schema = pa.schema([("x_id", pa.int64()), ("out_id", pa.int64()), ("y", pa.float64())])
+    rows = w.orderBy("out_id").toArrow().combine_chunks()
+    outs, shift = rows.column("out_id").to_numpy(), rows.column("bias").to_numpy()
+    matrix = rows.column("values").combine_chunks()
+    matrix = (matrix.chunk(0) if isinstance(matrix, pa.ChunkedArray) else matrix).flatten().to_numpy().reshape(len(outs), -1)
+    matrix = quantize_block(matrix, k).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(s, 1024) for s in range(0, batch.num_rows, 1024)):
-                values = part.column("values").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                y = values @ matrix.T + shift
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("x_id").to_numpy(), len(ids))), pa.array(np.tile(ids, part.num_rows)), pa.array(y.ravel())], schema=schema)
+                values, usable = _matrix(part.column("values"), matrix.shape[1])
+                yield _results(part.column("x_id").to_numpy(zero_copy_only=False).astype(np.int64), outs, values @ matrix.T + shift, usable)
+
+    return x.where("x_id is not null").mapInArrow(run, PRODUCTS)
 
-    return x.select(F.col("x_id").cast("long").alias("x_id"), "values").where("values is not null").mapInArrow(run, "x_id long, out_id long, y double")
 
+TILES = "part int, place int, ids binary, usable binary, data binary"
+_TILES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("ids", pa.binary()), ("usable", pa.binary()), ("data", pa.binary())])
 
-def _by_join(x: DataFrame, w: DataFrame, k: int) -> DataFrame:
-    long_w = w.select(F.col("out_id").cast("long").alias("out_id"), "bias", F.posexplode(quantize(F.col("values"), k)).alias("at", "wq"))
-    long_x = x.select(F.col("x_id").cast("long").alias("x_id"), F.posexplode("values").alias("at", "v"))
-    dot = long_x.join(long_w, "at").groupBy("x_id", "out_id").agg(F.sum(F.col("v").cast("double") * F.col("wq").cast("double")).alias("dot"), F.first("bias").alias("bias"))
-    return dot.select("x_id", "out_id", (F.col("dot") + F.col("bias")).alias("y"))
+
+def _cut(part: int, ids: np.ndarray, usable: np.ndarray, values: np.ndarray) -> pa.Table:
+    """A part's rows, cut at every TILE_IN inputs."""
+    width = values.shape[1]
+    cuts = [values[:, k : k + TILE_IN].astype(np.float64) for k in range(0, width, TILE_IN)]
+    n = len(cuts)
+    return pa.table([pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([ids.tobytes()] * n), pa.array([usable.tobytes()] * n), pa.array([c.tobytes() for c in cuts])], schema=_TILES)
+
+
+def _by_tiles(x: DataFrame, w: DataFrame, k: int, width: int, n_out: int) -> DataFrame:
+    def of_vectors(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        values, usable = _matrix(table.column("values").combine_chunks(), width)
+        ids = table.column("x_id").to_numpy()
+        # The same order whenever the part is made again.
+        order = np.lexsort((*values.T[::-1], usable, ids))
+        return _cut(key[0].as_py(), ids[order], usable[order], values[order])
+
+    def of_weights(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("out_id")
+        values, _ = _matrix(table.column("values").combine_chunks(), width)
+        return _cut(key[0].as_py(), table.column("out_id").to_numpy(), table.column("bias").to_numpy(), quantize_block(values, k))
+
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("part", "out_part", "place", "ids", "usable", "out_ids", "bias")}
+                ids, outs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["out_ids"], np.int64)
+                a = np.frombuffer(batch.column("data")[i].as_py()).reshape(len(ids), -1)
+                b = np.frombuffer(batch.column("matrix")[i].as_py()).reshape(len(outs), -1)
+                row["data"] = (a @ b.T).tobytes()
+                yield pa.RecordBatch.from_pylist([row], schema=_PARTIAL)
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        ids, usable, outs, bias = (np.frombuffer(table.column(c)[0].as_py(), t) for c, t in (("ids", np.int64), ("usable", bool), ("out_ids", np.int64), ("bias", np.float64)))
+        y = np.zeros((len(ids), len(outs)))
+        for piece in table.column("data"):
+            y += np.frombuffer(piece.as_py()).reshape(y.shape)
+        return pa.Table.from_batches([_results(ids, outs, y + bias, usable)])
+
+    x = x.where("x_id is not null")
+    n_parts = max(1, math.ceil(x.count() / TILE_ROWS))
+    left = x.withColumn("part", F.pmod(F.xxhash64("x_id"), F.lit(n_parts)).cast("int")).groupBy("part").applyInArrow(of_vectors, TILES)
+    n_outs = max(1, math.ceil(n_out / TILE_OUT))
+    right = w.withColumn("part", F.pmod(F.xxhash64("out_id"), F.lit(n_outs)).cast("int")).groupBy("part").applyInArrow(of_weights, TILES)
+    right = right.select(F.col("part").alias("out_part"), "place", F.col("ids").alias("out_ids"), F.col("usable").alias("bias"), F.col("data").alias("matrix"))
+    return left.join(right, "place").mapInArrow(multiplied, PARTIAL).groupBy("part", "out_part").applyInArrow(summed, PRODUCTS)
+
+
+PARTIAL = "part int, out_part int, place int, ids binary, usable binary, out_ids binary, bias binary, data binary"
+_PARTIAL = pa.schema([("part", pa.int32()), ("out_part", pa.int32()), ("place", pa.int32()), *((c, pa.binary()) for c in ("ids", "usable", "out_ids", "bias", "data"))])
 
 
 def embedding_lookup(tokens: DataFrame, table: DataFrame, k: int = GROUP_SIZE) -> DataFrame:
     """tokens (..., token_id) with values, the quantized row of table (token_id, values).
 
-    Rows are gathered first and quantized after: the same, as quantization is within a row, and only
-    rows that are asked for are quantized. An id outside the table is an error.
+    Only rows that are asked for are quantized, each once: quantization is within a row. A null id has
+    null values; an id outside the table is an error.
     """
-    known = table.select(F.col("token_id").alias("row_id"), quantize(F.col("values"), k).alias("values"))
+    asked = tokens.select(F.col("token_id").alias("asked_id")).distinct()
+    known = table.join(asked, table.token_id == asked.asked_id, "left_semi").select(F.col("token_id").alias("row_id"), quantize(F.col("values"), k).alias("values"))
     found = tokens.join(known, tokens.token_id == known.row_id, "left")
     missing = F.raise_error(F.concat(F.lit("no row for token "), F.col("token_id").cast("string")))
     return found.select(*tokens.columns, F.when(F.col("row_id").isNull() & F.col("token_id").isNotNull(), missing).otherwise(F.col("values")).alias("values"))

@@ -63,14 +63,28 @@ def _tied_tables(modules: DataFrame) -> DataFrame:
     """(head_path, table_param): heads named lm_head that share the parameter of embed_tokens."""
     named = modules.select("path", "param_id", F.coalesce("owner_param_id", "param_id").alias("owner"))
     heads = named.where(F.col("path") == "lm_head").select(F.col("path").alias("head_path"), "owner")
-    tables = named.where(F.col("path").isin("embed_tokens", "model.embed_tokens")).select(F.col("param_id").alias("table_param"), "owner")
-    return heads.join(tables, "owner").select("head_path", "table_param")
+    tables = named.where(F.col("path").isin("embed_tokens", "model.embed_tokens")).select(F.col("path").alias("table_path"), F.col("param_id").alias("table_param"), "owner")
+    # Of two such tables that the head shares, the one of the shorter path.
+    return heads.join(tables, "owner").groupBy("head_path").agg(F.min(F.struct(F.length("table_path"), "table_path", "table_param")).alias("t")).select("head_path", F.col("t.table_param").alias("table_param"))
 
 
-def describe(modules: DataFrame) -> DataFrame:
-    """(path, description) of quantized linear modules, for display."""
-    rows = modules.where(F.col("kind") == QUANT_LINEAR)
-    return rows.select("path", F.format_string("quantized linear, group size %d, %d values", F.col("group_size"), F.col("numel")).alias("description"))
+def construct(modules: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(path, kind, group_size, n_in, n_out, row_idx, values): the rows that each quantized module of swap() owns or shares.
+
+    modules has param_id and owner_param_id as swap() leaves them, parameters (param_id, row_idx,
+    values) the masters, which stay as they are: a quantized module quantizes when it is evaluated.
+    """
+    rows = modules.where(F.col("kind").isin(QUANT_LINEAR, QUANT_EMBEDDING)).select("path", "kind", "group_size", F.coalesce("owner_param_id", "param_id").alias("owner"))
+    shapes = parameters.groupBy("param_id").agg(F.max(F.size("values")).alias("n_in"), F.count("*").cast("int").alias("n_out"))
+    shaped = rows.join(shapes, rows.owner == shapes.param_id).drop("param_id")
+    return shaped.join(parameters, F.col("owner") == F.col("param_id")).select("path", "kind", "group_size", "n_in", "n_out", "row_idx", "values")
+
+
+def describe(modules: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(path, description) of quantized linear modules, for display: inputs, outputs and that they are quantized."""
+    shapes = parameters.groupBy("param_id").agg(F.max(F.size("values")).alias("n_in"), F.count("*").alias("n_out"))
+    rows = modules.where(F.col("kind") == QUANT_LINEAR).select("path", F.coalesce("owner_param_id", "param_id").alias("owner"))
+    return rows.join(shapes, rows.owner == shapes.param_id, "left").select("path", F.format_string("%s to %s, quantized", F.col("n_in"), F.col("n_out")).alias("description"))
 
 
 def parameter_counts(modules: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from gridloom import schemas
 from gridloom.functions import quantize as q
 from gridloom.operators import adapters, evaluate, rewrite
 from gridloom.sources import chat
-from gridloom.sources.tables import table
+from gridloom.sources.tables import new_folder, parameter_rows, read_parameters, table, write_parameters
 
 WIDTH = 64
 
@@ -185,6 +185,65 @@ def chat_first_300(spark, sf_dir):
     return chat.first(_chats(spark, sf_dir)).select("conv_id", F.size("conversations").cast("long").alias("n_msgs"))
 
 
+def _parameters(spark, sf_dir) -> DataFrame:
+    """The embedding table as p_embed and the label weights as p_q0, written and read back."""
+    path = new_folder(spark, "parameters")
+    embed = parameter_rows(_vectors(spark, sf_dir), "p_embed", "vec_id", "values")
+    write_parameters(embed.unionByName(parameter_rows(_weights(spark, sf_dir), "p_q0", "out_id", "values")), path)
+    return read_parameters(spark, path)
+
+
+def parameter_round_trip(spark, sf_dir):
+    """Every value of the written parameters."""
+    rows = _parameters(spark, sf_dir).select("param_id", "row_idx", F.posexplode("values").alias("pos", "w"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+def construct_modules(spark, sf_dir, k=64):
+    """What the quantized modules hold and give: the shared table, its head and a projection, quantized."""
+    rows = rewrite.construct(rewrite.swap(registry(spark), q.QuantConfig(k)), _parameters(spark, sf_dir))
+    rows = rows.select("path", "kind", "n_in", "n_out", "row_idx", F.posexplode(q.quantize(F.col("values"), k)).alias("pos", "q"))
+    return rows.withColumns({"n_out": F.col("n_out").cast("long"), "pos": F.col("pos").cast("long")})
+
+
+def describe_modules(spark, sf_dir):
+    known = _parameters(spark, sf_dir)
+    return rewrite.describe(rewrite.swap(registry(spark), q.QuantConfig(64)), known).where("path in ('lm_head', 'model.layers.0.q_proj')")
+
+
+ADAPTER_R = 4
+
+
+def adapter_rows(spark, sf_dir):
+    """Fresh adapters of the registry's targets, taken as 64 wide."""
+    modules = registry(spark).withColumns({"n_in": F.lit(64), "n_out": (F.col("numel") / 64).cast("int")})
+    rows = adapters.init_adapters(modules, ADAPTER_R, 8.0).select("module_path", "side", "row_idx", "r", "alpha", F.posexplode("values").alias("pos", "w"))
+    return rows.withColumns({"pos": F.col("pos").cast("long"), "w": F.round(F.col("w").cast("double"), 6)})
+
+
+def quant_default(spark, sf_dir):
+    """Vectors of twice the width, each with its own values in reverse after them, at the default group size."""
+    wide = _vectors(spark, sf_dir).select("vec_id", F.concat("values", F.reverse("values")).alias("values"))
+    rows = wide.select("vec_id", F.posexplode(q.quantize(F.col("values"))).alias("pos", "q"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
+def linear_forward_default(spark, sf_dir):
+    """The linear map at the default group size, on vectors and weights of twice the width."""
+    double = lambda df, key, name: df.select(F.col(key).alias(name), F.concat("values", F.reverse("values")).alias("values"))
+    y = evaluate.linear_forward(double(_vectors(spark, sf_dir), "vec_id", "x_id"), double(_weights(spark, sf_dir), "out_id", "out_id"), most=0)
+    return y.select("x_id", "out_id", F.round("y", 5).alias("y"))
+
+
+def chat_first_30(spark, sf_dir):
+    return chat.first(_chats(spark, sf_dir), 30).select("conv_id", F.size("conversations").cast("long").alias("n_msgs"))
+
+
+def chat_labels_64(spark, sf_dir, longest=64):
+    rows = chat.prepare(_chats(spark, sf_dir), longest=longest).select("conv_id", F.posexplode(F.arrays_zip("input_ids", "labels")).alias("pos", "v"))
+    return rows.select("conv_id", F.col("pos").cast("long").alias("pos"), F.col("v.input_ids").alias("input_id"), F.col("v.labels").alias("label"))
+
+
 QUERIES = {
     "quant_group_stats_k64": _stats(64), "quant_group_stats_k32": _stats(32), "quant_group_stats_k16": _stats(16), "round_clamp": round_clamp,
     "quant_codes_k32": quant_codes, "quant_values_k32": quant_values, "quant_values_arrow_k32": quant_values_arrow, "quant_idempotent_k32": quant_idempotent,
@@ -192,6 +251,8 @@ QUERIES = {
     "swap_plan": swap_plan, "param_counts": param_counts, "requant_count": requant_count, "adapter_targets": adapter_targets,
     "adapter_quant": adapter_quant, "adapter_touch_count": adapter_touch_count, "adapter_merge": adapter_merge, "save_pipeline": save_pipeline,
     "chat_role_map": chat_role_map, "chat_render": chat_render, "chat_labels": chat_labels, "chat_first_300": chat_first_300,
+    "parameter_round_trip": parameter_round_trip, "construct_modules": construct_modules, "describe_modules": describe_modules, "adapter_rows": adapter_rows,
+    "quant_default": quant_default, "linear_forward_default": linear_forward_default, "chat_first_30": chat_first_30, "chat_labels_64": chat_labels_64,
 }
 
 
@@ -238,6 +299,15 @@ _CHAT_SQL = """m AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTIT
 r AS (SELECT conv_id, any_value(n)::BIGINT AS n_msgs, string_agg(body, '' ORDER BY turn) AS full_text,
   coalesce(string_agg(body, '' ORDER BY turn) FILTER (k < n - 1), '') || '<|im_start|>assistant' || chr(10) AS prompt_text FROM m GROUP BY conv_id)"""
 
+def _labels_sql(longest: int) -> str:
+    return f"""WITH {_CHAT_SQL},
+w AS (SELECT conv_id, list_filter(regexp_split_to_array(full_text, '\\s+'), lambda x: x <> '')[1:{longest}] AS ids,
+  least(len(list_filter(regexp_split_to_array(prompt_text, '\\s+'), lambda x: x <> '')), {longest}) AS p FROM r),
+x AS (SELECT conv_id, p, ids, unnest(range(greatest(len(ids), p))) AS pos FROM w),
+y AS (SELECT conv_id, pos, p, ids, CASE WHEN pos < len(ids) THEN ('0x' || substr(md5(ids[pos + 1]), 1, 6))::BIGINT END AS input_id FROM x)
+SELECT conv_id, pos::BIGINT AS pos, input_id, CASE WHEN pos < p THEN {chat.IGNORED} ELSE input_id END::BIGINT AS label FROM y"""
+
+
 ORACLES = {
     **{f"quant_group_stats_k{k}": _stats_sql(k) for k in (64, 32, 16)},
     "round_clamp": "SELECT c_custkey, greatest(-1, least(1, round_even(c_acctbal / 1000, 0)))::INTEGER AS code, c_acctbal / 1000 AS gradient FROM customer",
@@ -260,15 +330,33 @@ SELECT sum(numel)::BIGINT AS n_total, sum(numel) FILTER (t)::BIGINT AS n_trainab
 SELECT module, vec_id AS row, pos, round((round_even(w::DOUBLE / alpha::DOUBLE, 0) * alpha)::FLOAT::DOUBLE, 5) + 0.0 AS q FROM z""",
     "chat_role_map": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS turn, role, text AS content FROM conversations",
     "chat_render": f"WITH {_CHAT_SQL} SELECT * FROM r",
-    "chat_labels": f"""WITH {_CHAT_SQL},
-w AS (SELECT conv_id, list_filter(regexp_split_to_array(full_text, '\\s+'), lambda x: x <> '')[1:{chat.LONGEST}] AS ids,
-  least(len(list_filter(regexp_split_to_array(prompt_text, '\\s+'), lambda x: x <> '')), {chat.LONGEST}) AS p FROM r),
-x AS (SELECT conv_id, p, ids, unnest(range(greatest(len(ids), p))) AS pos FROM w),
-y AS (SELECT conv_id, pos, p, ids, CASE WHEN pos < len(ids) THEN ('0x' || substr(md5(ids[pos + 1]), 1, 6))::BIGINT END AS input_id FROM x)
-SELECT conv_id, pos::BIGINT AS pos, input_id, CASE WHEN pos < p THEN {chat.IGNORED} ELSE input_id END::BIGINT AS label FROM y""",
+    "chat_labels": _labels_sql(chat.LONGEST),
+    "chat_labels_64": _labels_sql(64),
+    "chat_first_30": "SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 30",
     "chat_first_300": "SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 300",
 }
 _FORWARD_SQL = f"""WITH {_long(32, "SELECT out_id AS vec_id, list(v ORDER BY pos) AS v FROM (SELECT label::BIGINT AS out_id, pos, max(v) AS v FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2) GROUP BY 1")},
 x AS (SELECT vec_id AS x_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, unnest(embedding)::FLOAT AS v FROM embeddings)
 SELECT x.x_id, c.vec_id AS out_id, round(sum(x.v::DOUBLE * (c.code * c.alpha)::FLOAT::DOUBLE) + any_value(c.vec_id / 8), 5) + 0.0 AS y FROM x JOIN coded c USING (pos) GROUP BY 1, 2"""
 ORACLES |= {"linear_forward": _FORWARD_SQL, "linear_forward_join": _FORWARD_SQL}
+_PARAMETERS_SQL = """p AS (SELECT 'p_embed' AS param_id, vec_id AS row_idx, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, unnest(embedding)::FLOAT AS w FROM embeddings
+  UNION ALL SELECT 'p_q0', label::BIGINT, pos, max(w) FROM (SELECT label, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, unnest(embedding)::FLOAT AS w FROM embeddings) GROUP BY label, pos)"""
+_OWNERS_SQL = f"o AS (SELECT path, new_kind AS kind, group_size, owner_param_id AS owner FROM ({_SWAP_SQL}) WHERE new_kind LIKE 'quant%')"
+_SHAPES_SQL = "s AS (SELECT param_id, max(pos)::INTEGER + 1 AS n_in, count(DISTINCT row_idx) AS n_out FROM p GROUP BY param_id)"
+_WIDE_SQL = "SELECT vec_id, list_concat(embedding, list_reverse(embedding)) AS v FROM embeddings"
+ORACLES |= {
+    "parameter_round_trip": f"WITH {_PARAMETERS_SQL} SELECT * FROM p",
+    "construct_modules": f"""WITH {_PARAMETERS_SQL}, {_OWNERS_SQL}, {_SHAPES_SQL},
+z AS (SELECT *, greatest(max(abs(w)) OVER (PARTITION BY param_id, row_idx, pos // 64), 1e-8::FLOAT) AS alpha FROM p)
+SELECT o.path, o.kind, s.n_in, s.n_out, z.row_idx, z.pos, (round_even(w::DOUBLE / alpha::DOUBLE, 0) * alpha + 0.0)::FLOAT AS q FROM o JOIN s ON s.param_id = o.owner JOIN z ON z.param_id = o.owner""",
+    "describe_modules": f"WITH {_PARAMETERS_SQL}, {_OWNERS_SQL}, {_SHAPES_SQL} SELECT path, n_in || ' to ' || n_out || ', quantized' AS description FROM o JOIN s ON s.param_id = o.owner WHERE path IN ('lm_head', 'model.layers.0.q_proj')",
+    "adapter_rows": f"""WITH {_rows_sql()}, t AS (SELECT path, numel // 64 AS n_out FROM modules WHERE regexp_matches(path, '(^|[.])(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)$')),
+a AS (SELECT path, r, unnest(range(64)) AS pos FROM (SELECT path, unnest(range({ADAPTER_R})) AS r FROM t)),
+b AS (SELECT path, r, unnest(range({ADAPTER_R})) AS pos FROM (SELECT path, unnest(range(n_out)) AS r FROM t))
+SELECT path AS module_path, 'A' AS side, r AS row_idx, {ADAPTER_R}::INTEGER AS r, 8.0::DOUBLE AS alpha, pos, round(((('0x' || substr(md5(path || '|' || r || '|' || pos), 1, 8))::BIGINT / 4294967296.0 * 2 - 1) / 8)::FLOAT::DOUBLE, 6) AS w FROM a
+UNION ALL SELECT path, 'B', r, {ADAPTER_R}, 8.0, pos, 0.0 FROM b""",
+    "quant_default": f"WITH {_long(128, _WIDE_SQL)} SELECT vec_id, pos, (code * alpha)::FLOAT AS q FROM coded",
+    "linear_forward_default": f"""WITH {_long(128, "SELECT out_id AS vec_id, list_concat(v, list_reverse(v)) AS v FROM (SELECT out_id, list(v ORDER BY pos) AS v FROM (SELECT label::BIGINT AS out_id, pos, max(v) AS v FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS v FROM embeddings) GROUP BY 1, 2) GROUP BY 1)")},
+x AS (SELECT vec_id AS x_id, (generate_subscripts(v, 1) - 1)::BIGINT AS pos, unnest(v)::FLOAT AS v FROM ({_WIDE_SQL}))
+SELECT x.x_id, c.vec_id AS out_id, round(sum(x.v::DOUBLE * (c.code * c.alpha)::FLOAT::DOUBLE), 5) + 0.0 AS y FROM x JOIN coded c USING (pos) GROUP BY 1, 2""",
+}

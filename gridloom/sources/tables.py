@@ -2,8 +2,39 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.schemas import PARAMETERS
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def parameter_rows(vectors: DataFrame, param_id: str, row: str, values: str) -> DataFrame:
+    """A matrix's vectors as rows of the table of parameters, numbered as its column ``row``."""
+    return vectors.select(F.lit(param_id).alias("param_id"), F.col(row).cast("long").alias("row_idx"), F.col(values).cast("array<float>").alias("values"))
+
+
+def write_parameters(parameters: DataFrame, path: str) -> None:
+    """(param_id, row_idx, values) as Parquet, a folder for each parameter, so that a scan of one reads no other."""
+    parameters.select("param_id", "row_idx", "values").write.partitionBy("param_id").parquet(path)
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PARAMETERS).parquet(path).select("param_id", "row_idx", "values")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path below spark.checkpoint.dir, which driver and executors share; below a temporary folder where a local session names none."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="gridloom-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

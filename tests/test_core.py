@@ -102,11 +102,27 @@ def test_round_clamp(spark):
     assert df.select(q.straight_through(F.col("v"))).first()[0] == [0.5, 1.5, -0.5, -2.5, 0.51, 0.0, -0.51]
 
 
+def test_round_clamp_keeps_nan_and_null(spark):
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (-5.0,), (-0.2,), (None,)], "x double")
+    got = [r[0] for r in df.select(q.round_clamp(F.col("x"))).collect()]
+    assert math.isnan(got[0]) and got[1:] == [1.0, -1.0, 0.0, None] and math.copysign(1, got[3]) > 0
+
+
+def test_null_elements(spark):
+    df = spark.createDataFrame([(1, [1.0, None, -2.0, 0.5]), (2, [None, None, 1.0, 1.0])], "id int, v array<float>")
+    want = {1: [1.0, None, -2.0, 0.0], 2: [None, None, 1.0, 1.0]}
+    assert {r[0]: r[1] for r in df.select("id", q.quantize(F.col("v"), 2)).collect()} == want
+    assert {r["id"]: r["v"] for r in q.quantize_arrow(df, "v", 2).collect()} == want
+
+
 def test_config():
-    assert (q.group_size_of(None), q.group_size_of(q.QuantConfig(64)), q.group_size_of(object())) == (128, 64, 128)
+    assert (q.group_size_of(None), q.group_size_of(q.QuantConfig(64))) == (128, 64)
+    with pytest.raises(AttributeError):
+        q.group_size_of(object())
 
 
-def test_linear_both_ways(spark):
+def test_linear_both_ways(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "TILE_IN", 4)
     x = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, [0.0, 0.0, 0.0, 1.0])], "x_id long, values array<float>")
     w = spark.createDataFrame([(0, [1.0, 0.4, -1.0, 0.6]), (1, [0.0, 0.0, 0.0, 2.0])], "out_id long, values array<float>")
     bias = spark.createDataFrame([(1, 0.5)], "out_id long, bias double")
@@ -114,6 +130,28 @@ def test_linear_both_ways(spark):
     for most in (1000, 0):
         assert {(r[0], r[1]): r[2] for r in evaluate.linear_forward(x, w, 4, bias, most).collect()} == want
     assert evaluate.linear_forward(x, w.limit(0), 4).count() == 0
+    for most in (1000, 0):
+        assert evaluate.linear_forward(x.limit(0), w, 4, bias, most).count() == 0
+        odd = spark.createDataFrame([(1, None), (2, [1.0, None, 0.0, 0.0]), (3, [1.0, 1.0, 1.0, 1.0]), (3, [0.0, 0.0, 0.0, 1.0])], "x_id long, values array<float>")
+        got = sorted(((r[0], r[1], r[2]) for r in evaluate.linear_forward(odd, w, 4, None, most).collect()), key=repr)
+        assert got == sorted([(1, 0, None), (1, 1, None), (2, 0, None), (2, 1, None), (3, 0, 1.0), (3, 1, 2.0), (3, 0, 1.0), (3, 1, 2.0)], key=repr)
+        ragged = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0] * 6)], "x_id long, values array<float>")
+        with pytest.raises(Exception, match="width"):
+            evaluate.linear_forward(ragged, w, 4, None, most).collect()
+    with pytest.raises(ValueError, match="one width"):
+        evaluate.linear_forward(x, spark.createDataFrame([(0, [1.0] * 4), (1, [1.0] * 8)], "out_id long, values array<float>"), 4)
+
+
+def test_tiles_sum_over_inputs(spark, monkeypatch):
+    for name, size in (("TILE_IN", 6), ("TILE_OUT", 3), ("TILE_ROWS", 5)):
+        monkeypatch.setattr(evaluate, name, size)
+    rng = np.random.default_rng(5)
+    x, w = rng.standard_normal((17, 16)).astype(np.float32), rng.standard_normal((10, 16)).astype(np.float32)
+    dx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "x_id long, values array<float>")
+    dw = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "out_id long, values array<float>")
+    want = x.astype(float) @ q.quantize_block(w, 4).astype(float).T
+    got = {(r[0], r[1]): r[2] for r in evaluate.linear_forward(dx, dw, 4, None, 0).collect()}
+    assert len(got) == 170 and all(abs(got[i, j] - want[i, j]) < 1e-9 for i, j in got)
 
 
 def test_lookup(spark):
@@ -136,7 +174,9 @@ def test_swap_rules(spark):
     assert got["lm_head"] == ("quant_linear", 64, "p_embed")
     again = rewrite.swap(once.drop("old_kind"), q.QuantConfig(16))
     assert {r["path"]: r["group_size"] for r in again.collect()} == {k: v[1] for k, v in got.items()}
-    assert {r["path"] for r in rewrite.describe(once).collect()} == {k for k, v in got.items() if v[0] == "quant_linear"}
+    known = spark.createDataFrame([("p_q0", i, [0.0] * 64) for i in range(7)], queries.schemas.PARAMETERS)
+    told = {r["path"]: r["description"] for r in rewrite.describe(once, known).collect()}
+    assert set(told) == {k for k, v in got.items() if v[0] == "quant_linear"} and told["model.layers.0.q_proj"] == "64 to 7, quantized"
     parents = {r[0]: r[1] for r in once.select("path", rewrite.parent_path(F.col("path"))).collect()}
     assert parents["model.layers.0.q_proj"] == "model.layers.0" and parents["lm_head"] == "" and parents[""] is None
 
@@ -147,6 +187,34 @@ def test_untied_head_and_default_size(spark):
     assert got == {"embed_tokens": ("a", 128), "lm_head": ("b", 128)}
 
 
+def test_two_tables_of_one_head(spark):
+    rows = [(p, "linear" if p == "lm_head" else "embedding", n, "a", None, False, None, True, 8) for p, n in (("embed_tokens", "a"), ("model.embed_tokens", "a"), ("lm_head", "a"))]
+    assert rewrite.swap(spark.createDataFrame(rows, queries.schemas.MODULES)).count() == 3
+
+
+def test_empty_tables(spark):
+    base = spark.createDataFrame([], "module_path string, row_idx long, values array<float>")
+    lora, modules = spark.createDataFrame([], queries.schemas.ADAPTERS), spark.createDataFrame([], queries.schemas.MODULES)
+    assert adapters.merge(base, lora, 4.0, 2).count() == adapters.quantize_adapters(lora, 2).count() == rewrite.swap(modules).count() == 0
+    assert adapters.touched_count(lora, 2).first()["n"] == 0 and adapters.save_pipeline(base, lora, modules, 4.0, 2, 4).count() == 0
+    tokens, table = spark.createDataFrame([], "token_id long"), spark.createDataFrame([], "token_id long, values array<float>")
+    assert evaluate.embedding_lookup(tokens, table, 2).count() == 0
+    assert chat.prepare(spark.createDataFrame([], queries.schemas.CHAT)).count() == 0
+
+
+def test_merge_of_two_adapters_and_missing_rows(spark, tmp_path):
+    base = spark.createDataFrame([("m", 0, [1.0, 2.0]), ("m", 1, [3.0, 4.0])], "module_path string, row_idx long, values array<float>")
+    rows = [("m", "x", "A", 0, [1.0, 1.0]), ("m", "y", "A", 0, [0.0, 2.0]), ("m", "x", "B", 0, [1.0]), ("m", "y", "B", 0, [3.0]), ("m", "y", "B", 1, [1.0])]
+    lora = spark.createDataFrame(rows, queries.schemas.ADAPTERS)
+    merged = {r[1]: r[2] for r in adapters.merge(base, lora, 1.0, 1).collect()}
+    assert merged == {0: [2.0, 9.0], 1: [3.0, 6.0]}
+    modules = spark.createDataFrame([("m", "quant_linear", None)], "path string, kind string, group_size int")
+    with pytest.raises(Exception, match="does not divide"):
+        adapters.requantize(base, modules).collect()
+    out = adapters.save_pipeline(base, lora, modules.where("false"), 1.0, 1, 2, str(tmp_path / "out"))
+    assert {r[1]: r[2] for r in out.collect()} == {0: [2.0, 9.0], 1: [3.0, 6.0]} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def test_merge_and_requantize(spark):
     base = spark.createDataFrame([("m", 0, [1.0, 2.0]), ("m", 1, [0.0, 0.0]), ("other", 0, [5.0, 1.0])], "module_path string, row_idx long, values array<float>")
     rows = [("m", "x", "A", 0, [1.0, 0.1]), ("m", "x", "A", 1, [0.0, 2.0]), ("m", "x", "B", 0, [1.0, 2.0]), ("m", "x", "B", 1, [0.0, 1.0])]
