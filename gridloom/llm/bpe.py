@@ -5,7 +5,7 @@
    one for each bucket of words.
 2. A bucket's lists, from all blocks, become its distinct words. ``aggregate`` folds over a word's
    byte array the ranked merges, each step joining the adjacent pair of least rank, leftmost first;
-   the rank map is a literal table of pairs. A step looks up only the two pairs that a merge makes.
+   the rank map is a literal row of arrays. A step looks up only the two pairs that a merge makes.
    Words that are vocabulary entries are their own token.
 3. The ids go back to the blocks, whose documents are put together by their numbers.
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import batch_rows, filesystem, new_folder, text_of, written
@@ -56,12 +55,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def load_pairs(path: str) -> "RankMap":
-    """The merges of a file as literals; made once."""
-    return RankMap(load_ranks(path))
-
-
 def java_pattern(pattern: str) -> str:
     """The pattern with Unicode white space, as the vocabulary's own splitter has it."""
     space = r"\t\n\x0B\f\r \x85   -     　"
@@ -72,26 +65,22 @@ def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def literal(values: list, kind: str) -> Column:
-    """A foldable array."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
 class RankMap:
-    """The merges as literals: which id two adjacent ids become, which is also the merge's rank.
+    """The merges as one literal row: which id two adjacent ids become, which is also the merge's rank.
 
     Rows of the pair table (a left id's merges) are laid over each other in one array, each at a
     displacement at which its entries meet free places, so that a pair is found by two array reads;
     an entry holds its left id beside the rank, and a pair that is no entry gives a larger number
-    than any rank.
+    than any rank. The row is a scalar of the plan, in Spark's binary form: its arrays are read
+    without an object for each entry.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         self.n_ids = max(ranks.values()) + 1
         if self.n_ids >= 1 << ID_BITS:
             raise ValueError(f"ids are held in {ID_BITS} bits")
@@ -101,9 +90,12 @@ class RankMap:
                 if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None:
                     rows.setdefault(a, {})[b] = rank
         place, table = self._laid(rows)
-        self.place = literal(place, "array<int>")
-        self.table = literal(table.tolist(), "array<bigint>")
-        self.bytes = literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
+        folder = new_folder(spark, "bpe-ranks")
+        fs, root = filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        row = pa.table({"place": pa.array([place], pa.list_(pa.int32())), "table": pa.array([table], pa.list_(pa.int64())), "bytes": pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int64()))})
+        pq.write_table(row, f"{root}/ranks.parquet", filesystem=fs)
+        self.row = spark.read.parquet(folder).select(F.struct("place", "table", "bytes"))
 
     def _laid(self, rows: dict[int, dict[int, int]]) -> tuple[list[int], np.ndarray]:
         rng, free = np.random.default_rng(1), 1 << 62
@@ -117,13 +109,13 @@ class RankMap:
             table[d + rights] = [a << 31 | row[b] for b in row]
         return place, table
 
-    def fold(self, word: Column) -> Column:
-        """A word's ids: merge the pair of least rank, the leftmost of such, until none is left."""
+    def fold(self, word: Column, maps: Column) -> Column:
+        """A word's ids: merge the pair of least rank, the leftmost of such, until none is left. maps: the row, as a column."""
         none, ids, low = (1 << 63 - ID_BITS - PLACE_BITS) - 1, (1 << ID_BITS) - 1, (1 << ID_BITS + PLACE_BITS) - 1
         shift, rest = ID_BITS + PLACE_BITS, 1 << 30
 
         def bound(maps: Column) -> Column:
-            # The literals are bound once: each mention of a literal would be a copy of its own.
+            # Bound once: each mention of the row would be evaluated and sent on its own.
             def cost(a: Column, b: Column) -> Column:
                 entry = F.get(maps["table"], (F.get(maps["place"], a.cast("int")) + b).cast("int"))
                 return F.least(entry.bitwiseXOR(F.shiftleft(a, 31)), F.lit(none).cast("bigint"))
@@ -147,7 +139,7 @@ class RankMap:
             characters = F.split(F.decode(F.encode(word, "UTF-8"), LATIN), "")
             return let(F.transform(characters, lambda c: F.get(maps["bytes"], F.ascii(c))), run)
 
-        return let(F.struct(self.table.alias("table"), self.place.alias("place"), self.bytes.alias("bytes")), bound)
+        return let(maps, bound)
 
 
 def encode_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -384,8 +376,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     with batch_rows(spark, BATCH):
         lists = written(texts.mapInArrow(_blocks(folder, n_buckets, pattern), WORDS), "bpe-words")
     pooled = lists.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_distinct(path), POOLED)
-    ids = F.coalesce("known", F.when(F.col("word").isNotNull(), load_pairs(path).fold(F.col("word"))))
-    packs = pooled.select("bucket", "block", ids.alias("ids"), "places").mapInArrow(_packs, PACKS)
+    ranks = RankMap(spark, load_ranks(path))
+    ids = F.coalesce("known", F.when(F.col("word").isNotNull(), ranks.fold(F.col("word"), F.col("maps"))))
+    folded = pooled.withColumn("maps", ranks.row.scalar()).select("bucket", "block", ids.alias("ids"), "places")
+    packs = written(folded.mapInArrow(_packs, PACKS), "bpe-packs")
     return packs.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_assembled(folder), ENCODED)
 
 

@@ -40,24 +40,30 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what runs within; after it the setting is as before."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    # Spark keeps the text of every plan that ran; literals and long lineages make long texts.
+    with setting(spark, "spark.sql.maxPlanStringLength", "10000"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Bounds the rows of Arrow batches in jobs that run within; the session's setting is as before after it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def batch_rows(spark: SparkSession, rows: int):
+    """Bounds the rows of Arrow batches in jobs that run within."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 #: Bits of a bitmap for each value, its most bits (it goes to every task), and bits of one of its pieces.
