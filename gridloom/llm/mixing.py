@@ -4,7 +4,7 @@ Documents fall into cells (source, language, topic) of so many tokens. A cell's
 of its tokens that the sample is to hold in expectation, so it is never more than the cell has. All
 weights begin at the same share of the cells' tokens; then they are scaled in turn to the goals of
 sources, languages and topics, and cut at what the cells have within the loop, until all margins are
-within ``CLOSE`` of their goals (looked at every ``STEP`` rounds). Weight over tokens is the
+within ``CLOSE`` of their goals or come no nearer (looked at every ``STEP`` rounds). Weight over tokens is the
 probability with which each document of the cell is kept: a uniform number made from its doc_id
 falls under it.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import text_of, written
 
-#: Rounds at most, rounds between two looks at the margins, and how near they must be.
-ROUNDS, STEP, CLOSE = 60, 6, 1e-4
+#: Rounds at most, rounds between two looks at the margins, how near they must be, and what the farthest must fall to from look to look.
+ROUNDS, STEP, CLOSE, FALL = 60, 3, 5e-3, 0.95
 #: Tokens wanted in the sample, as a share of all, and the share under which it is not lowered to meet a target.
 SHARE, LEAST_SHARE = 0.5, 0.25
 NONE = "(none)"
@@ -109,7 +109,7 @@ def fitted(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[
     out = cells.where("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(share))
     for d in DIMENSIONS:
         out = out.join(margins.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}")), d)
-    done = 0
+    done, before = 0, float("inf")
     while done < rounds:
         for _ in range(step):
             for d in DIMENSIONS:
@@ -119,8 +119,9 @@ def fitted(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[
         out = written(out, "mix-weights")
         off = [out.groupBy(d).agg(F.abs(F.sum("weight") / F.first(f"goal_{d}") - 1).alias("off")).select("off") for d in DIMENSIONS]
         worst = reduce(DataFrame.unionByName, off).agg(F.max("off")).first()[0]
-        if worst is None or worst <= close:
+        if worst is None or worst <= close or worst > FALL * before:
             break
+        before = worst
     return out.select(*DIMENSIONS, "tokens", "weight")
 
 
@@ -166,8 +167,8 @@ def oracle(share: float = SHARE, table: str = "documents") -> str:
     body = "it"
     for k in range(STEP * len(DIMENSIONS)):
         d = DIMENSIONS[k % len(DIMENSIONS)]
-        keep = "i, worst" if k else "i + 1 AS i, worst"
-        where = "" if k else f" WHERE worst > {CLOSE} AND i < {ROUNDS // STEP}"
+        keep = "i, before" if k else "i + 1 AS i, worst AS before"
+        where = "" if k else f" WHERE worst > {CLOSE} AND worst <= {FALL} * before AND i < {ROUNDS // STEP}"
         body = f"(SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, {keep}, least(tokens, weight * goal_{d} / sum(weight) OVER (PARTITION BY {d})) AS weight FROM {body}{where})"
     off = ", ".join(f"abs(sum(weight) OVER (PARTITION BY {d}) / goal_{d} - 1)" for d in DIMENSIONS)
     return f"""
@@ -182,10 +183,10 @@ r AS (SELECT m.*, (wanted * total - coalesce(sum(held) OVER p, 0)) / (sum(target
   WINDOW p AS (PARTITION BY dimension ORDER BY held / target, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT dimension, value, coalesce(least(held, target * max(CASE WHEN rate * target <= held THEN rate END) OVER (PARTITION BY dimension)), held) AS goal FROM r),
 it AS (
-  SELECT c.source, c.lang, c.topic, tokens, x.goal AS goal_source, y.goal AS goal_lang, z.goal AS goal_topic, 0 AS i, 1e9::DOUBLE AS worst, tokens * {share} AS weight FROM c
+  SELECT c.source, c.lang, c.topic, tokens, x.goal AS goal_source, y.goal AS goal_lang, z.goal AS goal_topic, 0 AS i, 1e9::DOUBLE AS worst, 2e9::DOUBLE AS before, tokens * {share} AS weight FROM c
   JOIN g x ON x.dimension = 'source' AND x.value = c.source JOIN g y ON y.dimension = 'lang' AND y.value = c.lang JOIN g z ON z.dimension = 'topic' AND z.value = c.topic
   UNION ALL
-  SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, i, max(off) OVER () AS worst, weight FROM (SELECT *, greatest({off}) AS off FROM {body})
+  SELECT source, lang, topic, tokens, goal_source, goal_lang, goal_topic, i, max(off) OVER () AS worst, before, weight FROM (SELECT *, greatest({off}) AS off FROM {body})
 ),
 p AS (SELECT source, lang, topic, round(weight / tokens, 6) AS probability FROM it WHERE i = (SELECT max(i) FROM it))
 SELECT d.doc_id, d.topic, d.n_tokens, coalesce(p.probability, 1.0) AS probability,

@@ -199,10 +199,10 @@ def _expected(drawn, by):
 def test_mixing_meets_targets(spark):
     df = _mixed(spark, random.Random(2))
     drawn = mixing.drawn(df, share=0.3).toPandas()
-    assert np.allclose(_expected(drawn, "source"), 1 / 3, rtol=1e-3)
+    assert np.allclose(_expected(drawn, "source"), 1 / 3, rtol=0.01)
     lang = _expected(drawn, "lang")
-    assert np.allclose([lang["en"], lang["de"]], [2 / 3, 1 / 3], rtol=1e-3)
-    assert abs((drawn.n_tokens * drawn.probability).sum() / drawn.n_tokens.sum() - 0.3) < 1e-3
+    assert np.allclose([lang["en"], lang["de"]], [2 / 3, 1 / 3], rtol=0.01)
+    assert abs((drawn.n_tokens * drawn.probability).sum() / drawn.n_tokens.sum() - 0.3) < 3e-3
     assert abs(drawn[drawn.kept].n_tokens.sum() / drawn.n_tokens.sum() - 0.3) < 0.03
     assert drawn.probability.max() <= 1
 
@@ -220,8 +220,8 @@ def test_mixing_reports_what_cannot_be_met(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     found = {r["value"]: r for r in mixing.report(df, share=0.5).where("dimension = 'source'").collect()}
     whole = 50 * len(rows)
-    assert found["tiny"]["goal"] == found["tiny"]["held"] == 50 and abs(found["tiny"]["expected"] - 50) < 0.1
-    assert abs(found["a"]["expected"] - found["b"]["expected"]) < 10 and abs(sum(r["expected"] for r in found.values()) / whole - mixing.LEAST_SHARE) < 1e-3
+    assert found["tiny"]["goal"] == found["tiny"]["held"] == 50 and abs(found["tiny"]["expected"] - 50) < 0.5
+    assert abs(found["a"]["expected"] / found["b"]["expected"] - 1) < 0.01 and abs(sum(r["expected"] for r in found.values()) / whole - mixing.LEAST_SHARE) < 3e-3
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
