@@ -36,8 +36,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below this application's folder in the shared folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared folder: all files and intermediate tables of this subpackage."""
+    return f"{shared_root(spark).rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete all that this application wrote there; to be called once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager

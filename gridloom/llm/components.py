@@ -16,14 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an edge table (a, b): component is the least node reachable. Nodes without an edge to another have no row.
 
     Alternating large-star and small-star rounds; each round's edges are written to the shared
-    folder, so that lineage stays short. A node's least neighbour is combined on the map side.
+    folder, so that lineage stays short. A node's least neighbour is combined on the map side, and
+    the rows of a node with very many are split over tasks.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now).where("a <> b").distinct()
+        # Keyed by another number than the sums are, so that the join shuffles anew and a hot node's rows are split by the skew join;
+        # a node that is less than all its neighbours gives them nothing that they have not.
+        least = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a").select(F.bitwise_not("a").alias("k"), "m")
+        large = both.where("b > a").withColumn("k", F.bitwise_not("a")).join(least, "k").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(now).where("a <> b").distinct()
         # What is larger than its neighbours now hangs from the least of them.
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(parent, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(parent.select("a", F.col("m").alias("b")))

@@ -258,3 +258,27 @@ def test_ratios_again_in_plain_code():
         assert [v[:3] for v in sums.values()] == values
         paths = html.content_paths(sums)
         assert [p in paths for p in sums] == passed or len(paths) == 1
+
+
+# --- large payloads, and the application's folder
+
+def test_large_payload_travels_in_chunks(spark):
+    big = "".join(chr(97 + i * i % 26) for i in range(1 << 16)) * 400
+    df = spark.createDataFrame([(1, "u", big), (2, "u", "x"), (3, "v", big)], "page_id long, url string, html string")
+    records = df.selectExpr("page_id", "url", "encode(html, 'utf-8') AS payload")
+    rows = warc.chunked(warc.decided(records)).selectExpr("page_id", "chunk_no", "is_last", "length(data) AS n").collect()
+    assert max(r["n"] or 0 for r in rows) == warc.CHUNK and sum(r["n"] for r in rows if r["page_id"] == 1) == len(big)
+    assert [(r["chunk_no"], r["is_last"], r["n"]) for r in rows if r["page_id"] == 3] == [(0, True, None)]
+    got = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    assert (got[1]["payload_digest"], got[1]["payload_bytes"], got[3]["refers_to"], got[2]["record_type"]) == (sha(big), len(big), 1, "response")
+
+
+def test_clean_removes_what_was_written(spark, tmp_path):
+    import os
+
+    from gridloom.llm import common
+
+    common.written(spark.range(3), "some")
+    folder = common.run_folder(spark).removeprefix("file:")
+    assert os.path.isdir(folder) and common.clean(spark) and not os.path.exists(folder)
+    assert common.written(spark.range(3), "again").count() == 3
