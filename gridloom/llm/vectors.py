@@ -34,7 +34,7 @@ from gridloom.llm.components import components, forest
 
 COSINE = 0.9
 #: Coordinates in a block, classes in a part of a cell, rows and pairs handled at once.
-BLOCK, PART, ROWS, PAIRS = 16, 8192, 256, 1 << 17
+BLOCK, PART, ROWS, PAIRS = 16, 16384, 256, 1 << 17
 
 
 @lru_cache(maxsize=8)

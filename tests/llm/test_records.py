@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import math
+import os
 import random
 import re
 
@@ -16,6 +17,9 @@ from gridloom.llm import chat, html, queries, vectors, warc
 from gridloom.llm.common import filesystem
 
 
+DATA = "/root/testdata/sf0.01"
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -260,6 +264,25 @@ def test_ratios_again_in_plain_code():
         assert [p in paths for p in sums] == passed or len(paths) == 1
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
+def test_query_against_articles(spark):
+    """Every page of the fixture has one article: its blocks by regular expressions alone, for the query's whole result."""
+    from html import unescape
+
+    def blocks(page):
+        inside = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+        inside = re.sub(r"<!--.*?-->", "", inside, flags=re.S)
+        parts = re.split(r"</?(?:p|h\d|ul|ol|li|div|table|tr|td|blockquote|pre|section)\b[^>]*>", inside)
+        parts = [re.sub(r"\s+", " ", unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", part)))).strip() for part in parts]
+        return "\n".join(part for part in parts if part)
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = queries.op8_html(spark, DATA).collect()
+    assert len(got) == len(pages) > 200
+    for r in got:
+        assert r["text"] == blocks(pages[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
 # --- large payloads, and the application's folder
 
 def test_large_payload_travels_in_chunks(spark):
@@ -274,8 +297,6 @@ def test_large_payload_travels_in_chunks(spark):
 
 
 def test_clean_removes_what_was_written(spark, tmp_path):
-    import os
-
     from gridloom.llm import common
 
     common.written(spark.range(3), "some")
