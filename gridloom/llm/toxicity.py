@@ -343,7 +343,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(label_id, text, toxic) of at most ``most`` teaching rows of each class."""
+    """(label_id, text, toxic) of at most ``most`` teaching rows of each class; rows that repeat a doc_id teach once, by their least text."""
     teach = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     teach = teach.where(F.crc32(F.col("label_id").cast("string").cast("binary")) % 3 != 1).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     some = None
@@ -351,7 +351,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
         part = teach.where(F.col("toxic") == kind).orderBy(F.xxhash64("label_id"), "label_id").limit(most)
         some = part if some is None else some.unionByName(part)
     # At most 2 * most rows of two numbers: a proven bound.
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("label_id", "text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("label_id"))
+    return found.groupBy("label_id", "toxic").agg(F.min("text").alias("text")).select("label_id", "text", "toxic")
 
 
 _MODEL = pa.schema([("bins", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("offset", pa.float64()), ("firsts", pa.list_(pa.string())), ("seconds", pa.list_(pa.string()))])

@@ -412,7 +412,8 @@ def test_toxicity_cases(spark, docs, empty):
     toxic = {i: int(rng.random() < 0.4) for i in range(100, 400)}
     known = spark.createDataFrame([(i, _talk(rng, t)) for i, t in toxic.items()], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()] + [(None, 0, 1), (100, 0, None)], "doc_id long, quality int, toxic int")
-    assert toxicity.labelled(known, labels).count() == sum(not toxicity.held_out(i) for i in toxic)
+    teaching = sum(not toxicity.held_out(i) for i in toxic)
+    assert toxicity.labelled(known, labels).count() == toxicity.labelled(known.unionByName(known), labels).count() == teaching
     model = toxicity.fit(known, labels)
     rows = toxicity.score(docs, model).collect()
     assert len(rows) == len(CASES) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
