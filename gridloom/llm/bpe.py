@@ -37,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_rows, filesystem, new_folder, text_of, written
+from gridloom.llm.common import batch_rows, filesystem, new_folder, released, text_of, written
 
 #: Bytes of a word from which it is encoded by the heap.
 LONG_WORD = 512
 #: Words of a block's documents, from which the block is closed; words put together at once; documents in an Arrow batch.
-BLOCK_WORDS, SLICE_WORDS, BATCH = 1 << 23, 1 << 18, 500
+BLOCK_WORDS, SLICE_WORDS, BATCH = 1 << 22, 1 << 18, 500
 #: In a fold, an element is a pair's rank, the piece's place in the word and the piece's id, in so many bits.
 ID_BITS, PLACE_BITS = 25, 13
 LATIN = "ISO-8859-1"
@@ -258,7 +258,6 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
             yield flush()
         if writer is not None:
             writer.close()
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -296,7 +295,6 @@ def _distinct(path: str):
             data = places[at : at + n].astype("<i4").tobytes()
             at += n
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([data])], schema=schema)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -361,26 +359,31 @@ def _assembled(folder: str):
                 packs.append((batch.column("lengths")[i].as_py(), batch.column("ids")[i].as_py()))
         if packs:
             yield from documents(block, packs)
-        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row of docs (doc_id, text)."""
+def _prepared(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, str]:
+    """The ids of the blocks' words, sorted by block, and the folder of the blocks."""
     spark = docs.sparkSession
     folder, n_buckets = new_folder(spark, "bpe-blocks"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = text_of()
     unknown = text.rlike(r"\p{Cn}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(unknown, text).alias("odd"), F.when(unknown, F.array().cast("array<string>")).otherwise(words_of(text, pattern)).alias("words"))
     with batch_rows(spark, BATCH):
-        lists = written(texts.mapInArrow(_blocks(folder, n_buckets, pattern), WORDS), "bpe-words")
-    pooled = lists.repartitionById(n_buckets, F.col("bucket")).mapInArrow(_distinct(path), POOLED)
+        lists = written(texts.mapInArrow(released(_blocks(folder, n_buckets, pattern)), WORDS), "bpe-words")
+    pooled = lists.repartitionById(n_buckets, F.col("bucket")).mapInArrow(released(_distinct(path)), POOLED)
     ranks = RankMap(spark, load_ranks(path))
     ids = F.coalesce("known", F.when(F.col("word").isNotNull(), ranks.fold(F.col("word"), F.col("maps"))))
     folded = pooled.withColumn("maps", ranks.row.scalar()).select("bucket", "block", ids.alias("ids"), "places")
-    packs = written(folded.mapInArrow(_packs, PACKS), "bpe-packs")
-    return packs.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(_assembled(folder), ENCODED)
+    packs = written(folded.mapInArrow(released(_packs), PACKS), "bpe-packs")
+    return packs.repartition("block").sortWithinPartitions("block", "bucket"), folder
+
+
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids) of every row of docs (doc_id, text)."""
+    packs, folder = _prepared(docs, path, pattern)
+    return packs.mapInArrow(released(_assembled(folder)), ENCODED)
 
 
 @lru_cache(maxsize=2)
@@ -431,8 +434,10 @@ def _digested(path: str):
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text), the text decoded from the ids."""
-    return encode(docs, path, pattern).mapInArrow(_digested(path), DIGESTS)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, text), the text decoded from the ids of encode()."""
+    packs, folder = _prepared(docs, path, pattern)
+    assembled, digested = _assembled(folder), _digested(path)
+    return packs.mapInArrow(released(lambda batches: digested(assembled(batches))), DIGESTS)
 
 
 def digests_of_text(texts: list[str | None], path: str, pattern: str) -> list[tuple[int, str, str]]:

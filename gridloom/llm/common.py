@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,6 +99,20 @@ def marked(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(F.getbit(octet, (F.col("spot") % 8).cast("int")) == 1, F.lit(False))).drop("piece", "spot", "bitmap")
 
 
+def released(run):
+    """A mapInArrow function that hands memory back when it ends: workers stay for later tasks of other operators."""
+
+    @wraps(run)
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return around
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int = 512, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of batches of at most so many rows and, but for a longer single one, bytes of a text column."""
     for batch in batches:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches_of, sliced, text_of, written
+from gridloom.llm.common import batches_of, released, sliced, text_of, written
 from gridloom.llm.components import components, forest
 
 WORDS, PERCENT = 5, 75
@@ -364,8 +364,8 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     known = rows.where("doc_id is not null")
 
-    dealt = known.mapInArrow(_deal_first(n_buckets, n_words, percent), DEALT_SQL).repartition(n_buckets, "bucket")
-    counted = written(dealt.mapInArrow(_count_shared, COUNTED_SQL), "jaccard-counts")
+    dealt = known.mapInArrow(released(_deal_first(n_buckets, n_words, percent)), DEALT_SQL).repartition(n_buckets, "bucket")
+    counted = written(dealt.mapInArrow(released(_count_shared), COUNTED_SQL), "jaccard-counts")
     listed = counted.where("kind = 0").select("key", "doc_id", "n")
     classes = listed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     shared = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("shared"))
@@ -375,13 +375,13 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     least_shared = F.greatest(F.lit(1), F.least(n, F.greatest(spare + 1, F.ceil(n * FIRST / 100))) - spare - 1)
     suspects = written(classes.join(shared, "key").where(F.col("shared") >= least_shared).select("key", "doc_id", "n"), "jaccard-suspects")
 
-    texts = written(known.join(suspects.hint("merge"), "doc_id").select("key", "n", "text").mapInArrow(_own_text(n_words), "key long, n long, text string"), "jaccard-texts")
-    second = texts.select("key", "text").mapInArrow(_deal_second(n_buckets, n_words, percent), DEALT_SQL).repartition(n_buckets, "bucket")
-    groups = components(second.mapInArrow(_meet(percent), "a long, b long"))
+    texts = written(known.join(suspects.hint("merge"), "doc_id").select("key", "n", "text").mapInArrow(released(_own_text(n_words)), "key long, n long, text string"), "jaccard-texts")
+    second = texts.select("key", "text").mapInArrow(released(_deal_second(n_buckets, n_words, percent)), DEALT_SQL).repartition(n_buckets, "bucket")
+    groups = components(second.mapInArrow(released(_meet(percent)), "a long, b long"))
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
     members = written(groups.unionByName(roots).join(suspects.select(F.col("key").alias("node"), "n"), "node").select(F.col("node").alias("key"), "n", "component"), "jaccard-groups")
     placed = tiles(members, percent).hint("merge").join(texts.select("key", "text"), "key").repartition("tile").sortWithinPartitions("tile")
-    links = components(placed.select("tile", "key", "text").mapInArrow(_link_tiles(n_words, percent), "a long, b long"))
+    links = components(placed.select("tile", "key", "text").mapInArrow(released(_link_tiles(n_words, percent)), "a long, b long"))
 
     # A component's id is the least document of its classes.
     whole = links.unionByName(links.select(F.col("component").alias("node"), "component").distinct())

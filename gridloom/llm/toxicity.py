@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_rows, sliced, text_of
+from gridloom.llm.common import batch_rows, released, sliced, text_of
 
 DECAY, SPAN = 0.7, 6
 BINS = 1 << 21
@@ -405,7 +405,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
     """The model of the labelled rows among docs, trained by one task on its bounded sample; None without both classes."""
     kinds = "bins binary, weights binary, bias double, slope double, offset double, firsts array<string>, seconds array<string>"
     with batch_rows(docs.sparkSession, 512):
-        rows = labelled(docs, labels, most).repartition(1).mapInArrow(_train, kinds).collect()
+        rows = labelled(docs, labels, most).repartition(1).mapInArrow(released(_train), kinds).collect()
     if not rows:
         return None
     (row,) = rows
@@ -416,7 +416,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text); no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(_score(model), SCORED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(released(_score(model)), SCORED)
 
 
 def clean(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -430,4 +430,4 @@ def clean(docs: DataFrame, model: Model | None) -> DataFrame:
             (found,) = scorer([some])
             yield batch.filter(pa.array(found.column("predicted").to_numpy() == 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
