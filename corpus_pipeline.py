@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from gridloom.llm.common import load, written
+from gridloom.llm.common import batch_rows, load, written
 from gridloom.llm.queries import BYTE_VOCABULARY
 
 
@@ -27,7 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without words score as no word at all and stay; equal texts are judged alike; rows with a null
     doc_id are judged and never teach; without labels of both classes every row stays.
     """
-    return toxicity.clean(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    with batch_rows(spark, 512):
+        return written(toxicity.clean(docs, model), "pipeline-clean")
 
 
 def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], first: Column) -> DataFrame:
