@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bitpack, bpe, chat, exact_dedup, html, jaccard, mixing, toxicity, vectors, warc
+from gridloom.llm import bitpack, bpe, chat, divergence, exact_dedup, html, jaccard, mixing, periodic, quality, toxicity, vectors, warc
 from gridloom.llm.common import load
 
 BYTE_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -70,6 +70,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of all documents."""
+    docs = load(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the run of the greatest exponent and two digests, of all documents with their planted periods."""
+    return periodic.digests(load(spark, sf_dir, "documents"), periodic.planted)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank over all documents."""
+    return divergence.audit(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_binary": op1_token_binary,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -81,5 +97,8 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_warc": op10_warc,
+    "op11_quality": op11_quality,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op2_ngram_jaccard": jaccard.ORACLE, "op3_mixing": mixing.oracle(), "op4_chat": chat.ORACLE, "op5_embedding_near_dup": vectors.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES = {"op2_ngram_jaccard": jaccard.ORACLE, "op3_mixing": mixing.oracle(), "op4_chat": chat.ORACLE, "op5_embedding_near_dup": vectors.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE, "op13_source_divergence": divergence.oracle()}
