@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.quantize import GROUP_SIZE, quantize
 from gridloom.operators.rewrite import PROJECTIONS, QUANT_EMBEDDING, QUANT_LINEAR, child_name
 
+#: Base rows of a tile, and values of one whose rows are wide.
+TILE_ROWS, TILE_VALUES = 512, 4_000_000
+BASE, SIDE_A, SIDE_B = 0, 1, 2
+
 
 def attach(modules: DataFrame, targets: Sequence[str] = PROJECTIONS) -> DataFrame:
     """The modules that adapters attach to: those whose last path part is a target."""
@@ -47,28 +54,98 @@ def init_adapters(modules: DataFrame, r: int, alpha: float, targets: Sequence[st
     )
 
 
-def merge(base: DataFrame, adapters: DataFrame, alpha: float, rank: int) -> DataFrame:
-    """(module_path, row_idx, values): base + alpha / rank * B A, summed over ranks and adapters.
+def with_scale(adapters: DataFrame, alpha: float | None = None, rank: int | None = None) -> DataFrame:
+    """(module_path, adapter_name, side, row_idx, values, scale): scale is alpha / r of the adapter's own columns.
 
-    A module's A rows (ranks of its adapters, a bounded number) become one row and meet B's rows of
-    ranks beside the base rows; the product is made within the row, so that no vector of a base
-    row's width is shuffled but the base row itself.
+    A given alpha or rank stands for all adapters, as it must where the column is absent. A row without
+    either, or with a rank under 1, is an error.
     """
-    a = adapters.where("side = 'A'").groupBy("module_path").agg(F.array_sort(F.collect_list(F.struct("adapter_name", F.col("row_idx").alias("r"), F.col("values").alias("a")))).alias("ranks"))
-    b = adapters.where("side = 'B'").groupBy("module_path", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("adapter_name", "values"))).alias("b"))
-    joined = base.select("module_path", "row_idx", "values").join(b, ["module_path", "row_idx"], "left").join(a, "module_path", "left")
-
-    def product(rank_row):
-        factor = F.get(F.try_element_at("b", rank_row["adapter_name"]), rank_row["r"].cast("int")).cast("double")
-        return F.transform(rank_row["a"], lambda x: x.cast("double") * factor)
-
-    # A fixed order of ranks gives the same sum in every run. Ranks that this row of B lacks add nothing.
-    there = F.filter("ranks", lambda x: F.get(F.try_element_at("b", x["adapter_name"]), x["r"].cast("int")).isNotNull())
-    parts = F.transform(there, product)
-    delta = F.aggregate(F.slice(parts, 2, 1 << 30), F.element_at(parts, 1), lambda s, x: F.zip_with(s, x, lambda u, v: u + v))
-    merged = F.zip_with("values", delta, lambda w, d: (w.cast("double") + d * F.lit(alpha / rank)).cast("float"))
-    plain = F.col("values").cast("array<float>")
-    return joined.select("module_path", "row_idx", F.when(F.coalesce(F.size(there), F.lit(0)) <= 0, plain).otherwise(merged).alias("values"))
+    own = {c.lower() for c in adapters.columns}
+    if (alpha is None and "alpha" not in own) or (rank is None and "r" not in own):
+        raise ValueError("adapters without columns r and alpha need a rank and an alpha")
+    top = (F.col("alpha") if alpha is None else F.lit(alpha)).cast("double")
+    r = (F.col("r") if rank is None else F.lit(rank)).cast("int")
+    scale = F.when(top.isNotNull() & (r >= 1), top / r).otherwise(F.raise_error(F.lit("an adapter has no alpha or no rank")))
+    return adapters.select("module_path", "adapter_name", "side", F.col("row_idx").cast("long").alias("row_idx"), F.col("values").cast("array<float>").alias("values"), scale.alias("scale"))
+
+
+def merge(base: DataFrame, adapters: DataFrame, alpha: float | None = None, rank: int | None = None) -> DataFrame:
+    """(module_path, row_idx, values): base + alpha / r * B A, summed over the adapters of a module, each with its own r and alpha.
+
+    Base rows and rows of B are dealt out by (module, tile of TILE_ROWS rows, fewer of wide rows), so one
+    large module is many tasks; a module's A, of as many rows as its ranks, goes to each of its tiles,
+    which adds at most ranks / TILE_ROWS to what is shuffled. A tile is one matrix product in double
+    precision, its ranks in the order of (adapter, rank).
+
+    Base rows without rows of B, and ranks that one side lacks, add nothing. Base rows that repeat a
+    row_idx are merged alike; a null base row stays null, as does a null element; an adapter's rows may
+    hold no nulls, and rows of A must be as wide as the base's.
+    """
+    return _merged(base, with_scale(adapters, alpha, rank))
+
+
+def _tile(width: Column) -> Column:
+    """The number of a row's tile among rows of that width."""
+    rows = F.least(F.lit(TILE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(TILE_VALUES) / F.greatest(width, F.lit(1)))))
+    return F.floor(F.col("row_idx") / rows).cast("long")
+
+
+def _merged(base: DataFrame, scaled: DataFrame) -> DataFrame:
+    a, b = scaled.where("side = 'A'"), scaled.where("side = 'B'")
+    # A row of A is as wide as the base's rows, so it tells the tiles of the rows of B.
+    widths = a.groupBy("module_path").agg(F.max(F.size("values")).alias("width"))
+    b = b.join(widths, "module_path").withColumn("tile", _tile(F.col("width"))).withColumn("kind", F.lit(SIDE_B))
+    a = a.join(b.select("module_path", "tile").distinct(), "module_path").withColumn("kind", F.lit(SIDE_A))
+    rows = base.select("module_path", F.col("row_idx").cast("long").alias("row_idx"), F.col("values").cast("array<float>").alias("values"))
+    rows = rows.withColumns({"tile": _tile(F.size("values")), "kind": F.lit(BASE), "adapter_name": F.lit(None).cast("string"), "scale": F.lit(0.0)})
+    names = ["module_path", "tile", "kind", "adapter_name", "row_idx", "values", "scale"]
+    parts = rows.select(*names).unionByName(b.select(*names)).unionByName(a.select(*names))
+    return parts.groupBy("module_path", "tile").applyInArrow(_product, "module_path string, row_idx long, values array<float>")
+
+
+def _matrix(table: pa.Table, width: int | None = None) -> np.ndarray:
+    column = table.column("values").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    widths = set(column.value_lengths().to_pylist()) if len(column) else {width or 0}
+    flat = column.flatten()
+    if len(widths) > 1 or None in widths or flat.null_count or (width is not None and widths != {width}):
+        raise ValueError(f"an adapter's rows must be without nulls and of one width, here {sorted(map(str, widths))}, wanted {width}")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _product(key: tuple, table: pa.Table) -> pa.Table:
+    """One tile: its base rows, its rows of B, and its module's rows of A."""
+    table = table.combine_chunks()
+    of = lambda kind: table.filter(pc.equal(table["kind"], kind))
+    base = of(BASE).sort_by("row_idx").combine_chunks()
+    ids, values = base.column("row_idx").to_numpy(), base.column("values").combine_chunks()
+    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
+    a, b = of(SIDE_A), of(SIDE_B)
+    if a.num_rows and b.num_rows and len(ids):
+        lengths = values.value_lengths()
+        width = next((n for n in lengths.to_pylist() if n is not None), None)
+        if any(n not in (None, width) for n in lengths.to_pylist()):
+            raise ValueError("a module's base rows differ in width")
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        flat = values.flatten()
+        out = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width or 0)
+        delta = np.zeros((len(ids), width or 0))
+        for name in sorted(set(a["adapter_name"].to_pylist()) & set(b["adapter_name"].to_pylist())):
+            left, right = b.filter(pc.equal(b["adapter_name"], name)), a.filter(pc.equal(a["adapter_name"], name)).sort_by("row_idx")
+            # The factors of this tile's rows by rank; what B does not have is zero.
+            factors, ranks = _matrix(left) * left["scale"].to_numpy()[:, None], right["row_idx"].to_numpy()
+            ranks_here = ranks < factors.shape[1]
+            rows = np.zeros((len(ids), np.count_nonzero(ranks_here)))
+            by = {int(i): k for k, i in enumerate(left["row_idx"].to_numpy())}
+            if len(by) < left.num_rows:
+                raise ValueError(f"adapter {name} has rows of B of the same row_idx")
+            at = np.array([by.get(int(i), -1) for i in ids])
+            rows[at >= 0] = factors[at[at >= 0]][:, ranks[ranks_here]]
+            delta += rows @ _matrix(right, width)[ranks_here]
+        merged = (out + delta[there]).astype(np.float32).ravel()
+        offsets = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(merged, mask=flat.is_null().to_numpy(zero_copy_only=False)), mask=values.is_null())
+    return pa.table([pa.array([key[0].as_py()] * len(ids), pa.string()), pa.array(ids), values], names=["module_path", "row_idx", "values"])
 
 
 def requantize(weights: DataFrame, modules: DataFrame) -> DataFrame:
@@ -87,8 +164,8 @@ def requantize(weights: DataFrame, modules: DataFrame) -> DataFrame:
     return rows.select("module_path", "row_idx", (snapped if known else F.col("values")).alias("values"))
 
 
-def save_pipeline(base: DataFrame, adapters: DataFrame, modules: DataFrame, alpha: float, rank: int, k: int = GROUP_SIZE, path: str | None = None) -> DataFrame:
-    """Quantize the adapters, merge them, snap the result; written to path as Parquet if one is given."""
+def save_pipeline(base: DataFrame, adapters: DataFrame, modules: DataFrame, alpha: float | None = None, rank: int | None = None, k: int = GROUP_SIZE, path: str | None = None) -> DataFrame:
+    """Quantize the adapters, merge them by their own scale or the given one, snap the result; written to path as Parquet if one is given."""
     out = requantize(merge(base, quantize_adapters(adapters, k), alpha, rank), modules)
     if path:
         out.write.parquet(path)

@@ -158,6 +158,37 @@ def save_pipeline(spark, sf_dir):
     return rows.select("module", "row", F.col("pos").cast("long").alias("pos"), F.round(F.col("q").cast("double"), 5).alias("q"))
 
 
+#: A second adapter of the same modules: its rank and alpha.
+SECOND = 4, 3.0
+
+
+def _two_adapters(spark, sf_dir) -> DataFrame:
+    """The adapters of _adapters(), and a second one of another rank: A holds the modules' vectors of least ids, B places 5 to 8 of each vector."""
+    first = _adapters(spark, sf_dir).withColumns({"r": F.lit(RANK), "alpha": F.lit(ALPHA)})
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("module_path"), "vec_id", "embedding")
+    least = e.groupBy("module_path").agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, SECOND[0]).alias("ids")).select("module_path", F.posexplode("ids").alias("row_idx", "vec_id"))
+    a = least.join(e, ["module_path", "vec_id"]).select("module_path", F.lit("A").alias("side"), F.col("row_idx").cast("long").alias("row_idx"), F.col("embedding").alias("values"))
+    b = e.select("module_path", F.lit("B").alias("side"), F.col("vec_id").alias("row_idx"), F.slice("embedding", 5, SECOND[0]).alias("values"))
+    second = a.unionByName(b).withColumns({"adapter_name": F.lit("second"), "r": F.lit(SECOND[0]), "alpha": F.lit(SECOND[1])})
+    return first.unionByName(second)
+
+
+def adapter_merge_ranks(spark, sf_dir):
+    """Two adapters of each module merged, each by its own rank and alpha."""
+    rows = adapters.merge(_base(spark, sf_dir), adapters.quantize_adapters(_two_adapters(spark, sf_dir), ADAPTER_K))
+    rows = rows.select(F.col("module_path").alias("module"), F.col("row_idx").alias("row"), F.posexplode("values").alias("pos", "w"))
+    return rows.select("module", "row", F.col("pos").cast("long").alias("pos"), F.round(F.col("w").cast("double"), 5).alias("w"))
+
+
+def save_pipeline_ranks(spark, sf_dir):
+    """Two adapters of each module quantized and merged by their own scales, the result snapped and written."""
+    labels = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("path")).distinct()
+    modules = labels.select("path", F.lit(rewrite.QUANT_LINEAR).alias("kind"), F.lit(ADAPTER_K).alias("group_size"))
+    out = adapters.save_pipeline(_base(spark, sf_dir), _two_adapters(spark, sf_dir), modules, k=ADAPTER_K, path=new_folder(spark, "saved"))
+    rows = out.select(F.col("module_path").alias("module"), F.col("row_idx").alias("row"), F.posexplode("values").alias("pos", "q"))
+    return rows.select("module", "row", F.col("pos").cast("long").alias("pos"), F.round(F.col("q").cast("double"), 4).alias("q"))
+
+
 def _chats(spark, sf_dir) -> DataFrame:
     """conversations under source role names: the fixture has the roles that they become."""
     source = F.col("role")
@@ -250,6 +281,7 @@ QUERIES = {
     "linear_forward": linear_forward, "linear_forward_join": lambda spark, sf_dir: linear_forward(spark, sf_dir, most=0), "embedding_gather": embedding_gather,
     "swap_plan": swap_plan, "param_counts": param_counts, "requant_count": requant_count, "adapter_targets": adapter_targets,
     "adapter_quant": adapter_quant, "adapter_touch_count": adapter_touch_count, "adapter_merge": adapter_merge, "save_pipeline": save_pipeline,
+    "adapter_merge_ranks": adapter_merge_ranks, "save_pipeline_ranks": save_pipeline_ranks,
     "chat_role_map": chat_role_map, "chat_render": chat_render, "chat_labels": chat_labels, "chat_first_300": chat_first_300,
     "parameter_round_trip": parameter_round_trip, "construct_modules": construct_modules, "describe_modules": describe_modules, "adapter_rows": adapter_rows,
     "quant_default": quant_default, "linear_forward_default": linear_forward_default, "chat_first_30": chat_first_30, "chat_labels_64": chat_labels_64,
@@ -360,3 +392,16 @@ UNION ALL SELECT path, 'B', r, {ADAPTER_R}, 8.0, pos, 0.0 FROM b""",
 x AS (SELECT vec_id AS x_id, (generate_subscripts(v, 1) - 1)::BIGINT AS pos, unnest(v)::FLOAT AS v FROM ({_WIDE_SQL}))
 SELECT x.x_id, c.vec_id AS out_id, round(sum(x.v::DOUBLE * (c.code * c.alpha)::FLOAT::DOUBLE), 5) + 0.0 AS y FROM x JOIN coded c USING (pos) GROUP BY 1, 2""",
 }
+_RANKS_SQL = f"""{_ADAPTER_SQL},
+l AS (SELECT label::VARCHAR AS module, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings QUALIFY r < {SECOND[0]}),
+a2 AS (SELECT l.module, l.r, e.pos, e.v, greatest(max(abs(e.v)) OVER (PARTITION BY l.module, l.r, e.pos // {ADAPTER_K}), 1e-8::FLOAT) AS alpha FROM l JOIN e USING (module, vec_id)),
+p AS (SELECT module, r, pos, q, {ALPHA / RANK}::DOUBLE AS scale, 'x' AS name FROM aq
+  UNION ALL SELECT module, r, pos, (round_even(v::DOUBLE / alpha::DOUBLE, 0) * alpha + 0.0)::FLOAT, {SECOND[1] / SECOND[0]}, 'y' FROM a2),
+f AS (SELECT module, vec_id, r, v, 'x' AS name FROM b UNION ALL SELECT module, vec_id, pos - 4, v, 'y' FROM e WHERE pos BETWEEN 4 AND {3 + SECOND[0]}),
+d AS (SELECT f.module, f.vec_id, p.pos, sum(f.v::DOUBLE * p.scale * p.q::DOUBLE) AS delta FROM f JOIN p USING (module, r, name) GROUP BY ALL),
+m AS (SELECT e.module, e.vec_id, e.pos, (e.v::DOUBLE + d.delta)::FLOAT AS w FROM e JOIN d USING (module, vec_id, pos))"""
+ORACLES |= {
+    "adapter_merge_ranks": f"WITH {_RANKS_SQL} SELECT module, vec_id AS row, pos, round(w::DOUBLE, 5) AS w FROM m",
+    "save_pipeline_ranks": f"""WITH {_RANKS_SQL}, z AS (SELECT *, greatest(max(abs(w)) OVER (PARTITION BY module, vec_id, pos // {ADAPTER_K}), 1e-8::FLOAT) AS alpha FROM m)
+SELECT module, vec_id AS row, pos, round((round_even(w::DOUBLE / alpha::DOUBLE, 0) * alpha)::FLOAT::DOUBLE, 4) + 0.0 AS q FROM z""",
+}

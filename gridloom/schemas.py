@@ -26,6 +26,9 @@ ADAPTERS = T.StructType([
     T.StructField("values", VECTOR, False),
 ])
 
+#: Adapters that carry their own rank and alpha, as init_adapters makes them.
+SCALED_ADAPTERS = T.StructType([*ADAPTERS.fields, T.StructField("r", T.IntegerType(), False), T.StructField("alpha", T.DoubleType(), False)])
+
 CHAT = T.StructType([
     T.StructField("conv_id", T.LongType(), False),
     T.StructField("conversations", T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("value", T.StringType())])), False),

@@ -228,6 +228,39 @@ def test_merge_and_requantize(spark):
     assert out[("m", 0)] == pytest.approx([0.0, 10.2]) and out[("other", 0)] == [5.0, 1.0]
 
 
+def test_merge_by_each_adapters_scale(spark, monkeypatch):
+    """Modules of several tiles, adapters of ranks 2 and 4 with their own alpha, against numpy."""
+    monkeypatch.setattr(adapters, "TILE_ROWS", 7)
+    rng = np.random.default_rng(5)
+    base, lora, want = [], [], {}
+    for module, n_out, n_in in (("m", 40, 6), ("n", 9, 3)):
+        w = rng.normal(size=(n_out, n_in)).astype(np.float32)
+        total = w.astype(np.float64)
+        for name, r, alpha in (("x", 2, 8.0), ("y", 4, 1.0)):
+            a, b = rng.normal(size=(r, n_in)).astype(np.float32), rng.normal(size=(n_out, r)).astype(np.float32)
+            total = total + alpha / r * b.astype(np.float64) @ a.astype(np.float64)
+            lora += [(module, name, "A", i, v.tolist(), r, alpha) for i, v in enumerate(a)] + [(module, name, "B", i, v.tolist(), r, alpha) for i, v in enumerate(b)]
+        base += [(module, i, v.tolist()) for i, v in enumerate(w)]
+        want |= {(module, i): v for i, v in enumerate(total)}
+    base += [("m", 41, None), ("m", 3, base[3][2]), (None, 0, [1.0]), ("o", 0, [None, 2.0])]
+    rows = spark.createDataFrame(base, "module_path string, row_idx long, values array<float>")
+    scaled = spark.createDataFrame(lora, queries.schemas.SCALED_ADAPTERS)
+    merged = adapters.merge(rows, scaled)
+    got = [tuple(r) for r in merged.collect()]
+    assert len(got) == len(base) and ("m", 41, None) in got and (None, 0, [1.0]) in got and ("o", 0, [None, 2.0]) in got
+    for module, i, values in got:
+        if (module, i) in want:
+            assert values == pytest.approx(want[module, i], rel=1e-5, abs=1e-5)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "transform(" not in plan
+    with pytest.raises(ValueError):
+        adapters.merge(rows, scaled.drop("alpha"))
+    with pytest.raises(Exception, match="no rank"):
+        adapters.merge(rows, scaled.withColumn("r", F.lit(0))).collect()
+    with pytest.raises(Exception, match="without nulls and of one width"):
+        adapters.merge(rows, scaled.withColumn("values", F.when(F.col("side") == "A", F.slice("values", 1, 2)).otherwise(F.col("values")))).collect()
+
+
 def test_chat_examples(spark):
     rows = [(1, [("human", "a b"), ("gpt", "c")]), (2, [("system", "s"), ("gpt", "x"), ("human", "y z")])]
     df = spark.createDataFrame(rows, queries.schemas.CHAT)
