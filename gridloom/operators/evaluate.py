@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.quantize import GROUP_SIZE, quantize, quantize_block
 
 #: Weights of at most so many values are sent to every task; larger ones are cut into tiles and joined.
 BROADCAST_VALUES = 4_000_000
-#: Vectors, outputs and inputs of a tile.
-TILE_ROWS, TILE_OUT, TILE_IN = 512, 512, 4096
+#: Inputs of a place, weights of a cell, the fewest vectors and outputs for which a part is made, and results made at once.
+TILE_IN, CELL_VALUES, TILE_ROWS, TILE_OUT, RESULTS = 4096, 4_000_000, 64, 64, 1 << 20
 PRODUCTS = "x_id long, out_id long, y double"
 
 
@@ -23,8 +23,8 @@ def linear_forward(x: DataFrame, weights: DataFrame, k: int = GROUP_SIZE, bias:
     """(x_id, out_id, y): y = x . q(w) + bias for x (x_id, values), weights (out_id, values), bias (out_id, bias).
 
     The weights' size is counted first. Up to ``most`` values they go to every task, which multiplies
-    a batch at once; beyond that both sides are cut into tiles, tiles of the same inputs are joined and
-    multiplied, and the partial products of a tile of results are summed.
+    a batch at once; beyond that both sides are dealt out over a grid of cells, each of which multiplies
+    its vectors by its weights (see _by_grid).
 
     A vector that is null or holds a null has null results; weights may hold neither; vectors and
     weights whose widths differ raise an error; rows that repeat an x_id have results of their own.
@@ -46,7 +46,7 @@ def linear_forward(x: DataFrame, weights: DataFrame, k: int = GROUP_SIZE, bias:
     x = x.select(F.col("x_id").cast("long").alias("x_id"), F.col("values").cast("array<double>").alias("values"))
     if size["n"] <= most:
         return _by_batch(x, w, k)
-    return _by_tiles(x, w, k, width, size["rows"])
+    return _by_grid(x, w, k, width, size["rows"])
 
 
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,61 +85,92 @@ def _by_batch(x: DataFrame, w: DataFrame, k: int) -> DataFrame:
     return x.where("x_id is not null").mapInArrow(run, PRODUCTS)
 
 
-TILES = "part int, place int, ids binary, usable binary, data binary"
-_TILES = pa.schema([("part", pa.int32()), ("place", pa.int32()), ("ids", pa.binary()), ("usable", pa.binary()), ("data", pa.binary())])
+@dataclass(frozen=True)
+class Grid:
+    """How a product is cut: parts of vectors, parts of outputs, places of inputs and inputs of a place."""
 
+    vectors: int
+    outs: int
+    places: int
+    inputs: int
 
-def _cut(part: int, ids: np.ndarray, usable: np.ndarray, values: np.ndarray) -> pa.Table:
-    """A part's rows, cut at every TILE_IN inputs."""
-    width = values.shape[1]
-    cuts = [values[:, k : k + TILE_IN].astype(np.float64) for k in range(0, width, TILE_IN)]
-    n = len(cuts)
-    return pa.table([pa.array([part] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([ids.tobytes()] * n), pa.array([usable.tobytes()] * n), pa.array([c.tobytes() for c in cuts])], schema=_TILES)
+    @property
+    def cells(self) -> int:
+        return self.vectors * self.outs * self.places
 
 
-def _by_tiles(x: DataFrame, w: DataFrame, k: int, width: int, n_out: int) -> DataFrame:
-    def of_vectors(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        values, usable = _matrix(table.column("values").combine_chunks(), width)
-        ids = table.column("x_id").to_numpy()
-        # The same order whenever the part is made again.
-        order = np.lexsort((*values.T[::-1], usable, ids))
-        return _cut(key[0].as_py(), ids[order], usable[order], values[order])
+def grid_of(n_vectors: int, n_out: int, width: int, k: int, tasks: int) -> Grid:
+    """The cut of n_vectors by n_out by width.
 
-    def of_weights(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("out_id")
-        values, _ = _matrix(table.column("values").combine_chunks(), width)
-        return _cut(key[0].as_py(), table.column("out_id").to_numpy(), table.column("bias").to_numpy(), quantize_block(values, k))
+    Outputs and inputs are cut so that a cell's weights are at most CELL_VALUES (a group of k inputs
+    stays whole); vectors are cut until there are enough cells for all tasks, but not under TILE_ROWS a
+    cell. Each vector is then shuffled once for each part of outputs, each weight once for each part of
+    vectors, so more parts than that would only be more copies.
+    """
+    inputs = min(width, max(k, TILE_IN // k * k))
+    places = -(-width // inputs)
+    outs = max(1, -(-n_out // max(TILE_OUT, CELL_VALUES // inputs)))
+    vectors = max(1, min(-(-n_vectors // TILE_ROWS), -(-tasks // (outs * places))))
+    return Grid(vectors, outs, places, inputs)
 
-    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("part", "out_part", "place", "ids", "usable", "out_ids", "bias")}
-                ids, outs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["out_ids"], np.int64)
-                a = np.frombuffer(batch.column("data")[i].as_py()).reshape(len(ids), -1)
-                b = np.frombuffer(batch.column("matrix")[i].as_py()).reshape(len(outs), -1)
-                row["data"] = (a @ b.T).tobytes()
-                yield pa.RecordBatch.from_pylist([row], schema=_PARTIAL)
-
-    def summed(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        ids, usable, outs, bias = (np.frombuffer(table.column(c)[0].as_py(), t) for c, t in (("ids", np.int64), ("usable", bool), ("out_ids", np.int64), ("bias", np.float64)))
-        y = np.zeros((len(ids), len(outs)))
-        for piece in table.column("data"):
-            y += np.frombuffer(piece.as_py()).reshape(y.shape)
-        return pa.Table.from_batches([_results(ids, outs, y + bias, usable)])
 
-    x = x.where("x_id is not null")
-    n_parts = max(1, math.ceil(x.count() / TILE_ROWS))
-    left = x.withColumn("part", F.pmod(F.xxhash64("x_id"), F.lit(n_parts)).cast("int")).groupBy("part").applyInArrow(of_vectors, TILES)
-    n_outs = max(1, math.ceil(n_out / TILE_OUT))
-    right = w.withColumn("part", F.pmod(F.xxhash64("out_id"), F.lit(n_outs)).cast("int")).groupBy("part").applyInArrow(of_weights, TILES)
-    right = right.select(F.col("part").alias("out_part"), "place", F.col("ids").alias("out_ids"), F.col("usable").alias("bias"), F.col("data").alias("matrix"))
-    return left.join(right, "place").mapInArrow(multiplied, PARTIAL).groupBy("part", "out_part").applyInArrow(summed, PRODUCTS)
+def _by_grid(x: DataFrame, w: DataFrame, k: int, width: int, n_out: int) -> DataFrame:
+    """The product over a grid of cells (part of vectors, part of outputs, place of inputs).
 
+    A cell is one task: it takes its weights first, at most CELL_VALUES, and then its vectors a batch at a
+    time, so a cell may have any number of vectors. With more than one place the partial sums of a result
+    are added in the order of places.
+    """
+    x = x.where("x_id is not null")
+    session = x.sparkSession
+    grid = grid_of(x.count(), n_out, width, k, max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    size = F.size("values")
+    wrong = F.raise_error(F.concat(F.lit("a vector has width "), size.cast("string"), F.lit(f", the weights have {width}")))
+    x = x.withColumn("values", F.when(F.col("values").isNull() | (size == width), F.col("values")).otherwise(wrong))
+    usable = F.col("values").isNotNull() & ~F.exists("values", lambda v: v.isNull())
+    # A row that repeats an x_id has results of its own; only where partial sums meet must it be told apart.
+    copy = F.row_number().over(Window.partitionBy("x_id").orderBy("values")) if grid.places > 1 else F.lit(0)
+    x = x.select(F.col("x_id").alias("id"), copy.cast("int").alias("copy"), F.coalesce(usable, F.lit(False)).alias("usable"), "values")
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cut = F.slice("values", F.col("place") * grid.inputs + 1, grid.inputs)
+    cell = ((F.col("vectors") * grid.outs + F.col("outs")) * grid.places + F.col("place")).cast("int").alias("cell")
+    left = x.withColumn("vectors", part("id", grid.vectors)).withColumn("outs", every(grid.outs)).withColumn("place", every(grid.places))
+    left = left.select(cell, F.lit(True).alias("is_vector"), "id", "copy", "usable", F.lit(0.0).alias("bias"), F.when(F.col("usable"), cut).alias("values"))
+    right = w.withColumn("outs", part("out_id", grid.outs)).withColumn("vectors", every(grid.vectors)).withColumn("place", every(grid.places))
+    first = F.when(F.col("place") == 0, F.col("bias")).otherwise(0.0)
+    # A cell's weights come before its vectors.
+    right = right.select(cell, F.lit(False).alias("is_vector"), F.col("out_id").alias("id"), F.lit(0).alias("copy"), F.lit(True).alias("usable"), first.alias("bias"), cut.cast("array<double>").alias("values"))
 
-PARTIAL = "part int, out_part int, place int, ids binary, usable binary, out_ids binary, bias binary, data binary"
-_PARTIAL = pa.schema([("part", pa.int32()), ("out_part", pa.int32()), ("place", pa.int32()), *((c, pa.binary()) for c in ("ids", "usable", "out_ids", "bias", "data"))])
+    def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        outs, bias, weights, matrix = [], [], [], None
+        for batch in batches:
+            vectors = batch.column("is_vector").to_numpy(zero_copy_only=False)
+            n = int(np.argmax(vectors)) if vectors.any() else len(vectors)
+            if n:
+                some = batch.slice(0, n)
+                outs.append(some.column("id").to_numpy())
+                bias.append(some.column("bias").to_numpy())
+                weights.append(quantize_block(some.column("values").flatten().to_numpy(zero_copy_only=False).reshape(n, -1), k))
+            rest = batch.slice(n)
+            if rest.num_rows and outs:
+                if matrix is None:
+                    outs, bias, matrix = np.concatenate(outs), np.concatenate(bias), np.concatenate(weights).astype(np.float64).T
+                place = int(rest.column("cell")[0].as_py()) % grid.places
+                for s in range(0, rest.num_rows, step := max(1, RESULTS // len(outs))):
+                    part = rest.slice(s, step)
+                    values, fits = _matrix(part.column("values"), len(matrix))
+                    copies = np.repeat(part.column("copy").to_numpy(), len(outs))
+                    found = _results(part.column("id").to_numpy(), outs, values @ matrix + bias, fits)
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(copies), pa.array(np.full(len(copies), place, np.int32))], names=["x_id", "out_id", "y", "copy", "place"])
+
+    dealt = left.unionByName(right).repartitionById(grid.cells, F.col("cell")).sortWithinPartitions("is_vector", "id")
+    found = dealt.mapInArrow(multiplied, PRODUCTS + ", copy int, place int")
+    if grid.places == 1:
+        return found.select("x_id", "out_id", "y")
+    sums = found.groupBy("x_id", "out_id", "copy").agg(F.array_sort(F.collect_list(F.struct("place", "y"))).alias("parts"), F.count("y").alias("n"))
+    total = F.aggregate("parts", F.lit(0.0), lambda total, p: total + p["y"])
+    return sums.select("x_id", "out_id", F.when(F.col("n") == grid.places, total).alias("y"))
 
 
 def embedding_lookup(tokens: DataFrame, table: DataFrame, k: int = GROUP_SIZE) -> DataFrame:

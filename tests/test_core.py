@@ -154,6 +154,33 @@ def test_tiles_sum_over_inputs(spark, monkeypatch):
     assert len(got) == 170 and all(abs(got[i, j] - want[i, j]) < 1e-9 for i, j in got)
 
 
+def test_grid_splits_one_place(spark, monkeypatch):
+    """Weights of one place over the broadcast limit are more than four tasks, and vectors meet each part of outputs once."""
+    for name, size in (("CELL_VALUES", 64), ("TILE_OUT", 1), ("TILE_ROWS", 5), ("RESULTS", 7)):
+        monkeypatch.setattr(evaluate, name, size)
+    rng = np.random.default_rng(6)
+    x, w = rng.standard_normal((30, 8)).astype(np.float32), rng.standard_normal((21, 8)).astype(np.float32)
+    dx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "x_id long, values array<float>")
+    dw = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "out_id long, values array<float>")
+    y = evaluate.linear_forward(dx, dw, 4, None, 0)
+    plan = y._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    want = x.astype(float) @ q.quantize_block(w, 4).astype(float).T
+    got = {(r[0], r[1]): r[2] for r in y.collect()}
+    assert len(got) == 630 and all(abs(got[i, j] - want[i, j]) < 1e-9 for i, j in got)
+    assert evaluate.grid_of(30, 21, 8, 4, 8) == evaluate.Grid(3, 3, 1, 8)
+    assert y.groupBy(F.spark_partition_id()).count().count() >= 4
+
+
+def test_grid_sizes():
+    for n_vectors, n_out, width, k, tasks in [(10**9, 4096, 4096, 128, 2000), (10**9, 50_000, 4096, 128, 5000), (5, 10**6, 64, 64, 100), (10**6, 100, 10**6, 64, 1000), (1, 1, 128, 128, 8)]:
+        g = evaluate.grid_of(n_vectors, n_out, width, k, tasks)
+        assert g.inputs % k == 0 and g.places * g.inputs >= width > (g.places - 1) * g.inputs
+        assert -(-n_out // g.outs) * g.inputs <= max(evaluate.CELL_VALUES, evaluate.TILE_OUT * g.inputs)
+        assert g.cells >= min(tasks, -(-n_vectors // evaluate.TILE_ROWS))
+        assert g.vectors == 1 or (g.vectors - 1) * g.outs * g.places < tasks
+
+
 def test_lookup(spark):
     table = spark.createDataFrame([(0, [1.0, 0.2]), (1, [-3.0, 2.0])], "token_id long, values array<float>")
     tokens = spark.createDataFrame([(7, 0, 1), (7, 1, 0), (7, 2, 1)], "seq_id long, pos int, token_id long")
