@@ -10,6 +10,7 @@ from gridloom.functions import quantize as q
 from gridloom.operators import adapters, evaluate, rewrite
 from gridloom.sources import chat
 from gridloom.sources.tables import new_folder, parameter_rows, read_parameters, table, write_parameters
+from gridloom.sources.weights import read_weights, write_weights
 
 WIDTH = 64
 
@@ -230,6 +231,15 @@ def parameter_round_trip(spark, sf_dir):
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
+def weight_file_round_trip(spark, sf_dir):
+    """The same values through weight files: written by range of (param_id, row_idx), read back by byte range."""
+    path = new_folder(spark, "weights")
+    embed = parameter_rows(_vectors(spark, sf_dir), "p_embed", "vec_id", "values")
+    write_weights(embed.unionByName(parameter_rows(_weights(spark, sf_dir), "p_q0", "out_id", "values")), path)
+    rows = read_weights(spark, path).select("param_id", "row_idx", F.posexplode("values").alias("pos", "w"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
+
+
 def construct_modules(spark, sf_dir, k=64):
     """What the quantized modules hold and give: the shared table, its head and a projection, quantized."""
     rows = rewrite.construct(rewrite.swap(registry(spark), q.QuantConfig(k)), _parameters(spark, sf_dir))
@@ -283,7 +293,7 @@ QUERIES = {
     "adapter_quant": adapter_quant, "adapter_touch_count": adapter_touch_count, "adapter_merge": adapter_merge, "save_pipeline": save_pipeline,
     "adapter_merge_ranks": adapter_merge_ranks, "save_pipeline_ranks": save_pipeline_ranks,
     "chat_role_map": chat_role_map, "chat_render": chat_render, "chat_labels": chat_labels, "chat_first_300": chat_first_300,
-    "parameter_round_trip": parameter_round_trip, "construct_modules": construct_modules, "describe_modules": describe_modules, "adapter_rows": adapter_rows,
+    "parameter_round_trip": parameter_round_trip, "weight_file_round_trip": weight_file_round_trip, "construct_modules": construct_modules, "describe_modules": describe_modules, "adapter_rows": adapter_rows,
     "quant_default": quant_default, "linear_forward_default": linear_forward_default, "chat_first_30": chat_first_30, "chat_labels_64": chat_labels_64,
 }
 
@@ -378,6 +388,7 @@ _SHAPES_SQL = "s AS (SELECT param_id, max(pos)::INTEGER + 1 AS n_in, count(DISTI
 _WIDE_SQL = "SELECT vec_id, list_concat(embedding, list_reverse(embedding)) AS v FROM embeddings"
 ORACLES |= {
     "parameter_round_trip": f"WITH {_PARAMETERS_SQL} SELECT * FROM p",
+    "weight_file_round_trip": f"WITH {_PARAMETERS_SQL} SELECT * FROM p",
     "construct_modules": f"""WITH {_PARAMETERS_SQL}, {_OWNERS_SQL}, {_SHAPES_SQL},
 z AS (SELECT *, greatest(max(abs(w)) OVER (PARTITION BY param_id, row_idx, pos // 64), 1e-8::FLOAT) AS alpha FROM p)
 SELECT o.path, o.kind, s.n_in, s.n_out, z.row_idx, z.pos, (round_even(w::DOUBLE / alpha::DOUBLE, 0) * alpha + 0.0)::FLOAT AS q FROM o JOIN s ON s.param_id = o.owner JOIN z ON z.param_id = o.owner""",
