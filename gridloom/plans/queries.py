@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import schemas
@@ -10,6 +10,7 @@ from gridloom.functions import quantize as q
 from gridloom.operators import adapters, evaluate, rewrite
 from gridloom.sources import chat
 from gridloom.sources.tables import new_folder, parameter_rows, read_parameters, table, write_parameters
+from gridloom.sources.tokenize import WORDS
 from gridloom.sources.weights import read_weights, write_weights
 
 WIDTH = 64
@@ -190,12 +191,16 @@ def save_pipeline_ranks(spark, sf_dir):
     return rows.select("module", "row", F.col("pos").cast("long").alias("pos"), F.round(F.col("q").cast("double"), 4).alias("q"))
 
 
-def _chats(spark, sf_dir) -> DataFrame:
+def _turns(spark, sf_dir) -> DataFrame:
     """conversations under source role names: the fixture has the roles that they become."""
     source = F.col("role")
     for name, role in chat.ROLES.items():
         source = F.when(F.col("role") == role, F.lit(name)).otherwise(source)
-    return chat.from_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", source.alias("from"), F.col("text").alias("value")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", source.alias("from"), F.col("text").alias("value"))
+
+
+def _chats(spark, sf_dir) -> DataFrame:
+    return chat.from_turns(_turns(spark, sf_dir))
 
 
 def chat_role_map(spark, sf_dir):
@@ -213,8 +218,26 @@ def chat_labels(spark, sf_dir):
     return rows.select("conv_id", F.col("pos").cast("long").alias("pos"), F.col("v.input_ids").alias("input_id"), F.col("v.labels").alias("label"))
 
 
-def chat_first_300(spark, sf_dir):
-    return chat.first(_chats(spark, sf_dir)).select("conv_id", F.size("conversations").cast("long").alias("n_msgs"))
+def chat_labels_arrow(spark, sf_dir):
+    """The same examples by a tokenizer in Arrow batches."""
+    rows = chat.prepare_arrow(_chats(spark, sf_dir), WORDS).select("conv_id", F.posexplode(F.arrays_zip("input_ids", "labels")).alias("pos", "v"))
+    return rows.select("conv_id", F.col("pos").cast("long").alias("pos"), F.col("v.input_ids").alias("input_id"), F.col("v.labels").alias("label"))
+
+
+def chat_metrics(spark, sf_dir, longest=64):
+    """What preparing the examples counted by the way."""
+    seen = Observation("chat")
+    chat.watched(chat.prepare(_chats(spark, sf_dir), longest=longest), seen, longest).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[m] for m in chat.METRICS)], ", ".join(f"{m} long" for m in chat.METRICS))
+
+
+def chat_batches(spark, sf_dir, budget=chat.BUDGET):
+    """Every example's batch, and how many tokens of the batch have loss."""
+    return chat.batches(chat.prepare(_chats(spark, sf_dir)), budget)
+
+
+def chat_first_300(spark, sf_dir, n=300):
+    return chat.from_turns(chat.first_turns(_turns(spark, sf_dir), n)).select("conv_id", F.size("conversations").cast("long").alias("n_msgs"))
 
 
 def _parameters(spark, sf_dir) -> DataFrame:
@@ -277,7 +300,7 @@ def linear_forward_default(spark, sf_dir):
 
 
 def chat_first_30(spark, sf_dir):
-    return chat.first(_chats(spark, sf_dir), 30).select("conv_id", F.size("conversations").cast("long").alias("n_msgs"))
+    return chat_first_300(spark, sf_dir, 30)
 
 
 def chat_labels_64(spark, sf_dir, longest=64):
@@ -292,7 +315,7 @@ QUERIES = {
     "swap_plan": swap_plan, "param_counts": param_counts, "requant_count": requant_count, "adapter_targets": adapter_targets,
     "adapter_quant": adapter_quant, "adapter_touch_count": adapter_touch_count, "adapter_merge": adapter_merge, "save_pipeline": save_pipeline,
     "adapter_merge_ranks": adapter_merge_ranks, "save_pipeline_ranks": save_pipeline_ranks,
-    "chat_role_map": chat_role_map, "chat_render": chat_render, "chat_labels": chat_labels, "chat_first_300": chat_first_300,
+    "chat_role_map": chat_role_map, "chat_render": chat_render, "chat_labels": chat_labels, "chat_labels_arrow": chat_labels_arrow, "chat_metrics": chat_metrics, "chat_batches": chat_batches, "chat_first_300": chat_first_300,
     "parameter_round_trip": parameter_round_trip, "weight_file_round_trip": weight_file_round_trip, "construct_modules": construct_modules, "describe_modules": describe_modules, "adapter_rows": adapter_rows,
     "quant_default": quant_default, "linear_forward_default": linear_forward_default, "chat_first_30": chat_first_30, "chat_labels_64": chat_labels_64,
 }
@@ -373,6 +396,16 @@ SELECT module, vec_id AS row, pos, round((round_even(w::DOUBLE / alpha::DOUBLE,
     "chat_role_map": "SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS turn, role, text AS content FROM conversations",
     "chat_render": f"WITH {_CHAT_SQL} SELECT * FROM r",
     "chat_labels": _labels_sql(chat.LONGEST),
+    "chat_labels_arrow": _labels_sql(chat.LONGEST),
+    "chat_batches": f"""WITH RECURSIVE z AS (SELECT conv_id, count(input_id) AS n_tokens, count(*) FILTER (label <> {chat.IGNORED}) AS n_kept, count(*) AS n_labels FROM ({_labels_sql(chat.LONGEST)}) GROUP BY conv_id),
+g AS (SELECT *, ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % (SELECT greatest(1, ceil(count(*) / {chat.PACKED})::BIGINT) FROM z) AS grp FROM z),
+o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n_tokens DESC, conv_id, n_kept, n_labels) - 1 AS k FROM g),
+s AS (SELECT grp, 0::BIGINT AS start, 0 AS b, greatest(1, {chat.BUDGET} // greatest(1, n_tokens)) AS size FROM o WHERE k = 0
+  UNION ALL SELECT s.grp, s.start + s.size, b + 1, greatest(1, {chat.BUDGET} // greatest(1, o.n_tokens)) FROM s JOIN o ON o.grp = s.grp AND o.k = s.start + s.size)
+SELECT conv_id, o.grp || '-' || b AS batch_id, (k - start)::INTEGER AS place, n_tokens::INTEGER AS n_tokens, (max(n_tokens) OVER w)::INTEGER AS padded, (sum(n_tokens) OVER w)::INTEGER AS batch_tokens,
+  (sum(n_kept) OVER w)::INTEGER AS batch_kept, (sum(n_labels - n_kept) OVER w)::INTEGER AS batch_masked FROM o JOIN s ON o.grp = s.grp AND o.k >= s.start AND o.k < s.start + s.size WINDOW w AS (PARTITION BY o.grp, b)""",
+    "chat_metrics": f"""SELECT count(DISTINCT conv_id) AS n_examples, (SELECT count(*) FILTER (n >= 64) FROM (SELECT count(input_id) AS n FROM ({_labels_sql(64)}) GROUP BY conv_id)) AS n_truncated, count(input_id) AS n_tokens,
+  count(*) FILTER (label <> {chat.IGNORED}) AS n_kept, count(*) FILTER (label = {chat.IGNORED}) AS n_masked, (SELECT max(n) FROM (SELECT count(input_id) AS n FROM ({_labels_sql(64)}) GROUP BY conv_id))::BIGINT AS longest FROM ({_labels_sql(64)})""",
     "chat_labels_64": _labels_sql(64),
     "chat_first_30": "SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 30",
     "chat_first_300": "SELECT conv_id, count(*) AS n_msgs FROM conversations GROUP BY conv_id ORDER BY conv_id LIMIT 300",
