@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.quantize import group_size_of
+from gridloom.sources.tables import written
 
 # A path that holds one of these is left as it is; an embedding is taken if its path holds EMBED.
 EXCLUDED = ("norm", "q_norm", "k_norm")
@@ -25,6 +26,34 @@ def parent_path(path: Column) -> Column:
     return F.when(F.contains(path, F.lit(".")), F.regexp_replace(path, r"\.[^.]*$", "")).when(path == "", F.lit(None)).otherwise(F.lit(""))
 
 
+def walk(edges: DataFrame) -> DataFrame:
+    """(node, path) of every node below the roots of edges (parent, node, name): its names from the root down, joined by dots.
+
+    A root is a parent that is no node; it has no name and no row. Every row begins as the way from its
+    parent; in each round the way to a row's top is put before it, so ways double in length and a tree of
+    depth d takes log2(d) + 1 rounds of one join, however deep it is. Ways that begin at a root are not
+    joined again. Rounds are written, so each is one job over the rows of the last.
+
+    A node under several parents (a shared module) has a path for each way; edges that repeat count once; an
+    edge without a parent, node or name is an error, as is a cycle; no edges give no rows.
+    """
+    bad = F.raise_error(F.lit("an edge lacks its parent, node or name"))
+    whole = F.col("parent").isNotNull() & F.col("node").isNotNull() & F.col("name").isNotNull()
+    checked = lambda c, name: F.when(whole, F.col(c).cast("string")).otherwise(bad).alias(name)
+    ways = written(edges.select(checked("parent", "top"), checked("node", "node"), checked("name", "path")).distinct().withColumn("there", F.lit(False)), "tree-edges")
+    longest, rounds = max(1, ways.select("node").distinct().count()), 0
+    while ways.where("not there").count():
+        if 2**rounds > 2 * longest:
+            raise ValueError("the edges have a cycle")
+        upper = ways.select(F.col("top").alias("higher"), F.col("node").alias("at"), F.col("path").alias("above"), F.col("there").alias("whole"))
+        joined = ways.where("not there").join(upper, F.col("top") == F.col("at"), "left")
+        # No way leads to a root, and a way that begins at one begins there with all that is put before it.
+        there = F.col("at").isNull() | F.col("whole")
+        step = joined.select(F.coalesce("higher", "top").alias("top"), "node", F.concat_ws(".", "above", "path").alias("path"), there.alias("there"))
+        ways, rounds = written(ways.where("there").unionByName(step), "tree-ways"), rounds + 1
+    return ways.select("node", "path")
+
+
 def is_swapped_embedding(path: Column, kind: Column) -> Column:
     return (kind == EMBEDDING) & F.contains(path, F.lit(EMBED)) & (path != "")
 
@@ -87,6 +116,20 @@ def describe(modules: DataFrame, parameters: DataFrame) -> DataFrame:
     return rows.join(shapes, rows.owner == shapes.param_id, "left").select("path", F.format_string("%s to %s, quantized", F.col("n_in"), F.col("n_out")).alias("description"))
 
 
+def shapes(parameters: DataFrame) -> DataFrame:
+    """(param_id, n_in, n_out, numel) of parameters (param_id, row_idx, values): the widest row, rows and values of each."""
+    width = F.size("values")
+    return parameters.groupBy("param_id").agg(F.max(width).alias("n_in"), F.count("*").cast("int").alias("n_out"), F.sum(width).cast("long").alias("numel"))
+
+
+def with_shapes(modules: DataFrame, parameters: DataFrame) -> DataFrame:
+    """modules with n_in, n_out and numel of the parameter that each owns or shares; a module without one has numel 0."""
+    known = shapes(parameters).withColumnRenamed("param_id", "shape_of")
+    rows = modules.drop("n_in", "n_out", "numel")
+    joined = rows.join(known, F.coalesce(rows.owner_param_id, rows.param_id) == known.shape_of, "left").drop("shape_of")
+    return joined.withColumn("numel", F.coalesce("numel", F.lit(0).cast("long")))
+
+
 def parameter_counts(modules: DataFrame) -> DataFrame:
     """n_total and n_trainable values, a shared parameter counted once."""
     owned = modules.where("param_id is not null").groupBy(F.coalesce("owner_param_id", "param_id").alias("owner"))

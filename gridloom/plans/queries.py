@@ -96,21 +96,78 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REGISTRY, schemas.MODULES)
 
 
+#: Vectors of a layer in the model that the queries make of the embeddings.
+LAYER = 16
+#: Nodes: (node, parent, name, kind, parameter, parameter it shares, has a bias, is quantized, group size, trains).
+TOP = [
+    ("model", "root", "model", "model", None, None, False, False, None, False),
+    ("embed", "model", "embed_tokens", "embedding", "p_embed", "p_embed", False, False, None, True),
+    ("layers", "model", "layers", "model", None, None, False, False, None, False),
+    ("norm", "model", "norm", "norm", "p_norm", "p_norm", False, False, None, True),
+    ("head", "root", "lm_head", "linear", "p_head", "p_embed", False, False, None, True),
+]
+#: The same of each layer, below its node; parameters are a letter, and the layer's vectors that are its rows.
+LAYER_NODES = [
+    ("q", "", "q_proj", "linear", "q", True, False, None, True), ("k", "", "k_proj", "linear", "k", False, False, None, True),
+    ("qn", "", "q_norm", "norm", "n", False, False, None, True), ("ng", "", "norm_gate", "model", None, False, False, None, False),
+    ("ngp", "ng", "proj", "linear", "g", False, False, None, True), ("mlp", "", "mlp", "model", None, False, False, None, False),
+    ("up", "mlp", "up_proj", "quant_linear", "u", False, True, 32, True), ("dn", "mlp", "down_proj", "linear", "d", False, False, None, False),
+]
+PARAMETER_ROWS = {"q": (0, 6), "k": (6, 10), "u": (10, 13), "d": (13, 16), "n": (0, 1), "g": (0, 2)}
+_LAYER_NODE = [*((c, "string") for c in ("suffix", "below", "name", "kind", "letter")), ("has_bias", "boolean"), ("is_quantized", "boolean"), ("group_size", "int"), ("requires_grad", "boolean")]
+_NODE = "node string, parent string, name string, kind string, param_id string, owner_param_id string, has_bias boolean, is_quantized boolean, group_size int, requires_grad boolean"
+
+
+def _nodes(spark, sf_dir) -> DataFrame:
+    """The nodes of a model that has a layer for every LAYER vectors: node, its parent and name, and what is known of its module."""
+    layers = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / LAYER).cast("string").alias("l")).distinct()
+    at = layers.select(F.concat(F.lit("L"), "l").alias("node"), F.lit("layers").alias("parent"), F.col("l").alias("name"), F.lit("model").alias("kind"))
+    at = at.selectExpr("*", "cast(null as string) as param_id", "cast(null as string) as owner_param_id", "false as has_bias", "false as is_quantized", "cast(null as int) as group_size", "false as requires_grad")
+    kinds = F.explode(F.array(*[F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(node, _LAYER_NODE)]) for node in LAYER_NODES])).alias("k")
+    inside = layers.select("l", kinds).select("l", "k.*")
+    param = F.when(F.col("letter").isNotNull(), F.concat(F.lit("p_"), "letter", "l"))
+    node, parent = F.concat(F.lit("L"), "l", F.lit("."), "suffix"), F.concat(F.lit("L"), "l", F.when(F.col("below") == "", "").otherwise(F.concat(F.lit("."), "below")))
+    inside = inside.select(node.alias("node"), parent.alias("parent"), "name", "kind", param.alias("param_id"), param.alias("owner_param_id"), "has_bias", "is_quantized", "group_size", "requires_grad")
+    return spark.createDataFrame(TOP, _NODE).unionByName(at).unionByName(inside)
+
+
+def _model_parameters(spark, sf_dir) -> DataFrame:
+    """The parameters of that model, written as weight files and read back: the table of all vectors, and each layer's."""
+    rows = _vectors(spark, sf_dir)
+    whole = parameter_rows(rows, "p_embed", "vec_id", "values").unionByName(parameter_rows(rows.where("vec_id = 0"), "p_norm", "vec_id", "values"))
+    place = F.col("vec_id") % LAYER
+    letters = [F.when((place >= a) & (place < b), F.struct(F.lit(letter).alias("letter"), (place - a).alias("row"))) for letter, (a, b) in PARAMETER_ROWS.items()]
+    inside = rows.select("vec_id", "values", F.explode(F.filter(F.array(*letters), lambda x: x.isNotNull())).alias("of"))
+    param = F.concat(F.lit("p_"), "of.letter", F.floor(F.col("vec_id") / LAYER).cast("string"))
+    inside = inside.select(param.alias("param_id"), F.col("of.row").alias("row_idx"), F.col("values").cast("array<float>").alias("values"))
+    path = new_folder(spark, "model")
+    write_weights(whole.unionByName(inside), path)
+    return read_weights(spark, path)
+
+
+def _modules(spark, sf_dir) -> DataFrame:
+    """The model's modules by their paths, walked from the edges, with the sizes of the written parameters."""
+    nodes = _nodes(spark, sf_dir)
+    rows = rewrite.walk(nodes.select("parent", "node", "name")).join(nodes, "node")
+    bias = F.when(F.col("has_bias"), F.concat(F.col("param_id"), F.lit("_bias"))).alias("bias_id")
+    return rewrite.with_shapes(rows.select("path", "kind", "param_id", "owner_param_id", bias, "is_quantized", "group_size", "requires_grad"), _model_parameters(spark, sf_dir))
+
+
 def swap_plan(spark, sf_dir, k=64):
-    out = rewrite.swap(registry(spark), q.QuantConfig(k))
+    out = rewrite.swap(_modules(spark, sf_dir), q.QuantConfig(k))
     return out.select("path", "old_kind", F.col("kind").alias("new_kind"), "group_size", "owner_param_id")
 
 
 def param_counts(spark, sf_dir):
-    return rewrite.parameter_counts(registry(spark))
+    return rewrite.parameter_counts(_modules(spark, sf_dir))
 
 
 def requant_count(spark, sf_dir):
-    return rewrite.requantized_count(rewrite.swap(registry(spark), q.QuantConfig(64)))
+    return rewrite.requantized_count(rewrite.swap(_modules(spark, sf_dir), q.QuantConfig(64)))
 
 
 def adapter_targets(spark, sf_dir):
-    return adapters.attach(registry(spark)).select("path", "kind")
+    return adapters.attach(_modules(spark, sf_dir)).select("path", "kind", "n_in", "n_out")
 
 
 #: Adapters' rank, scale and group size in the queries: 32 divides A's width (64) and not B's (2).
@@ -279,9 +336,8 @@ ADAPTER_R = 4
 
 
 def adapter_rows(spark, sf_dir):
-    """Fresh adapters of the registry's targets, taken as 64 wide."""
-    modules = registry(spark).withColumns({"n_in": F.lit(64), "n_out": (F.col("numel") / 64).cast("int")})
-    rows = adapters.init_adapters(modules, ADAPTER_R, 8.0).select("module_path", "side", "row_idx", "r", "alpha", F.posexplode("values").alias("pos", "w"))
+    """Fresh adapters of the model's targets that have parameters, of their shapes."""
+    rows = adapters.init_adapters(_modules(spark, sf_dir).where("numel > 0"), ADAPTER_R, 8.0).select("module_path", "side", "row_idx", "r", "alpha", F.posexplode("values").alias("pos", "w"))
     return rows.withColumns({"pos": F.col("pos").cast("long"), "w": F.round(F.col("w").cast("double"), 6)})
 
 
@@ -336,10 +392,12 @@ def _stats_sql(k: int) -> str:
 _VALUES_SQL = f"WITH {_long(32)} SELECT vec_id, pos, (code * alpha)::FLOAT AS q FROM coded"
 
 
+_show = lambda x: "NULL" if x is None else (str(x).lower() if isinstance(x, bool) else (f"'{x}'" if isinstance(x, str) else str(x)))
+_values = lambda rows: ", ".join("(" + ", ".join(map(_show, r)) + ")" for r in rows)
+
+
 def _rows_sql() -> str:
-    show = lambda x: "NULL" if x is None else (str(x).lower() if isinstance(x, bool) else (f"'{x}'" if isinstance(x, str) else str(x)))
-    rows = ", ".join("(" + ", ".join(map(show, r)) + ")" for r in REGISTRY)
-    return f"modules(path, kind, param_id, owner_param_id, bias_id, is_quantized, group_size, requires_grad, numel) AS (VALUES {rows})"
+    return f"modules(path, kind, param_id, owner_param_id, bias_id, is_quantized, group_size, requires_grad, numel) AS (VALUES {_values(REGISTRY)})"
 
 
 _SWAP_SQL = f"""WITH {_rows_sql()}, s AS (
@@ -348,6 +406,21 @@ _SWAP_SQL = f"""WITH {_rows_sql()}, s AS (
 SELECT path, kind AS old_kind, new_kind, (CASE WHEN new_kind <> kind THEN 64 ELSE group_size END)::INTEGER AS group_size,
        CASE WHEN path = 'lm_head' THEN 'p_embed' WHEN new_kind <> kind THEN param_id ELSE owner_param_id END AS owner_param_id FROM s"""
 
+_MODEL_SQL = f"""l AS (SELECT DISTINCT (vec_id // {LAYER})::VARCHAR AS l FROM embeddings),
+t(node, parent, name, kind, param_id, owner, has_bias, is_quantized, group_size, requires_grad) AS (VALUES {_values(TOP)}),
+i(suffix, below, name, kind, letter, has_bias, is_quantized, group_size, requires_grad) AS (VALUES {_values(LAYER_NODES)}),
+nodes AS (SELECT * REPLACE (group_size::INTEGER AS group_size) FROM t UNION ALL SELECT 'L' || l, 'layers', l, 'model', NULL, NULL, false, false, NULL, false FROM l
+  UNION ALL SELECT 'L' || l || '.' || suffix, 'L' || l || CASE WHEN below = '' THEN '' ELSE '.' || below END, name, kind, 'p_' || letter || l, 'p_' || letter || l, has_bias, is_quantized, group_size, requires_grad FROM l, i),
+walked AS (SELECT node, name AS path FROM nodes WHERE parent = 'root' UNION ALL SELECT n.node, w.path || '.' || n.name FROM walked w JOIN nodes n ON n.parent = w.node),
+pr(letter, a, b) AS (VALUES {_values((k, *v) for k, v in PARAMETER_ROWS.items())}),
+pars AS (SELECT 'p_embed' AS param_id, len(embedding) AS n FROM embeddings UNION ALL SELECT 'p_norm', len(embedding) FROM embeddings WHERE vec_id = 0
+  UNION ALL SELECT 'p_' || letter || vec_id // {LAYER}, len(embedding) FROM embeddings JOIN pr ON vec_id % {LAYER} >= a AND vec_id % {LAYER} < b),
+sh AS (SELECT param_id, max(n)::INTEGER AS n_in, count(*)::INTEGER AS n_out, sum(n)::BIGINT AS numel FROM pars GROUP BY param_id),
+modules AS (SELECT w.path, n.*, sh.n_in, sh.n_out, coalesce(sh.numel, 0) AS numel FROM walked w JOIN nodes n USING (node) LEFT JOIN sh ON sh.param_id = n.owner)"""
+_MODEL_SWAP_SQL = f"""WITH RECURSIVE {_MODEL_SQL}, s AS (SELECT *, CASE WHEN kind = 'embedding' AND path LIKE '%embed%' THEN 'quant_embedding' WHEN kind = 'linear' AND path NOT LIKE '%norm%' THEN 'quant_linear' ELSE kind END AS new_kind FROM modules)
+SELECT path, kind AS old_kind, new_kind, (CASE WHEN new_kind <> kind THEN 64 ELSE group_size END)::INTEGER AS group_size, CASE WHEN path = 'lm_head' THEN 'p_embed' WHEN new_kind <> kind THEN param_id ELSE owner END AS owner_param_id FROM s"""
+_TARGETS_SQL = "regexp_matches(path, '(^|[.])(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)$')"
+
 _ADAPTER_SQL = f"""e AS (SELECT label::VARCHAR AS module, vec_id, (generate_subscripts(embedding, 1) - 1)::BIGINT AS pos, unnest(embedding)::FLOAT AS v FROM embeddings),
 ends AS (SELECT module, pos, max(v) AS high, min(v) AS low FROM e GROUP BY module, pos),
 a AS (SELECT module, 0::BIGINT AS r, pos, high AS v FROM ends UNION ALL SELECT module, 1, pos, low FROM ends),
@@ -383,11 +456,11 @@ ORACLES = {
     "embedding_gather": f"""WITH {_long(32)},
 t AS (SELECT c_custkey AS seq_id, 0::BIGINT AS pos, c_nationkey::BIGINT AS token_id FROM customer UNION ALL SELECT c_custkey, 1, length(c_name) FROM customer)
 SELECT t.seq_id, t.pos, c.pos AS dim, (c.code * c.alpha)::FLOAT AS q FROM t JOIN coded c ON c.vec_id = t.token_id""",
-    "swap_plan": _SWAP_SQL,
-    "param_counts": f"""WITH {_rows_sql()}, o AS (SELECT coalesce(owner_param_id, param_id) AS owner, max(numel) AS numel, bool_or(requires_grad) AS t FROM modules WHERE param_id IS NOT NULL GROUP BY 1)
+    "swap_plan": _MODEL_SWAP_SQL,
+    "param_counts": f"""WITH RECURSIVE {_MODEL_SQL}, o AS (SELECT owner, max(numel) AS numel, bool_or(requires_grad) AS t FROM modules WHERE param_id IS NOT NULL GROUP BY 1)
 SELECT sum(numel)::BIGINT AS n_total, sum(numel) FILTER (t)::BIGINT AS n_trainable FROM o""",
-    "requant_count": f"SELECT count(*) AS n FROM ({_SWAP_SQL}) WHERE new_kind LIKE 'quant%'",
-    "adapter_targets": f"WITH {_rows_sql()} SELECT path, kind FROM modules WHERE regexp_matches(path, '(^|[.])(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)$')",
+    "requant_count": f"SELECT count(*) AS n FROM ({_MODEL_SWAP_SQL}) WHERE new_kind LIKE 'quant%'",
+    "adapter_targets": f"WITH RECURSIVE {_MODEL_SQL} SELECT path, kind, n_in, n_out FROM modules WHERE {_TARGETS_SQL}",
     "adapter_quant": f"WITH {_ADAPTER_SQL} SELECT module, 'A' AS side, r AS row, pos, q FROM aq UNION ALL SELECT module, 'B', vec_id, r, v FROM b",
     "adapter_touch_count": "SELECT count(DISTINCT label) AS n FROM embeddings",
     "adapter_merge": f"WITH {_MERGE_SQL} SELECT module, vec_id AS row, pos, round(w::DOUBLE, 5) AS w FROM m",
@@ -426,9 +499,9 @@ ORACLES |= {
 z AS (SELECT *, greatest(max(abs(w)) OVER (PARTITION BY param_id, row_idx, pos // 64), 1e-8::FLOAT) AS alpha FROM p)
 SELECT o.path, o.kind, s.n_in, s.n_out, z.row_idx, z.pos, (round_even(w::DOUBLE / alpha::DOUBLE, 0) * alpha + 0.0)::FLOAT AS q FROM o JOIN s ON s.param_id = o.owner JOIN z ON z.param_id = o.owner""",
     "describe_modules": f"WITH {_PARAMETERS_SQL}, {_OWNERS_SQL}, {_SHAPES_SQL} SELECT path, n_in || ' to ' || n_out || ', quantized' AS description FROM o JOIN s ON s.param_id = o.owner WHERE path IN ('lm_head', 'model.layers.0.q_proj')",
-    "adapter_rows": f"""WITH {_rows_sql()}, t AS (SELECT path, numel // 64 AS n_out FROM modules WHERE regexp_matches(path, '(^|[.])(q_proj|k_proj|v_proj|o_proj|gate_proj|up_proj|down_proj)$')),
-a AS (SELECT path, r, unnest(range(64)) AS pos FROM (SELECT path, unnest(range({ADAPTER_R})) AS r FROM t)),
-b AS (SELECT path, r, unnest(range({ADAPTER_R})) AS pos FROM (SELECT path, unnest(range(n_out)) AS r FROM t))
+    "adapter_rows": f"""WITH RECURSIVE {_MODEL_SQL}, t2 AS (SELECT path, n_out FROM modules WHERE numel > 0 AND {_TARGETS_SQL}),
+a AS (SELECT path, r, unnest(range(64)) AS pos FROM (SELECT path, unnest(range({ADAPTER_R})) AS r FROM t2)),
+b AS (SELECT path, r, unnest(range({ADAPTER_R})) AS pos FROM (SELECT path, unnest(range(n_out)) AS r FROM t2))
 SELECT path AS module_path, 'A' AS side, r AS row_idx, {ADAPTER_R}::INTEGER AS r, 8.0::DOUBLE AS alpha, pos, round(((('0x' || substr(md5(path || '|' || r || '|' || pos), 1, 8))::BIGINT / 4294967296.0 * 2 - 1) / 8)::FLOAT::DOUBLE, 6) AS w FROM a
 UNION ALL SELECT path, 'B', r, {ADAPTER_R}, 8.0, pos, 0.0 FROM b""",
     "quant_default": f"WITH {_long(128, _WIDE_SQL)} SELECT vec_id, pos, (code * alpha)::FLOAT AS q FROM coded",

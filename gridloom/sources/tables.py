@@ -29,12 +29,39 @@ def read_parameters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PARAMETERS).parquet(path).select("param_id", "row_idx", "values")
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share; below a temporary folder where a local session names none."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; where a local session names none, a temporary folder, once a context."""
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
         if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="gridloom-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared folder."""
+    return f"{shared_root(spark).rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path below this application's folder in the shared folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> bool:
+    """Delete all that this application wrote there; to be called once no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: cuts lineage, survives lost executors."""
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -208,6 +208,27 @@ def test_swap_rules(spark):
     assert parents["model.layers.0.q_proj"] == "model.layers.0" and parents["lm_head"] == "" and parents[""] is None
 
 
+def test_walk_of_edges(spark):
+    edges = [("root", "a", "x"), ("a", "b", "y"), ("b", "c", "z"), ("a", "c", "w"), ("other", "d", "alone"), ("a", "b", "y")] + [(f"n{i}" if i else "c", f"n{i + 1}", str(i)) for i in range(300)]
+    df = spark.createDataFrame(edges, "parent string, node string, name string")
+    got = sorted(tuple(r) for r in rewrite.walk(df).collect())
+    tail = lambda k: "".join(f".{i}" for i in range(k))
+    want = [("a", "x"), ("b", "x.y"), ("c", "x.y.z"), ("c", "x.w"), ("d", "alone")] + [(f"n{k}", top + tail(k)) for k in range(1, 301) for top in ("x.y.z", "x.w")]
+    assert got == sorted(want)
+    assert rewrite.walk(df.limit(0)).count() == 0
+    for bad, message in (([("a", "b", "x"), ("b", "a", "y")], "cycle"), ([("root", "a", "x"), ("a", "b", "y"), ("c", "b", "z"), ("b", "c", "w")], "cycle"), ([("a", "b", None)], "lacks"), ([("a", "a", "x")], "cycle")):
+        with pytest.raises(Exception, match=message):
+            rewrite.walk(spark.createDataFrame(bad, "parent string, node string, name string")).count()
+
+
+def test_shapes_count_a_shared_parameter_once(spark):
+    parameters = spark.createDataFrame([("e", 0, [1.0, 2.0]), ("e", 1, [3.0, 4.0]), ("b", 0, [1.0])], "param_id string, row_idx long, values array<float>")
+    modules = spark.createDataFrame([("emb", "e", "e", True), ("head", "h", "e", False), ("bias", "b", None, False), ("none", "gone", None, True), ("", None, None, False)], "path string, param_id string, owner_param_id string, requires_grad boolean")
+    rows = rewrite.with_shapes(modules, parameters)
+    assert {r["path"]: (r["n_in"], r["n_out"], r["numel"]) for r in rows.collect()} == {"emb": (2, 2, 4), "head": (2, 2, 4), "bias": (1, 1, 1), "none": (None, None, 0), "": (None, None, 0)}
+    assert tuple(rewrite.parameter_counts(rows).first()) == (5, 4)
+
+
 def test_untied_head_and_default_size(spark):
     rows = [(p, "linear" if p == "lm_head" else "embedding", n, n, None, False, None, True, 8) for p, n in (("embed_tokens", "a"), ("lm_head", "b"))]
     got = {r["path"]: (r["owner_param_id"], r["group_size"]) for r in rewrite.swap(spark.createDataFrame(rows, queries.schemas.MODULES)).collect()}
