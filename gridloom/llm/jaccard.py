@@ -9,13 +9,17 @@ once. Linked sets x and y share at least ``need(|x|)`` elements, so among the fi
 2. The rest deal out the first elements for l = 1; classes that meet in an element and are of like
    size are joined into candidate groups, whose members alone are compared.
 3. A group is cut into tiles by size band (a band spans the factor 1 / similarity, so partners are in
-   the same or the next band) and, where a band holds more than TILE classes, by hash into parts
-   that meet pairwise. In a tile, hashed bitmaps bound the overlap from above by a bit count; pairs
+   the same or the next band) and, where a band holds more than TILE classes or ELEMENTS elements, by
+   hash into parts that meet pairwise. In a tile, hashed bitmaps bound the overlap from above by a bit count; pairs
    that pass and are not yet in one component are intersected as sorted arrays, exactly.
 4. Components of the links are found from each tile's spanning edges.
 
-Candidates never leave a tile as pairs and no partner is dropped. Elements travel as packed arrays,
-one row for each bucket and batch. Two n-grams share a hash, or two sets both class hashes, with a
+Candidates never leave a tile as pairs and no partner is dropped. Elements travel as packed arrays, a
+row for each bucket and LOT of a task's entries. Within a lot, what a common element would bring
+together is combined before it is dealt out: in step 1 an element of several classes is counted for
+them at once and travels as itself alone; in step 2 its classes are chained in order of size, and
+only the links of the chain travel, some 70 for each lot however many classes share it. (A class that is
+in several lots may so be counted too high in step 1, which only lets it into step 2.) Two n-grams share a hash, or two sets both class hashes, with a
 chance of 2^-64 for a pair.
 
 Defined results: text is lower-cased A-Z and split at white space (space, \\t to \\r); a text of
@@ -40,8 +44,8 @@ from gridloom.llm.components import components, forest
 WORDS, PERCENT = 5, 75
 #: The share of a set's elements that is dealt out first, in percent.
 FIRST = 40
-#: Classes in a tile part.
-TILE = 2048
+#: Classes and elements in a tile part, and entries of a task that are combined and dealt out at once.
+TILE, ELEMENTS, LOT = 2048, 1 << 21, 1 << 20
 #: Documents whose words are hashed at once, and bytes of text at once.
 BATCH, BATCH_BYTES = 512, 1 << 21
 
@@ -142,26 +146,62 @@ def _dealt(n_buckets: int, kind: int, by: np.ndarray, *columns: np.ndarray) -> I
         yield (k, kind, *(c[edges[k] : edges[k + 1]].tobytes() for c in placed), *[None] * (3 - len(columns)))
 
 
-def _deal_first(n_buckets: int, n_words: int, percent: int):
-    """Step 1: rows of kind 0 hold (set key, doc_id, size), of kind 1 (element, set key)."""
+def _lots(batches: Iterator[pa.RecordBatch], columns: int, entries, lot: int) -> Iterator[list[np.ndarray]]:
+    """entries(batch) makes columns of a batch's entries, counted by the last of them; those of batches put together, ``lot`` at a time."""
+    held, n = [[] for _ in range(columns)], 0
+    for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
+        for parts, column in zip(held, entries(batch)):
+            parts.append(column)
+        n += len(held[-1][-1])
+        if n >= lot:
+            yield [np.concatenate(c) for c in held]
+            held, n = [[] for _ in range(columns)], 0
+    if held[0]:
+        yield [np.concatenate(c) for c in held]
+
+
+def _packed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), DEALT)], schema=DEALT)
+
+
+def _deal_first(n_buckets: int, n_words: int, percent: int, lot: int):
+    """Step 1: rows of kind 0 hold (set key, doc_id, size), of kind 1 (element, set key), of kind 2 elements of several sets of a lot, of kind 3 (set key, how many of its elements are of kind 2)."""
+
+    def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        sets = shingle_sets(batch.column("text"), n_words)
+        keys = np.array([set_key(s) for s in sets], np.int64)
+        once = np.unique(keys, return_index=True)[1]
+        take = [sets[k][: _first(len(sets[k]), percent)] for k in once]
+        elements = (np.concatenate(take) if take else np.empty(0, np.uint64)).astype(np.uint64)
+        return keys, batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(s) for s in sets], np.int64), np.repeat(keys[once], [len(t) for t in take]), elements
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
-            sets = shingle_sets(batch.column("text"), n_words)
-            keys = np.array([set_key(s) for s in sets], np.int64)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            rows = list(_dealt(n_buckets, 0, _mix(keys.view(np.uint64)), keys, ids, sizes))
-            once = np.unique(keys, return_index=True)[1]
-            take = [sets[k][: _first(len(sets[k]), percent)] for k in once]
-            elements = np.concatenate(take) if take else np.empty(0, np.uint64)
-            rows += _dealt(n_buckets, 1, elements, elements.astype(np.uint32), np.repeat(keys[once], [len(t) for t in take]))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), DEALT)], schema=DEALT)
+        for keys, ids, sizes, owners, elements in _lots(batches, 5, entries, lot):
+            # Documents go anywhere: those of one class must not meet.
+            rows = list(_dealt(n_buckets, 0, _mix(ids.view(np.uint64)), keys, ids, sizes))
+            elements, owners, many = _shared(elements, owners)
+            found, n = np.unique(owners[many], return_counts=True)
+            common = elements[many]
+            common = common[np.concatenate([[True], common[1:] != common[:-1]])[: len(common)]]
+            rows += _dealt(n_buckets, 1, elements[~many], elements[~many].astype(np.uint32), owners[~many])
+            rows += _dealt(n_buckets, 2, common, common.astype(np.uint32))
+            rows += _dealt(n_buckets, 3, _mix(found.view(np.uint64)), found, n.astype(np.int64))
+            yield from _packed(rows)
 
     return run
 
 
+def _shared(elements: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct entries (element, key), sorted, and whether an entry's element has several keys."""
+    order = np.lexsort((keys, elements))
+    elements, keys = elements[order], keys[order]
+    new = np.concatenate([[True], (elements[1:] != elements[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)]
+    elements, keys = elements[new], keys[new]
+    bounds = _runs(elements)
+    return elements, keys, np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+
+
 def _first(size: int, percent: int = PERCENT) -> int:
     """Elements that a set deals out in step 1."""
     return min(size, max(size - need(size, percent) + 1, -(-FIRST * size // 100)))
@@ -191,37 +231,37 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1, a bucket at a time: documents (kind 0), and for each set key its shared elements here (kind 1)."""
-    held = _gathered(batches, {0: (np.int64, np.int64, np.int64), 1: (np.uint32, np.int64)})
+    held = _gathered(batches, {0: (np.int64, np.int64, np.int64), 1: (np.uint32, np.int64), 2: (np.uint32,), 3: (np.int64, np.int64)})
     for at in held.values():
         if 0 in at:
             keys, ids, sizes = at[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int32)), pa.array(keys), pa.array(ids), pa.array(sizes)], schema=COUNTED)
+        counts = [at[3]] if 3 in at else []
         if 1 in at:
-            elements, keys = at[1]
-            order = np.lexsort((keys, elements))
-            elements, keys = elements[order], keys[order]
-            new = np.concatenate([[True], (elements[1:] != elements[:-1]) | (keys[1:] != keys[:-1])])
-            elements, keys = elements[new], keys[new]
-            bounds = _runs(elements)
-            many = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-            found, n = np.unique(keys[many], return_counts=True)
+            elements, keys, many = _shared(*at[1])
+            if 2 in at:
+                many |= np.isin(elements, at[2][0])
+            counts.append(np.unique(keys[many], return_counts=True))
+        for found, n in counts:
             if len(found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(found), np.int32)), pa.array(found), pa.nulls(len(found), pa.int64()), pa.array(n.astype(np.int64))], schema=COUNTED)
 
 
-def _deal_second(n_buckets: int, n_words: int, percent: int):
-    """Step 2: (element, set key, size) of the first elements."""
+def _deal_second(n_buckets: int, n_words: int, percent: int, lot: int):
+    """Step 2: rows of kind 0 hold (element, set key, size) of the first elements, of kind 1 edges found within a lot."""
+
+    def entries(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        sets = shingle_sets(batch.column("text"), n_words)
+        take = [s[: len(s) - need(len(s), percent) + 1] for s in sets]
+        lengths = [len(t) for t in take]
+        keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
+        return keys, np.repeat(np.array([len(s) for s in sets], np.int64), lengths), np.concatenate(take)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", BATCH, BATCH_BYTES):
-            sets = shingle_sets(batch.column("text"), n_words)
-            take = [s[: len(s) - need(len(s), percent) + 1] for s in sets]
-            lengths = [len(t) for t in take]
-            elements = np.concatenate(take)
-            keys = np.repeat(batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64), lengths)
-            rows = list(_dealt(n_buckets, 0, elements, elements, keys, np.repeat(np.array([len(s) for s in sets], np.int64), lengths)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), DEALT)], schema=DEALT)
+        for keys, sizes, elements in _lots(batches, 3, entries, lot):
+            elements, keys, sizes, a, b = chained(elements, keys, sizes, percent)
+            nodes, roots = forest(a, b) if len(a) else (a, b)
+            yield from _packed([*_dealt(n_buckets, 0, elements, elements, keys, sizes), *_dealt(n_buckets, 1, _mix(nodes.view(np.uint64)), nodes, roots)])
 
     return run
 
@@ -229,32 +269,51 @@ def _deal_second(n_buckets: int, n_words: int, percent: int):
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def chained(elements: np.ndarray, keys: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Entries (element, key, size) of which some may stand for all, and edges (a, b) that join them to the rest.
+
+    An element's classes stand in order of size. All within reach of the first hang from it, and the last
+    of them is first of the next stretch; these alone stay. Whatever is in reach of one that hangs between
+    two is in reach of one of the two: a smaller class of the first, a larger one of the first or the last.
+    """
+    order = np.lexsort((keys, sizes, elements))
+    elements, keys, sizes = elements[order], keys[order], sizes[order]
+    bounds = _runs(elements)
+    first, last = bounds[:-1], bounds[1:] - 1
+    stays = np.zeros(len(elements), bool)
+    stays[first], stays[last] = True, True
+    # Most elements' classes are all in reach of the first.
+    near = 100 * sizes[first] >= percent * sizes[last]
+    lengths = last - first
+    begin = np.repeat(first[near], lengths[near])
+    at = begin + 1 + np.arange(len(begin)) - np.repeat(np.concatenate([[0], np.cumsum(lengths[near])])[:-1], lengths[near])
+    from_, to = [keys[at]], [keys[begin]]
+    for a, b in zip(first[~near].tolist(), bounds[1:][~near].tolist()):
+        while a < b - 1:
+            stop = a + int(np.searchsorted(sizes[a:b], 100 * sizes[a] // percent, side="right"))
+            if stop == a + 1:
+                a += 1
+            else:
+                from_.append(keys[a + 1 : stop])
+                to.append(np.full(stop - a - 1, keys[a]))
+                a = stop - 1
+            stays[a] = True
+    return elements[stays], keys[stays], sizes[stays], np.concatenate(from_), np.concatenate(to)
+
+
 def _meet(percent: int):
     """Step 2, a bucket at a time: a forest over the classes that meet in an element and are of like size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _gathered(batches, {0: (np.uint64, np.int64, np.int64)})
+        held = _gathered(batches, {0: (np.uint64, np.int64, np.int64), 1: (np.int64, np.int64)})
         for at in held.values():
-            elements, keys, sizes = at[0]
-            order = np.lexsort((sizes, elements))
-            elements, keys, sizes = elements[order], keys[order], sizes[order]
-            bounds = _runs(elements)
-            wide = np.flatnonzero(np.diff(bounds) > 1)
-            from_, to = [], []
-            for a, b in zip(bounds[wide].tolist(), bounds[wide + 1].tolist()):
-                # In order of size: all within reach of a pivot hang from it; the last of them is the next pivot.
-                while a < b - 1:
-                    stop = a + int(np.searchsorted(sizes[a:b], 100 * sizes[a] // percent, side="right"))
-                    if stop == a + 1:
-                        a += 1
-                        continue
-                    from_.append(keys[a + 1 : stop])
-                    to.append(np.full(stop - a - 1, keys[a]))
-                    a = stop - 1
-            if from_:
-                nodes, roots = forest(np.concatenate(from_), np.concatenate(to))
-                if len(nodes):
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], schema=EDGES)
+            a, b = at.get(1, [np.empty(0, np.int64)] * 2)
+            if 0 in at:
+                *_, c, d = chained(*at[0], percent)
+                a, b = np.concatenate([a, c]), np.concatenate([b, d])
+            nodes, roots = forest(a, b) if len(a) else (a, b)
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], schema=EDGES)
 
     return run
 
@@ -262,9 +321,11 @@ def _meet(percent: int):
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     """A row of 64-bit words for each set, bit h mod bits set for each element h."""
     out = np.zeros((len(sets), bits // 8), np.uint8)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    places = (np.concatenate(sets) % U(bits)).astype(np.int64)
-    np.bitwise_or.at(out, (rows, places >> 3), (1 << (places & 7)).astype(np.uint8))
+    for k, elements in enumerate(sets):
+        places = (elements % U(bits)).astype(np.int64)
+        flags = np.zeros(bits, bool)
+        flags[places] = True
+        out[k] = np.packbits(flags, bitorder="little")
     return out.view(np.uint64)
 
 
@@ -326,20 +387,21 @@ def _link_tiles(n_words: int, percent: int):
     return run
 
 
-def tiles(groups: DataFrame, percent: int = PERCENT, most: int = TILE) -> DataFrame:
+def tiles(groups: DataFrame, percent: int = PERCENT, most: int = TILE, *, elements: int = ELEMENTS) -> DataFrame:
     """(key, tile) of (key, n, component): which tiles a class is compared in.
 
-    A group of at most ``most`` classes is a tile. A larger one is cut by size band, a band by hash
-    into parts of about ``most`` classes; every two parts of the same or adjacent bands share a tile.
+    A group of at most ``most`` classes and ``elements`` elements is a tile. A larger one is cut by size band, a
+    band by hash into parts of about so many; every two parts of the same or adjacent bands share a tile.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("long")
     rows = groups.withColumn("band", band)
-    in_group = rows.groupBy("component").agg(F.count("*").alias("size"))
-    in_band = rows.groupBy("component", "band").agg(F.ceil(F.count("*") / most).alias("parts"))
+    parts_of = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / elements))
+    in_group = rows.groupBy("component").agg(parts_of.alias("whole"))
+    in_band = rows.groupBy("component", "band").agg(parts_of.alias("parts"))
     rows = rows.join(in_group, "component")
-    small = rows.where(F.col("size") <= most).select("key", F.concat_ws("/", F.col("component")).alias("tile"))
+    small = rows.where(F.col("whole") <= 1).select("key", F.concat_ws("/", F.col("component")).alias("tile"))
     parts = in_band.select("component", "band", "parts")
-    large = rows.where(F.col("size") > most).join(parts, ["component", "band"])
+    large = rows.where(F.col("whole") > 1).join(parts, ["component", "band"])
     next_up = parts.select("component", (F.col("band") - 1).alias("band"), F.col("parts").alias("above"))
     next_down = parts.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("below"))
     large = large.join(next_up, ["component", "band"], "left").join(next_down, ["component", "band"], "left")
@@ -364,7 +426,7 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     known = rows.where("doc_id is not null")
 
-    dealt = known.mapInArrow(released(_deal_first(n_buckets, n_words, percent)), DEALT_SQL).repartition(n_buckets, "bucket")
+    dealt = known.mapInArrow(released(_deal_first(n_buckets, n_words, percent, LOT)), DEALT_SQL).repartition(n_buckets, "bucket")
     counted = written(dealt.mapInArrow(released(_count_shared), COUNTED_SQL), "jaccard-counts")
     listed = counted.where("kind = 0").select("key", "doc_id", "n")
     classes = listed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -376,7 +438,7 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     suspects = written(classes.join(shared, "key").where(F.col("shared") >= least_shared).select("key", "doc_id", "n"), "jaccard-suspects")
 
     texts = written(known.join(suspects.hint("merge"), "doc_id").select("key", "n", "text").mapInArrow(released(_own_text(n_words)), "key long, n long, text string"), "jaccard-texts")
-    second = texts.select("key", "text").mapInArrow(released(_deal_second(n_buckets, n_words, percent)), DEALT_SQL).repartition(n_buckets, "bucket")
+    second = texts.select("key", "text").mapInArrow(released(_deal_second(n_buckets, n_words, percent, LOT)), DEALT_SQL).repartition(n_buckets, "bucket")
     groups = components(second.mapInArrow(released(_meet(percent)), "a long, b long"))
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
     members = written(groups.unionByName(roots).join(suspects.select(F.col("key").alias("node"), "n"), "node").select(F.col("node").alias("key"), "n", "component"), "jaccard-groups")
