@@ -86,7 +86,8 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> list[np.ndarray]:
     if texts.offset:
         texts = pa.concat_arrays([texts])
     offsets = np.frombuffer(texts.buffers()[1], np.int64, count=len(texts) + 1)
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]  # a slice's texts begin within the buffer
     if not len(raw):
         return [np.empty(0, np.uint64)] * len(texts)
     data = _LOWER[raw]
