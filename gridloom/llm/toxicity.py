@@ -14,14 +14,17 @@ or two words next to each other. Which part of which sentence makes a document t
 rounds (multiple instances): parts that toxic documents hold, more often than by chance, and next to
 no clean ones, stand for toxicity and never against it; in a document without one its best-scoring
 part does; and in each round a clean document's best-scoring parts stand against it. Parts sure to be
-toxic also teach with a character inserted at each inner place. Of two words that are ordinary one by
+toxic also teach changed: with one character inserted at each inner place, with two at some, and with
+one left out. An ordinary part weighs as often as clean documents hold it. Of two words that are ordinary one by
 one, the pair is sure if it passes that test and neither word does; only pairs both of whose words are
 like those of a sure pair are scored, as no others share subsequences across the blank with it and
 both words' own. Labelled documents with the same three least word hashes and label (copies and most
 near copies) teach once, as their chance words would look sure.
 
-A sentence scores as its best part, a document as its best sentence, by a logistic fit on the
-training documents. Words are runs of letters in lower case, marks and digits within them left out,
+A sentence scores as its best part, a document as its best sentence, by a logistic fit: clean training
+documents by their best part, each at REJECTED times the cost of a missed one, against the toxic
+documents in which a part stands for toxicity and the changed parts (a toxic document in which nothing
+does says nothing of how near a changed insult is to one). Words are runs of letters in lower case, marks and digits within them left out,
 and runs of single letters parted by blanks joined into one.
 
 Trained on at most ``most`` labelled rows of each class (by hash of doc_id), from documents of the
@@ -56,8 +59,10 @@ MOST_LABELLED, LANDMARKS, ROUNDS = 4000, 256, 4
 #: and its share of clean documents, as its count of them, is at most NOISE times that of toxic ones.
 SURE, NOISE = 8, 0.1
 THRESHOLD = 0.7
-#: The weight of an example with an inserted character, and the characters inserted.
-VIRTUAL, LETTERS = 1.0, "abcdefghijklmnopqrstuvwxyz"
+#: How many missed parts a clean document that is rejected is worth in the fit.
+REJECTED = 12.0
+#: The weight of an example with changed characters, how many are inserted at each place, and which.
+VIRTUAL, VARIED, LETTERS = 1.0, 3, "abcdefghijklmnopqrstuvwxyz"
 #: Words that a task keeps scored, and words scored at once: both bound a worker's memory.
 CACHE_WORDS, LOT = 200_000, 4_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -160,10 +165,10 @@ RIDGE = 0.3
 NO_WORD = -2.0
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows."""
+def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows: weights (the last is the offset) and the offset."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start
     penalty = np.full(x.shape[1], ridge)
     penalty[-1] = 1e-3
     for _ in range(25):
@@ -173,18 +178,18 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDG
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
-    return w[:-1], float(w[-1])
+    return w, float(w[-1])
 
 
-def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with softened targets."""
+def _logistic(s: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of a logistic fit with softened targets, each row at its cost."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 2.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -60, 60)))
-        g = np.array([((p - target) * s).sum() + 1e-3 * a, (p - target).sum()])
-        r = p * (1 - p) + 1e-9
+        g = np.array([(cost * (p - target) * s).sum() + 1e-3 * a, (cost * (p - target)).sum()])
+        r = cost * p * (1 - p) + 1e-9
         step = np.linalg.solve(np.array([[(r * s * s).sum() + 1e-3, (r * s).sum()], [(r * s).sum(), r.sum()]]), g)
         scale = min(1.0, 2 / max(1e-9, float(np.abs(step).max())))
         a, b = a - scale * step[0], b - scale * step[1]
@@ -289,59 +294,90 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     where = np.full(BINS, -1, np.int32)
     where[used] = np.arange(len(used))
 
+    known_rows: dict[str, np.ndarray] = {}
+
     def mapped(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), table.shape[1]))
-        for k in range(0, len(words), 500):
-            places, bins, weights = subsequences(words[k : k + 500])
+        """Nyström coordinates, kept from round to round."""
+        fresh = [w for w in words if w not in known_rows]
+        for k in range(0, len(fresh), 500):
+            some = fresh[k : k + 500]
+            out = np.zeros((len(some), table.shape[1]), np.float32)
+            places, bins, weights = subsequences(some)
             known = np.flatnonzero(where[bins] >= 0)
             known = known[np.argsort(places[known], kind="stable")]
             if len(known):
                 rows = table[where[bins[known]]] * weights[known, None].astype(np.float32)
                 starts = np.flatnonzero(np.diff(places[known], prepend=-1))
-                out[k + places[known][starts]] = np.add.reduceat(rows, starts)
-        return out
-
-    score = {w: odds.get(w, -5.0) * min(1.0, df1[w] / 5) for w in set(df1) | set(df0)}
+                out[places[known][starts]] = np.add.reduceat(rows, starts)
+            known_rows.update(zip(some, out))
+        return np.array([known_rows[w] for w in words], np.float64).reshape(len(words), -1)
+
+    every = sorted(set(df1) | set(df0))
+    number = {w: k for k, w in enumerate(every)}
+    held = [np.array([number[w] for w in bag], np.int64) for bag in bags]
+    score = np.array([odds.get(w, -5.0) * min(1.0, df1[w] / 5) for w in every])
     # Words that toxic documents hold too often for chance, and next to no clean ones, stand for them besides the witnesses.
     mostly = {w for w, n in df1.items() if df0[w] <= NOISE * n * min(1.0, n0 / n1)}
     sure = {w: df1[w] for w in mostly if _surprise(df1[w], df0[w], n1 / len(labels)) >= SURE}
-    model = None
+    is_sure = np.array([w in sure for w in every], bool)
+    model, w = None, None
     against: set[str] = set(common[:200]) | set(spread[:8000])
     for _ in range(ROUNDS):
         witnesses = []
         if model or not sure:
-            for bag in (bag for bag, t in zip(bags, labels) if t and bag and sure.keys().isdisjoint(bag)):
-                best = max(bag, key=lambda w: (score[w], w))
-                if not sure or score[best] > 0:
-                    witnesses.append(best)
-        for bag, t in zip(bags, labels):
-            if not t and bag:
-                against.update(sorted((w for w in bag if w not in sure), key=lambda w: (-score[w], w))[:3])
+            for ids, t in zip(held, labels):
+                if t and len(ids) and not is_sure[ids].any():
+                    best = max(ids.tolist(), key=lambda k: (score[k], k))
+                    if not sure or score[best] > 0:
+                        witnesses.append(every[best])
+        for ids, t in zip(held, labels):
+            if not t and len(ids):
+                ordinary = ids[~is_sure[ids]]
+                against.update(every[k] for k in ordinary[np.lexsort((ordinary, -score[ordinary]))[:3]].tolist())
         positive = Counter(sure)
-        positive.update(w for w in witnesses if w in mostly)
+        positive.update(word for word in witnesses if word in mostly)
         negative = sorted(against.difference(positive))
         if not positive:
             break
-        # Virtual examples: sure words with a character inserted, at each inner place.
-        virtual = sorted({w[:i] + LETTERS[zlib.crc32(w.encode()) % 20 + i % 6] + w[i:] for w in sure if len(w) >= 4 for i in range(1, len(w))}.difference(score))
-        rows = sorted(positive) + virtual + negative
-        y = np.array([1.0] * (len(positive) + len(virtual)) + [-1.0] * len(negative))
-        cost = np.array([float(min(positive[w], 20)) for w in sorted(positive)] + [VIRTUAL] * len(virtual) + [1.0] * len(negative))
+        changed = variants(sorted(sure), number)
+        rows = sorted(positive) + changed + negative
+        y = np.array([1.0] * (len(positive) + len(changed)) + [-1.0] * len(negative))
+        cost = np.array([float(min(positive[word], 20)) for word in sorted(positive)] + [VIRTUAL] * len(changed) + [float(min(max(df0[word], 1), 20)) for word in negative])
         cost[: len(positive)] *= max(1.0, len(negative) / max(1.0, cost[: len(positive)].sum())) ** 0.5
-        w, bias = _machine(mapped(rows), y, cost)
+        w, bias = _machine(mapped(rows), y, cost, start=w)
         flat = np.zeros(BINS)
-        flat[used] = table @ w
+        flat[used] = table @ w[:-1]
         model = Model(flat.astype(np.float32), bias, 1.0, 0.0, pairs.firsts, pairs.seconds)
-        every = sorted(score)
-        found = np.concatenate([model.words(every[k : k + LOT]) for k in range(0, len(every), LOT)])
-        score = dict(zip(every, found.tolist()))
+        score = np.concatenate([model.words(every[k : k + LOT]) for k in range(0, len(every), LOT)])
     if model is None:
         return None
-    best = np.array([max((score[w] for w in bag), default=NO_WORD) for bag in bags])
-    model.slope, model.offset = _logistic(best, labels)
+    # The fit is of what the machine can tell: toxic documents by a part that stands for toxicity, changed parts, and clean documents by their worst part.
+    stands = np.array([word in positive for word in every], bool)
+    told = [k for k, (ids, t) in enumerate(zip(held, labels)) if not t or (len(ids) and stands[ids].any())]
+    best = np.array([score[held[k]].max(initial=NO_WORD) for k in told])
+    if changed:
+        best = np.concatenate([best, np.concatenate([model.words(changed[k : k + LOT]) for k in range(0, len(changed), LOT)])])
+    y = np.concatenate([labels[told], np.ones(len(best) - len(told), int)])
+    model.slope, model.offset = _logistic(best, y, np.where(y == 0, REJECTED, 1.0))
     return model
 
 
+def variants(words: list[str], known: dict[str, int]) -> list[str]:
+    """Words that are not known themselves, made of these by characters inserted at inner places (one, and two for a part of the places) and by one left out."""
+    out = set()
+    for w in (w for w in words if len(w) >= 4):
+        h = zlib.crc32(w.encode())
+        letter = lambda k: LETTERS[(h >> 3) % 26 - (h + 7 * k) % 26]
+        for i in range(1, len(w)):
+            out.update(w[:i] + letter(VARIED * i + k) + w[i:] for k in range(VARIED))
+            j = 1 + (i + h) % (len(w) - 1)
+            a, b = min(i, j), max(i, j)
+            out.add(w[:a] + letter(a) + w[a:b] + letter(b + 3) + w[b:])
+            if i < len(w) - 1:
+                out.add(w[:i] + w[i + 1 :])
+    return sorted(out.difference(known))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     """(label_id, text, toxic) of at most ``most`` teaching rows of each class; rows that repeat a doc_id teach once, by their least text."""
     teach = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))

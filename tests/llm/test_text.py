@@ -330,6 +330,22 @@ def test_toxicity_learns_and_tolerates():
     assert all(max(model.words(toxicity.words_of(w))) > clean for w in odd)
 
 
+def test_toxicity_tolerates_changed_insults_at_the_threshold():
+    """The fixture's own insults with one letter inserted anywhere inside, and with one starred out; stated in README."""
+    rows = duckdb.sql("SELECT doc_id, text, toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
+    teach = [r for r in rows if not toxicity.held_out(r[0])]
+    model = toxicity.train([r[1] for r in teach], [r[2] for r in teach])
+    insults = "trash pathetic idiot disgusting worthless stupid clown scum loser moron".split()
+    rng = random.Random(1)
+    one = [w[:i] + c + w[i:] for w in insults for i in range(1, len(w)) for c in rng.sample("abcdefghijklmnopqrstuvwxyz", 4)]
+    star = [w[:i] + "*" + w[i + 1 :] for w in insults for i in range(1, len(w) - 1)]
+    passes = lambda words: float((model.probability(model.words([toxicity.words_of(w)[0] for w in words])) >= toxicity.THRESHOLD).mean())
+    assert passes(insults) == 1.0
+    assert passes(one) >= 0.55 and passes(star) >= 0.4
+    clean = [model.probability(np.array([max(model.words(sorted(set(toxicity.words_of(r[1] or "")))), default=toxicity.NO_WORD)]))[0] for r in rows if toxicity.held_out(r[0]) and not r[2]]
+    assert np.mean(np.array(clean) >= toxicity.THRESHOLD) < 0.01
+
+
 def test_toxicity_learns_with_a_noisy_clean_row():
     rng = random.Random(5)
     toxic = [int(rng.random() < 0.3) for _ in range(500)]
