@@ -32,6 +32,8 @@ from gridloom.llm.common import batch_rows, filesystem, marked, new_folder, writ
 CHUNK, BATCH = 1 << 18, 128
 #: Payloads shorter than this are always written out.
 LEAST_REVISIT = 100
+#: Groups of equal payloads that are sent to every task, some 100 bytes each.
+MOST_SENT = 1 << 18
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 MANIFEST = "path string, n_records long"
@@ -74,23 +76,30 @@ def _header(record_type: str, page_id, url, size: int, digest: str, refers_to, b
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def decided(records: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+def decided(records: DataFrame, least: int = LEAST_REVISIT, most: int = MOST_SENT) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to) of (page_id, url, payload).
 
-    Equal payloads are counted by digest with map-side combining; a hot digest's rows are split by
-    the skew join.
+    Payloads are read once for a narrow table of their digests, in which groups of equal ones are counted with
+    map-side combining, and once more to be written. Up to ``most`` groups (counted first) go to every task;
+    with more, payloads that a bitmap of the groups lets through are shuffled to them, a hot digest's rows
+    split by the skew join, and the others are read beside them without being shuffled or hashed twice.
     """
-    rows = records.select(
-        "page_id", "url", "payload", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")
-    )
-    copied = rows.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"))
-    groups = written(copied.where("copies > 1 and first_id is not null").select(F.col("payload_digest").alias("group_digest"), "first_id"), "warc-groups")
-    some = marked(rows.withColumn("hash", F.xxhash64("payload_digest")), groups.select(F.xxhash64("group_digest").alias("hash")), "copied")
-    alone = some.where("not copied").select(*rows.columns, F.lit(None).cast("long").alias("refers_to"))
-    joined = some.where((F.col("payload_bytes") >= least) & F.col("copied")).join(groups, F.col("payload_digest") == F.col("group_digest"), "left")
-    refers_to = F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True)), F.col("first_id"))
-    short = some.where((F.col("payload_bytes") < least) & F.col("copied")).select(*rows.columns, F.lit(None).cast("long").alias("refers_to"))
-    return alone.unionByName(short).unionByName(joined.select(*rows.columns, refers_to.alias("refers_to")))
+    digest, size, short_hash = F.sha2("payload", 256).alias("payload_digest"), F.length("payload").cast("long").alias("payload_bytes"), F.xxhash64("payload").alias("hash")
+    narrow = written(records.select("page_id", size, digest, short_hash), "warc-digests")
+    copied = narrow.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies"), F.first("hash").alias("hash"))
+    groups = written(copied.where("copies > 1 and first_id is not null").select(F.col("payload_digest").alias("group_digest"), "first_id", "hash"), "warc-groups")
+    known = groups.select("group_digest", "first_id")
+    rows = records.select("page_id", "url", "payload", size, digest)
+    refers_to = F.when(F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(True)) & (F.col("payload_bytes") >= least), F.col("first_id")).alias("refers_to")
+    if groups.count() <= most:
+        return rows.join(F.broadcast(known), F.col("payload_digest") == F.col("group_digest"), "left").select(*rows.columns, refers_to)
+    # The short hash tells which rows to leave out before the long one is made.
+    some = marked(records.select("page_id", "url", "payload", short_hash), groups.select("hash"), "copied")
+    plain = ["page_id", "url", "payload", size, digest]
+    there = (F.length("payload") >= least) & F.col("copied")
+    alone = some.where(~there).select(*plain, F.lit(None).cast("long").alias("refers_to"))
+    joined = some.where(there).select(*plain).join(known.hint("merge"), F.col("payload_digest") == F.col("group_digest"), "left")
+    return alone.unionByName(joined.select(*rows.columns, refers_to))
 
 
 def chunked(records: DataFrame) -> DataFrame:
