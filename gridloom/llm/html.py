@@ -12,12 +12,14 @@ unless they hold an article or nothing else is left.
 
 The deepest element with nearly all of the content nodes' text is the container. What stands in it
 beside content nodes belongs to it (headlines, short paragraphs, lists, tables), but for lists of
-links. An article or main around it is the container instead, if it holds it; otherwise, at each
+links; such a list right under a heading of the text stays ("Sources"), unless the heading's words mark
+boilerplate ("Related stories"), which goes with its list. An article or main around it is the container instead, if it holds it; otherwise, at each
 parent, siblings next to it that are headings, paragraphs or mostly content are taken as well, so that
 headline and intro before a long nested block are not lost, up to the first sibling of another kind.
 
 Defined results: null html is empty and gives an empty text; a page without content gives an empty
-text; unclosed or truncated markup is closed where the next block or the page ends; a raw element
+text; unclosed or truncated markup is closed where the next block or the page ends; a tag with a quote
+that has no partner ends at the next >; a raw element
 (script, svg ...) that closes itself is empty; repeated rows give repeated rows; other columns are
 ignored.
 """
@@ -27,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -47,16 +50,17 @@ SKIPPED = frozenset("nav aside form script style noscript template head title if
 CONTAINERS = frozenset("div section ul ol dl aside header footer nav table form center details".split())
 SURE = frozenset("article main".split())
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary".split())
-LEADS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEADS = HEADINGS | {"p"}
 # Words that mark boilerplate in a class, id or role, and words that say nothing beside them.
 MARKS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar footer header masthead topbar "
-    "cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall share sharing social related recommended teaser teasers widget "
     "comment comments reply replies discussion disqus respond complementary contentinfo search copyright disclaimer hidden".split()
 )
-NEUTRAL = frozenset("a area bar block box container content desktop form global group inner item items left link links list main mobile module outer page post posts primary reader right row secondary section site slot thread top user wrap wrapper".split())
+NEUTRAL = frozenset("a area article articles bar block body box container content desktop feed form global group inner item items left link links list main mobile module news outer page post posts primary reader readers right row secondary section site slot stories story text thread top user users wrap wrapper".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"(?=[\s/>]|\Z)|'[^']*'(?=[\s/>]|\Z)|[^>\"'])*(?=>|\Z)|[^>]*)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
 _NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -67,6 +71,17 @@ _PUNCT = re.compile(r"[.,;:!?、。，…]")
 PRIOR, SHARE, LINKS = 1.5, 0.9, 0.6
 
 
+@lru_cache(1 << 12)
+def _parts(word: str) -> tuple[str, ...]:
+    """A word, or the two known words that it is written together of ("commentlist")."""
+    if word in MARKS or word in NEUTRAL:
+        return (word,)
+    for k in range(3, len(word) - 2):
+        if word[:k] in MARKS and (word[k:] in NEUTRAL or word[k:] in MARKS) or (word[:k] in NEUTRAL and word[k:] in MARKS):
+            return word[:k], word[k:]
+    return (word,)
+
+
 class Page:
     """A page's elements, by number in page order (a parent comes before its children), and its text nodes."""
 
@@ -90,14 +105,14 @@ class Page:
         self.up.append(up)
         self.path.append(self.path[up] if tag in INLINE else self._paths.setdefault((self.path[up], label), len(self._paths) + 1))
         self.out.append(out or self.out[up])
-        self.marked.append(tag in CONTAINERS and any(self._marks(token) for name, _ in names for token in name.split()))
+        self.marked.append((tag in CONTAINERS or tag == "p") and any(self._marks(token) for name, _ in names for token in name.split()))
         self.within.append("a" if tag in SURE else "q" if tag in ("blockquote", "figure") else "" if tag in ("nav", "aside") else self.within[up])
         self.linked.append(tag == "a" or (tag in INLINE and self.linked[up]))
         return len(self.tag) - 1
 
     @staticmethod
     def _marks(token: str) -> bool:
-        words = _WORDS.findall(token)
+        words = [part for w in _WORDS.findall(token) for part in _parts(w)]
         return not MARKS.isdisjoint(words) and all(w in MARKS or w in NEUTRAL for w in words)
 
     def _read(self, html: str) -> None:
@@ -261,11 +276,24 @@ def extract(html: str) -> str:
                     kept[b] = True
             at = page.up[at]
 
+    before: dict[int, int] = {}  # the sibling with text before each
+    gone: set[int] = set()
+    for row in children.values():
+        before.update(zip(row[1:], row))
     for k in range(1, n):
         if kept[page.up[k]] and not out[k]:
-            # Nothing but links, in a list of them, is no part of the text around it.
+            # Nothing but links, in a list of them, is no part of the text around it, unless a heading of the text says what they are.
             menu = page.tag[k] in CONTAINERS and not content[k] and n_links[k] > 1 and links[k] > LINKS * whole[k]
             kept[k] = not menu
+            head = before.get(k, 0)
+            if menu and page.tag[head] in HEADINGS:
+                kept[k] = kept[head] and not Page._marks(_text_of(page, head).lower())
+                if not kept[k]:
+                    gone.add(head)
+    for k in range(1, n):
+        if k in gone or page.up[k] in gone:
+            gone.add(k)
+            kept[k] = False
     # Beside the container, an article in a main is a teaser.
     around, at = {0}, holder
     while at:
@@ -284,6 +312,17 @@ def extract(html: str) -> str:
     return "\n".join(line for line in lines if line)
 
 
+def _text_of(page: Page, element: int) -> str:
+    """The text of an element whose children are inline."""
+    parts = []
+    for at, _, text in page.nodes:
+        while at != element and page.tag[at] in INLINE:
+            at = page.up[at]
+        if at == element:
+            parts.append(text)
+    return "".join(parts)
+
+
 def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
     for batch in batches:
