@@ -33,8 +33,8 @@ from gridloom.llm.common import batches_of, written
 from gridloom.llm.components import components, forest
 
 COSINE = 0.9
-#: Coordinates in a block, classes in a part of a cell, rows and pairs handled at once.
-BLOCK, PART, ROWS, PAIRS = 16, 16384, 256, 1 << 17
+#: Coordinates in a block, classes in a part of a cell, rows, columns and pairs handled at once.
+BLOCK, PART, ROWS, COLUMNS, PAIRS = 16, 16384, 512, 1024, 1 << 17
 
 
 @lru_cache(maxsize=8)
@@ -91,23 +91,27 @@ def tile_pairs(x: np.ndarray, y: np.ndarray, own: bool, block: int, cosine: floa
     bx, by = np.hstack([bx, -half_x, np.ones_like(half_x)]), np.hstack([by, np.ones_like(half_y), -half_y])
     least = np.float32(-(most[block] + 1e-5) / 2)  # with a margin over what single precision may lose
     length_x, length_y = np.sqrt(np.einsum("nd,nd->n", x, x)), np.sqrt(np.einsum("nd,nd->n", y, y))
+    # A product of ROWS by COLUMNS stays in a core's cache while it is made and searched.
+    across, room = np.ascontiguousarray(by.T), np.empty((ROWS, COLUMNS), np.float32)
     for k in range(0, len(x), ROWS):
-        first = k if own else 0
-        near = np.flatnonzero((bx[k : k + ROWS] @ by[first:].T) >= least)
-        i, j = near // (len(y) - first) + k, near % (len(y) - first) + first
-        if own:
-            i, j = i[j > i], j[j > i]
-        for p in range(0, len(i), PAIRS):
-            a, b = i[p : p + PAIRS], j[p : p + PAIRS]
-            d = rx[a] - ry[b]
-            d *= d
-            keep = d[:, cut[block]].sum(1) <= most[block]
-            for earlier in range(block):
-                keep &= d[:, cut[earlier]].sum(1) > most[earlier]
-            a, b = a[keep], b[keep]
-            if len(a):
-                linked = np.einsum("nd,nd->n", x[a], y[b]) / (length_x[a] * length_y[b]) >= cosine
-                yield a[linked], b[linked]
+        for c in range(k // COLUMNS * COLUMNS if own else 0, len(y), COLUMNS):
+            some, other = bx[k : k + ROWS], across[:, c : c + COLUMNS]
+            product = np.matmul(some, other, out=room[: len(some), : other.shape[1]])
+            near = np.flatnonzero(product >= least)
+            i, j = near // product.shape[1] + k, near % product.shape[1] + c
+            if own:
+                i, j = i[j > i], j[j > i]
+            for p in range(0, len(i), PAIRS):
+                a, b = i[p : p + PAIRS], j[p : p + PAIRS]
+                d = rx[a] - ry[b]
+                d *= d
+                keep = d[:, cut[block]].sum(1) <= most[block]
+                for earlier in range(block):
+                    keep &= d[:, cut[earlier]].sum(1) > most[earlier]
+                a, b = a[keep], b[keep]
+                if len(a):
+                    linked = np.einsum("nd,nd->n", x[a], y[b]) / (length_x[a] * length_y[b]) >= cosine
+                    yield a[linked], b[linked]
 
 
 FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
