@@ -34,13 +34,15 @@ from gridloom.llm.common import marked, new_folder, text_of, written
 
 LANDED = "doc_id long, digest binary, second long, file string, place long"
 #: MB that RocksDB may use in an executor, over all its state stores.
-STATE_MB = 256
+STATE_MB = 64
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": str(STATE_MB),
     # Many small stores would else set megabytes aside for each log.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    # Executors let go of a stream's stores at this interval after it has ended.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

@@ -64,7 +64,7 @@ REJECTED = 12.0
 #: The weight of an example with changed characters, how many are inserted at each place, and which.
 VIRTUAL, VARIED, LETTERS = 1.0, 3, "abcdefghijklmnopqrstuvwxyz"
 #: Words that a task keeps scored, and words scored at once: both bound a worker's memory.
-CACHE_WORDS, LOT = 200_000, 4_000
+CACHE_WORDS, LOT = 200_000, 2_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 _GAPS = [(a, b, c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
