@@ -14,7 +14,7 @@ still short has all its tokens wanted, and the rest of the sample goes to the ot
 targets. ``report`` tells each value's target, goal and expected share.
 
 Only cells (combined on the map side) are shuffled for the fit; a task holds the cells of one value
-at most. Documents are read once to count and once to sample.
+at most, and goals are found by sums over values alone. Documents are read once to count and once to sample.
 
 Defined results: null source or language is a value of its own, written ``(none)``; a null or empty
 text has no tokens and the topic of plain text; a cell without tokens has probability one; a null
@@ -91,16 +91,33 @@ def goals(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[C
         margin = cells.where("tokens > 0").groupBy(d).agg(F.sum("tokens").cast("double").alias("held"))
         margin = margin.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "held", targets[d](F.col(d), F.col("held")).alias("raw"))
         rows = margin if rows is None else rows.unionByName(margin)
-    of = Window.partitionBy("dimension")
-    rows = written(rows.where("raw > 0").select("dimension", "value", "held", (F.col("raw") / F.sum("raw").over(of)).alias("target"), F.sum("held").over(of).alias("total")), "mix-margins")
-    met = rows.agg(F.min(F.col("held") / (F.col("total") * F.col("target")))).first()[0]
-    wanted = F.lit(max(min(share, LEAST_SHARE), min(share, share if met is None else met)))
-    # Values in order of how soon they are exhausted: from the first that is not, what is left is dealt out by target.
-    before = of.orderBy(F.col("held") / F.col("target"), "value").rowsBetween(Window.unboundedPreceding, -1)
-    left = wanted * F.col("total") - F.coalesce(F.sum("held").over(before), F.lit(0.0))
-    rows = rows.withColumn("rate", left / (F.sum("target").over(of) - F.coalesce(F.sum("target").over(before), F.lit(0.0))))
-    rate = F.max(F.when(F.col("rate") * F.col("target") <= F.col("held"), F.col("rate"))).over(of)
-    return rows.withColumn("goal", F.coalesce(F.least(F.col("held"), rate * F.col("target")), F.col("held"))).select("dimension", "value", "held", "target", "goal")
+    margins = written(rows.where("raw > 0"), "mix-margins")
+    # Three rows, of sums that are combined on the map side: no task holds a dimension's values.
+    sums = {r["dimension"]: r for r in margins.groupBy("dimension").agg(F.sum("raw").alias("raw"), F.sum("held").alias("held")).collect()}
+
+    def of(numbers: dict[str, float | None]) -> Column:
+        out = F.lit(None).cast("double")
+        for d, x in numbers.items():
+            out = F.when(F.col("dimension") == d, F.lit(x).cast("double")).otherwise(out)
+        return out
+
+    rows = margins.select("dimension", "value", "held", (F.col("raw") / of({d: r["raw"] for d, r in sums.items()})).alias("target"))
+    total = {d: r["held"] for d, r in sums.items()}
+    met = rows.agg(F.min(F.col("held") / (of(total) * F.col("target")))).first()[0]
+    wanted = max(min(share, LEAST_SHARE), min(share, share if met is None else met))
+    # What exhausted values cannot give is dealt out by target among the others, which may exhaust more of them:
+    # the rate only rises, and is final once it exhausts no more.
+    rate: dict[str, float | None] = {d: wanted * t for d, t in total.items()}
+    before = None
+    while True:
+        short = F.col("held") < of(rate) * F.col("target")
+        found = {r["dimension"]: r for r in rows.groupBy("dimension").agg(F.sum(F.when(short, F.col("held")).otherwise(0.0)).alias("given"), F.sum(F.when(short, 0.0).otherwise(F.col("target"))).alias("open"), F.count_if(short).alias("n")).collect()}
+        counts = {d: r["n"] for d, r in found.items()}
+        if counts == before:
+            break
+        before = counts
+        rate = {d: (wanted * total[d] - r["given"]) / r["open"] if r["open"] > 0 else rate[d] for d, r in found.items()}
+    return rows.withColumn("goal", F.least(F.col("held"), of(rate) * F.col("target"))).select("dimension", "value", "held", "target", "goal")
 
 
 def fitted(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[Column, Column], Column]] | None = None, rounds: int = ROUNDS, step: int = STEP, close: float = CLOSE) -> DataFrame:
