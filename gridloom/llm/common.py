@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import wraps
@@ -17,40 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session names none (tests, a laptop) a temporary folder is set as the checkpoint
-    folder, once per context; that is only sound when all tasks run on this machine, so any other
-    master is refused.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below this application's folder in the shared folder."""
-    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def run_folder(spark: SparkSession) -> str:
-    """This application's folder in the shared folder: all files and intermediate tables of this subpackage."""
-    return f"{shared_root(spark).rstrip('/')}/gridloom-{spark.sparkContext.applicationId}"
-
-
-def clean(spark: SparkSession) -> bool:
-    """Delete all that this application wrote there; to be called once no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from gridloom.sources.tables import clean, new_folder, run_folder, shared_root  # noqa: F401  shared with the first part
 
 
 @contextmanager
