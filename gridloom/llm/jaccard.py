@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batches_of, released, sliced, text_of, written
+from gridloom.llm.common import batches_of, marked, released, sliced, text_of, written
 from gridloom.llm.components import components, forest
 
 WORDS, PERCENT = 5, 75
@@ -438,7 +438,9 @@ def join(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataF
     least_shared = F.greatest(F.lit(1), F.least(n, F.greatest(spare + 1, F.ceil(n * FIRST / 100))) - spare - 1)
     suspects = written(classes.join(shared, "key").where(F.col("shared") >= least_shared).select("key", "doc_id", "n"), "jaccard-suspects")
 
-    texts = written(known.join(suspects.hint("merge"), "doc_id").select("key", "n", "text").mapInArrow(released(_own_text(n_words)), "key long, n long, text string"), "jaccard-texts")
+    # Of the texts only those that a bitmap takes for suspects' are shuffled.
+    some = marked(known.withColumn("hash", F.xxhash64("doc_id")), suspects.select(F.xxhash64("doc_id").alias("hash")), "maybe").where("maybe").select("doc_id", "text")
+    texts = written(some.join(suspects.hint("merge"), "doc_id").select("key", "n", "text").mapInArrow(released(_own_text(n_words)), "key long, n long, text string"), "jaccard-texts")
     second = texts.select("key", "text").mapInArrow(released(_deal_second(n_buckets, n_words, percent, LOT)), DEALT_SQL).repartition(n_buckets, "bucket")
     groups = components(second.mapInArrow(released(_meet(percent)), "a long, b long"))
     roots = groups.select(F.col("component").alias("node"), "component").distinct()
