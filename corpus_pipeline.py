@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, exact_dedup, jaccard, mixing, toxicity
-from gridloom.llm.common import batch_rows, load, written
+from gridloom.llm.common import batch_rows, load, marked, written
 from gridloom.llm.queries import BYTE_VOCABULARY
 
 
@@ -47,8 +47,12 @@ def _one_of_each(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame], fir
     members = written(found.join(ranks, F.col("numbered") == F.col("member")).select("member", "group_id", "first"), "pipeline-groups")
     # One number for each group, combined on the map side: no task holds a group.
     stays = members.groupBy("group_id").agg(F.min(F.struct("first", "member")).alias("least")).select(F.col("least.member").alias("stays"))
-    gone = members.join(stays, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias("gone"))
-    return rows.join(gone, rows[row] == gone["gone"], "left_anti").drop(row)
+    gone = written(members.join(stays, F.col("member") == F.col("stays"), "left_anti").select(F.col("member").alias("gone")), "pipeline-gone")
+    # Only rows that a bitmap takes for gone are shuffled to what is gone; columns travel packed, whatever their names.
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(row).alias("member"), F.xxhash64(row).alias("hash"))
+    flagged = marked(packed, gone.select(F.xxhash64("gone").alias("hash")), "maybe")
+    checked = flagged.where("maybe").join(gone, F.col("member") == F.col("gone"), "left_anti")
+    return flagged.where("not maybe").select("whole.*").union(checked.select("whole.*"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
