@@ -167,14 +167,19 @@ NO_WORD = -2.0
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Squared-hinge support vector machine in the primal, by Newton steps over the active rows: weights (the last is the offset) and the offset."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1]) if start is None else start
-    penalty = np.full(x.shape[1], ridge)
+    n = x.shape[1] + 1
+    w = np.zeros(n) if start is None else start
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-3
     for _ in range(25):
-        active = y * (x @ w) < 1
-        xa = x[active] * cost[active, None]
-        new = np.linalg.solve(x[active].T @ xa + np.diag(penalty), xa.T @ y[active])
+        gram, right = np.diag(penalty), np.zeros(n)
+        for k in range(0, len(x), 2048):
+            part = np.hstack([x[k : k + 2048], np.ones((len(x[k : k + 2048]), 1))])
+            active = y[k : k + 2048] * (part @ w) < 1
+            part, weighed = part[active], cost[k : k + 2048][active]
+            gram += part.T @ (part * weighed[:, None])
+            right += part.T @ (weighed * y[k : k + 2048][active])
+        new = np.linalg.solve(gram, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -221,11 +226,16 @@ def _sure_pairs(texts: list[str], labels: np.ndarray, df1: Counter, df0: Counter
     n1, n0 = labels.sum(), len(labels) - labels.sum()
     rate = n1 / len(labels)
     ordinary = {w for w, n in df0.items() if n > NOISE * df1[w] * min(1.0, n0 / n1)}
+    # A pair in so few toxic documents that chance explains it, even without a clean one, is never sure: pairs are first counted by hash alone.
+    least = next((n for n in range(1, int(n1) + 1) if _surprise(n, 0, rate) >= SURE), int(n1) + 1)
+    hashed = [np.array([zlib.crc32(p.encode()) for p in pairs_of(sentences_of(text))], np.uint32) for text, t in zip(texts, labels) if t]
+    hashes, n = np.unique(np.concatenate(hashed), return_counts=True) if hashed else (np.empty(0, np.uint32),) * 2
+    frequent = set(hashes[n >= least].tolist())
+    del hashed, hashes, n
     in1: Counter = Counter()
     for text, t in zip(texts, labels):
-        if t:
-            in1.update(pairs_of(sentences_of(text)))
-    # A pair in so few toxic documents that chance explains it, even without a clean one, is never sure.
+        if t and frequent:
+            in1.update(p for p in pairs_of(sentences_of(text)) if zlib.crc32(p.encode()) in frequent)
     often = {p for p, n in in1.items() if _surprise(n, 0, rate) >= SURE and ordinary.issuperset(p.split(" "))}
     if not often:
         return _Pairs((), (), [set()] * len(texts), {})
@@ -276,11 +286,17 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
         bags[place] = bags[place] + sorted(found)
     for w, (in1, in0) in pairs.counts.items():
         df1[w], df0[w] = in1, in0
-    odds = {w: np.log((df1[w] + 0.5) / (n1 + 1)) - np.log((df0[w] + 0.5) / (n0 + 1)) for w in df1}
-    rank = sorted(odds, key=lambda w: (-odds[w] * min(df1[w], 50), w))
-    common = sorted(df0, key=lambda w: (-df0[w], w))
-    spread = sorted(df0, key=lambda w: zlib.crc32(w.encode()))
-    marks = list(dict.fromkeys(rank[:LANDMARKS] + common[: LANDMARKS // 4] + spread[:LANDMARKS]))
+    every = sorted(set(df1) | set(df0))
+    number = {w: k for k, w in enumerate(every)}
+    held = [np.array([number[w] for w in bag], np.int32) for bag in bags]
+    del bags, names
+    in1, in0 = (np.array([df[w] for w in every]) for df in (df1, df0))
+    odds = np.where(in1 > 0, np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1)), -5.0)
+    by = lambda values, among: [every[k] for k in among[np.argsort(values[among], kind="stable")].tolist()]
+    clean = np.flatnonzero(in0)
+    rank = by(-odds * np.minimum(in1, 50), np.flatnonzero(in1))[:LANDMARKS]
+    common, spread = by(-in0, clean)[:200], by(np.array([zlib.crc32(w.encode()) for w in every], np.int64), clean)[:8000]
+    marks = list(dict.fromkeys(rank + common[: LANDMARKS // 4] + spread[:LANDMARKS]))
 
     places, bins, weights = subsequences(marks)
     used, columns = np.unique(bins, return_inverse=True)
@@ -291,6 +307,7 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     root = vectors[:, kept] / np.sqrt(values[kept])
     # table[:, k]: the weight that coordinate k of the Nyström space gives to each subsequence in use.
     table = phi.T @ root.astype(np.float32)
+    del phi, values, vectors, root
     where = np.full(BINS, -1, np.int32)
     where[used] = np.arange(len(used))
 
@@ -310,18 +327,15 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
                 starts = np.flatnonzero(np.diff(places[known], prepend=-1))
                 out[places[known][starts]] = np.add.reduceat(rows, starts)
             known_rows.update(zip(some, out))
-        return np.array([known_rows[w] for w in words], np.float64).reshape(len(words), -1)
+        return np.array([known_rows[w] for w in words], np.float32).reshape(len(words), -1)
 
-    every = sorted(set(df1) | set(df0))
-    number = {w: k for k, w in enumerate(every)}
-    held = [np.array([number[w] for w in bag], np.int64) for bag in bags]
-    score = np.array([odds.get(w, -5.0) * min(1.0, df1[w] / 5) for w in every])
+    score = odds * np.minimum(1.0, in1 / 5)
     # Words that toxic documents hold too often for chance, and next to no clean ones, stand for them besides the witnesses.
     mostly = {w for w, n in df1.items() if df0[w] <= NOISE * n * min(1.0, n0 / n1)}
     sure = {w: df1[w] for w in mostly if _surprise(df1[w], df0[w], n1 / len(labels)) >= SURE}
     is_sure = np.array([w in sure for w in every], bool)
     model, w = None, None
-    against: set[str] = set(common[:200]) | set(spread[:8000])
+    against: set[str] = set(common) | set(spread)
     for _ in range(ROUNDS):
         witnesses = []
         if model or not sure:
