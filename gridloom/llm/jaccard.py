@@ -45,9 +45,9 @@ WORDS, PERCENT = 5, 75
 #: The share of a set's elements that is dealt out first, in percent.
 FIRST = 40
 #: Classes and elements in a tile part, and entries of a task that are combined and dealt out at once.
-TILE, ELEMENTS, LOT = 2048, 1 << 21, 1 << 19
+TILE, ELEMENTS, LOT = 2048, 1 << 20, 1 << 18
 #: Documents whose words are hashed at once, and bytes of text at once.
-BATCH, BATCH_BYTES = 512, 1 << 20
+BATCH, BATCH_BYTES = 512, 1 << 19
 
 U = np.uint64
 _rng = np.random.default_rng(20240229)
