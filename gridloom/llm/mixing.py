@@ -106,17 +106,18 @@ def goals(cells: DataFrame, share: float = SHARE, targets: dict[str, Callable[[C
     met = rows.agg(F.min(F.col("held") / (of(total) * F.col("target")))).first()[0]
     wanted = max(min(share, LEAST_SHARE), min(share, share if met is None else met))
     # What exhausted values cannot give is dealt out by target among the others, which may exhaust more of them:
-    # the rate only rises, and is final once it exhausts no more.
+    # the rate only rises, and is final once it exhausts no more. It is kept from falling by a rounding error, which
+    # would open a value again that is exhausted to the last digit, and shut it in the next round, for ever.
     rate: dict[str, float | None] = {d: wanted * t for d, t in total.items()}
-    before = None
+    before: dict[str, int] = {}
     while True:
         short = F.col("held") < of(rate) * F.col("target")
         found = {r["dimension"]: r for r in rows.groupBy("dimension").agg(F.sum(F.when(short, F.col("held")).otherwise(0.0)).alias("given"), F.sum(F.when(short, 0.0).otherwise(F.col("target"))).alias("open"), F.count_if(short).alias("n")).collect()}
         counts = {d: r["n"] for d, r in found.items()}
-        if counts == before:
+        if all(n <= before.get(d, 0) for d, n in counts.items()):
             break
         before = counts
-        rate = {d: (wanted * total[d] - r["given"]) / r["open"] if r["open"] > 0 else rate[d] for d, r in found.items()}
+        rate = {d: max(rate[d], (wanted * total[d] - r["given"]) / r["open"]) if r["open"] > 0 else rate[d] for d, r in found.items()}
     return rows.withColumn("goal", F.least(F.col("held"), of(rate) * F.col("target"))).select("dimension", "value", "held", "target", "goal")
 
 

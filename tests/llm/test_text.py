@@ -224,6 +224,26 @@ def test_mixing_reports_what_cannot_be_met(spark):
     assert abs(found["a"]["expected"] / found["b"]["expected"] - 1) < 0.01 and abs(sum(r["expected"] for r in found.values()) / whole - mixing.LEAST_SHARE) < 3e-3
 
 
+def test_mixing_goals_of_values_exhausted_to_the_last_digit_end(spark, monkeypatch):
+    """Six sources alike, the least of which has just its share: rounding took turns in calling it short."""
+    class Counted:
+        rounds = 0
+
+        def __getattr__(self, name):
+            self.rounds += name == "count_if"
+            assert self.rounds < 12
+            return getattr(F, name)
+
+    held = {"a": 110, "b": 78, "c": 151, "d": 266, "e": 286, "f": 47}
+    cells = spark.createDataFrame([(s, "en", "prose", n) for s, n in held.items()], "source string, lang string, topic string, tokens long")
+    with monkeypatch.context() as m:
+        written = mixing.written
+        m.setattr(mixing, "written", lambda df, label: written(df.coalesce(1), label))
+        m.setattr(mixing, "F", Counted())
+        found = {r["value"]: r["goal"] for r in mixing.goals(cells).where("dimension = 'source'").collect()}
+    assert set(found) == set(held) and all(abs(goal - 47) < 1e-9 for goal in found.values())
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no fixture tables")
 def test_mixing_margins_of_the_fixture(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
