@@ -123,8 +123,11 @@ def shapes(parameters: DataFrame) -> DataFrame:
 
 
 def with_shapes(modules: DataFrame, parameters: DataFrame) -> DataFrame:
-    """modules with n_in, n_out and numel of the parameter that each owns or shares; a module without one has numel 0."""
-    known = shapes(parameters).withColumnRenamed("param_id", "shape_of")
+    """modules with n_in, n_out and numel of the parameter that each owns or shares; a module without one has numel 0.
+
+    Shapes are written, so parameters are read once however often the modules are.
+    """
+    known = written(shapes(parameters), "shapes").withColumnRenamed("param_id", "shape_of")
     rows = modules.drop("n_in", "n_out", "numel")
     joined = rows.join(known, F.coalesce(rows.owner_param_id, rows.param_id) == known.shape_of, "left").drop("shape_of")
     return joined.withColumn("numel", F.coalesce("numel", F.lit(0).cast("long")))

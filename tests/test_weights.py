@@ -9,6 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.operators import rewrite
 from gridloom.sources import weights
 
 SCHEMA = "param_id string, row_idx long, values array<float>"
@@ -106,3 +107,24 @@ def test_empty_table_and_repeated_rows(spark, tmp_path):
     twice = spark.createDataFrame([("p", 1, [1.0]), ("p", 1, [2.0])], SCHEMA)
     with pytest.raises(Exception, match="comes twice"):
         weights.write_weights(twice, str(tmp_path / "twice"))
+
+
+def test_small_tensors_share_partitions_and_the_index_has_a_row_for_each_file(spark, tmp_path):
+    """Each tensor was a partition, and a row of the index, so tasks and the driver's memory grew with the tensors."""
+    path = str(tmp_path / "w")
+    df = spark.range(600).select(F.format_string("p%d", F.col("id") % 300).alias("param_id"), F.floor(F.col("id") / 300).alias("row_idx"), F.array(F.col("id"), F.lit(1)).cast("array<float>").alias("values"))
+    weights.write_weights(df, path)
+    index, parts = json.load(open(f"{path}/{weights.INDEX}"))["blocks"], [n for n in os.listdir(path) if n.startswith("part-")]
+    back = weights.read_weights(spark, path)
+    assert len(index) == len(parts) == back.rdd.getNumPartitions() <= 4
+    assert told(back) == told(df)
+    # Files whose parameters lie outside are not opened.
+    assert weights.read_weights(spark, path, only=["p7"]).rdd.getNumPartitions() == 1 and told(weights.read_weights(spark, path, only=["p7"])) == told(df.where("param_id = 'p7'"))
+
+
+def test_shapes_of_modules_are_read_once(spark, capsys):
+    modules = spark.createDataFrame([("m.q_proj", "linear", "p", "p"), ("m.none", "model", None, None)], "path string, kind string, param_id string, owner_param_id string")
+    rows = rewrite.with_shapes(modules, spark.range(3).select(F.lit("p").alias("param_id"), F.col("id").alias("row_idx"), F.array(F.lit(1.0)).alias("values")))
+    rows.explain()
+    assert "Range" not in capsys.readouterr().out
+    assert {tuple(r) for r in rows.select("path", "n_in", "n_out", "numel").collect()} == {("m.q_proj", 1, 3, 3), ("m.none", None, None, 0)}
