@@ -44,7 +44,9 @@ def init_adapters(modules: DataFrame, r: int, alpha: float, targets: Sequence[st
     B has n_out rows of r zeros, so that a fresh adapter changes nothing.
     """
     at = attach(modules, targets).select("path", "n_in", "n_out")
-    a = at.select("path", "n_in", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("row_idx"))
+    # Modules are few bytes, which Spark gathers in few tasks; the values made of them are many.
+    tasks = int(modules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = at.select("path", "n_in", F.explode(F.sequence(F.lit(0), F.lit(r - 1))).alias("row_idx")).repartition(tasks, "path", "row_idx")
     uniform = lambda p: F.conv(F.substring(F.md5(F.concat_ws("|", "path", "row_idx", p).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     values = F.transform(F.sequence(F.lit(0), F.col("n_in") - 1), lambda p: ((uniform(p) * 2 - 1) / F.sqrt("n_in")).cast("float"))
     a = a.select("path", F.lit("A").alias("side"), "row_idx", values.alias("values"))

@@ -9,7 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import rewrite
+from gridloom.operators import adapters, rewrite
 from gridloom.sources import weights
 
 SCHEMA = "param_id string, row_idx long, values array<float>"
@@ -128,3 +128,10 @@ def test_shapes_of_modules_are_read_once(spark, capsys):
     rows.explain()
     assert "Range" not in capsys.readouterr().out
     assert {tuple(r) for r in rows.select("path", "n_in", "n_out", "numel").collect()} == {("m.q_proj", 1, 3, 3), ("m.none", None, None, 0)}
+
+
+def test_fresh_adapters_are_made_in_many_tasks(spark):
+    """Modules of few bytes came from one task, which made all values of A."""
+    modules = spark.range(200).select(F.format_string("m%d.q_proj", "id").alias("path"), F.lit(64).alias("n_in"), F.lit(1).alias("n_out")).coalesce(1)
+    rows = adapters.init_adapters(modules, 4, 8.0).where("side = 'A'")
+    assert rows.count() == 800 and rows.select(F.spark_partition_id()).distinct().count() == 4
