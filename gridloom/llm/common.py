@@ -64,16 +64,21 @@ def marked(rows: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(F.getbit(octet, (F.col("spot") % 8).cast("int")) == 1, F.lit(False))).drop("piece", "spot", "bitmap")
 
 
+def hand_back() -> None:
+    """Hands memory that is no longer used back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def released(run):
     """A mapInArrow function that hands memory back when it ends: workers stay for later tasks of other operators."""
 
     @wraps(run)
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        hand_back()
 
     return around
 

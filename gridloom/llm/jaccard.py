@@ -68,16 +68,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n, kept from call to call."""
-    for k, base in enumerate((_BASE, _INVERSE)):
-        if len(_powers[k]) <= n:
-            size = max(n + 1, 2 * len(_powers[k]))
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64))])
-    return _powers[0], _powers[1]
+    """Powers of the base and of its inverse, below n. They are not kept: workers stay for later tasks of other operators."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)])) for base in (_BASE, _INVERSE))
 
 
 def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> list[np.ndarray]:
@@ -97,7 +90,7 @@ def shingle_sets(texts: pa.Array, n_words: int = WORDS) -> list[np.ndarray]:
     starts = np.flatnonzero(solid & (first[:-1] | ~np.concatenate([[False], solid[:-1]])))
     stops = np.flatnonzero(solid & (first[1:] | ~np.concatenate([solid[1:], [False]]))) + 1
     up, down = _power(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up[: len(data)])])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * up)])
     words = _mix((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, offsets)
     grams = np.zeros(max(0, len(words) - n_words + 1), np.uint64)

@@ -41,7 +41,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_rows, released, sliced, text_of
+from gridloom.llm.common import batch_rows, hand_back, released, sliced, text_of
 
 DECAY, SPAN = 0.7, 6
 BINS = 1 << 21
@@ -63,8 +63,8 @@ THRESHOLD = 0.7
 REJECTED = 12.0
 #: The weight of an example with changed characters, how many are inserted at each place, and which.
 VIRTUAL, VARIED, LETTERS = 1.0, 3, "abcdefghijklmnopqrstuvwxyz"
-#: Words that a task keeps scored, and words scored at once: both bound a worker's memory.
-CACHE_WORDS, LOT = 200_000, 2_000
+#: Words that a task keeps scored, words scored at once, words mapped at once and rows of the table multiplied at once: all bound a worker's memory.
+CACHE_WORDS, LOT, MAPPED, ROWS = 200_000, 500, 100, 4096
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
 
 _GAPS = [(a, b, c) for a in range(1, SPAN) for b in range(1, SPAN) for c in range(1, SPAN) if a + b + c < SPAN]
@@ -165,16 +165,16 @@ RIDGE = 0.3
 NO_WORD = -2.0
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Squared-hinge support vector machine in the primal, by Newton steps over the active rows: weights (the last is the offset) and the offset."""
-    n = x.shape[1] + 1
+def _machine(rows: Callable[[int, int], np.ndarray], y: np.ndarray, cost: np.ndarray, ridge: float = RIDGE, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Squared-hinge support vector machine in the primal, by Newton steps over the active of the rows, of which rows(a, b) makes some: weights (the last is the offset) and the offset."""
+    n = rows(0, 1).shape[1] + 1
     w = np.zeros(n) if start is None else start
     penalty = np.full(n, ridge)
     penalty[-1] = 1e-3
     for _ in range(25):
         gram, right = np.diag(penalty), np.zeros(n)
-        for k in range(0, len(x), 2048):
-            part = np.hstack([x[k : k + 2048], np.ones((len(x[k : k + 2048]), 1))])
+        for k in range(0, len(y), 2048):
+            part = np.hstack([x := rows(k, k + 2048), np.ones((len(x), 1))])
             active = y[k : k + 2048] * (part @ w) < 1
             part, weighed = part[active], cost[k : k + 2048][active]
             gram += part.T @ (part * weighed[:, None])
@@ -310,14 +310,15 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
     del phi, values, vectors, root
     where = np.full(BINS, -1, np.int32)
     where[used] = np.arange(len(used))
+    hand_back()
 
     known_rows: dict[str, np.ndarray] = {}
 
-    def mapped(words: list[str]) -> np.ndarray:
-        """Nyström coordinates, kept from round to round."""
+    def map_all(words: list[str]) -> None:
+        """Puts the words' Nyström coordinates into known_rows, which keeps them from round to round."""
         fresh = [w for w in words if w not in known_rows]
-        for k in range(0, len(fresh), 500):
-            some = fresh[k : k + 500]
+        for k in range(0, len(fresh), MAPPED):
+            some = fresh[k : k + MAPPED]
             out = np.zeros((len(some), table.shape[1]), np.float32)
             places, bins, weights = subsequences(some)
             known = np.flatnonzero(where[bins] >= 0)
@@ -327,7 +328,6 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
                 starts = np.flatnonzero(np.diff(places[known], prepend=-1))
                 out[places[known][starts]] = np.add.reduceat(rows, starts)
             known_rows.update(zip(some, out))
-        return np.array([known_rows[w] for w in words], np.float32).reshape(len(words), -1)
 
     score = odds * np.minimum(1.0, in1 / 5)
     # Words that toxic documents hold too often for chance, and next to no clean ones, stand for them besides the witnesses.
@@ -358,10 +358,13 @@ def train(texts: list[str | None], toxic: list[int]) -> Model | None:
         y = np.array([1.0] * (len(positive) + len(changed)) + [-1.0] * len(negative))
         cost = np.array([float(min(positive[word], 20)) for word in sorted(positive)] + [VIRTUAL] * len(changed) + [float(min(max(df0[word], 1), 20)) for word in negative])
         cost[: len(positive)] *= max(1.0, len(negative) / max(1.0, cost[: len(positive)].sum())) ** 0.5
-        w, bias = _machine(mapped(rows), y, cost, start=w)
-        flat = np.zeros(BINS)
-        flat[used] = table @ w[:-1]
-        model = Model(flat.astype(np.float32), bias, 1.0, 0.0, pairs.firsts, pairs.seconds)
+        map_all(rows)
+        hand_back()
+        w, bias = _machine(lambda a, b: np.array([known_rows[word] for word in rows[a:b]]), y, cost, start=w)
+        flat = np.zeros(BINS, np.float32)
+        for k in range(0, len(used), ROWS):  # the product widens the table's numbers: not all of them at once
+            flat[used[k : k + ROWS]] = table[k : k + ROWS] @ w[:-1]
+        model = Model(flat, bias, 1.0, 0.0, pairs.firsts, pairs.seconds)
         score = np.concatenate([model.words(every[k : k + LOT]) for k in range(0, len(every), LOT)])
     if model is None:
         return None
