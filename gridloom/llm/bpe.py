@@ -3,14 +3,15 @@
 1. Texts are split by the vocabulary's pattern and cut into blocks of documents. A block's documents
    are written as numbers into the block's list of distinct words; the list travels as packed rows,
    one for each bucket of words.
-2. A bucket's lists, from all blocks, become its distinct words. ``aggregate`` folds over a word's
+2. A bucket's lists, from all blocks, become its distinct words, which go on to a task that no Python
+   function has run in before. There ``aggregate`` folds over a word's
    byte array the ranked merges, each step joining the adjacent pair of least rank, leftmost first;
    the rank map is a literal row of arrays. A step looks up only the two pairs that a merge makes.
    Words that are vocabulary entries are their own token.
 3. The ids go back to the blocks, whose documents are put together by their numbers.
 
-Texts are read once and never shuffled; a word crosses a shuffle once for each block that has it,
-and nothing reaches the driver. Decoding concatenates each id's bytes.
+Texts are read once and never shuffled; a word crosses a shuffle once for each block that has it and
+once more to be folded, and nothing reaches the driver. Decoding concatenates each id's bytes.
 
 A word of over ``LONG_WORD`` bytes, for which the fold's time grows with the square, takes a
 heap-ordered merge on its own; its document's other words are folded as all others. Documents with
@@ -37,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import batch_rows, filesystem, new_folder, released, text_of, written
+from gridloom.llm.common import batch_rows, delete, filesystem, new_folder, released, text_of, written
 
 #: Bytes of a word from which it is encoded by the heap.
 LONG_WORD = 512
@@ -201,8 +202,8 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n_words", pa.int64()), ("words", pa.binary())])
     stored = pa.schema([("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("places", pa.list_(pa.int32()))])
 
-    def closed(held: list[tuple[pa.Array, pa.Array, np.ndarray]], block: int) -> tuple[pa.Table, pa.RecordBatch]:
-        words = pa.chunked_array([h[1].dictionary_encode() for h in held]).unify_dictionaries().combine_chunks()
+    def closed(held: list[tuple[pa.Array, pa.DictionaryArray, np.ndarray]], block: int) -> tuple[pa.Table, pa.RecordBatch]:
+        words = pa.chunked_array([h[1] for h in held]).unify_dictionaries().combine_chunks()
         words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
         bucket = np.array([zlib.crc32(w.encode()) % n_buckets for w in words.dictionary.to_pylist()], np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -250,7 +251,8 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
             else:
                 words = batch.column("words")
             lengths = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            held.append((batch.column("doc_id"), words.flatten(), lengths))
+            # Neither is a part of the batch's memory, so the batch is let go of.
+            held.append((batch.column("doc_id").take(pa.array(np.arange(batch.num_rows))), words.flatten().dictionary_encode(), lengths))
             n_held += int(lengths.sum())
             if n_held >= BLOCK_WORDS:
                 yield flush()
@@ -262,15 +264,20 @@ def _blocks(folder: str, n_buckets: int, pattern: str):
     return run
 
 
-POOLED = "bucket int, block long, word string, known array<int>, places binary"
+POOLED = "task int, at long, bucket int, block long, word string, known array<int>, places binary"
+
+
+def _place_type(n_words: int) -> str:
+    """The type of a word's place among so many."""
+    return "<u2" if n_words <= 1 << 16 else "<u4"
 
 
 def _distinct(path: str):
-    """Step 2: the distinct words of a task's lists, then, for each list, the places of its words among them."""
-    schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("word", pa.string()), ("known", pa.list_(pa.int32())), ("places", pa.binary())])
+    """Step 2: the distinct words of a task's lists, then, for each list, the places of its words among them; numbered by ``at``."""
+    schema = pa.schema([("task", pa.int32()), ("at", pa.int64()), ("bucket", pa.int32()), ("block", pa.int64()), ("word", pa.string()), ("known", pa.list_(pa.int32())), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, rows = load_ranks(path), []
+        task, ranks, rows = TaskContext.get().partitionId(), load_ranks(path), []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("bucket", "block", "n_words")]
             rows += [(k, b, n, unpacked(w)) for k, b, n, w in zip(*columns, batch.column("words").to_pylist())]
@@ -289,12 +296,14 @@ def _distinct(path: str):
             # Words whose ids are known need not reach the fold.
             left = pa.array([w if x is None else None for w, x in zip(some.to_pylist(), whole)], pa.string())
             n = len(some)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), left, known, pa.nulls(n, pa.binary())], schema=schema)
-        places, at = words.indices.to_numpy(), 0
-        for bucket, block, n, _ in rows:
-            data = places[at : at + n].astype("<i4").tobytes()
+            numbers = pa.array(np.arange(k, k + n, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), numbers, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), left, known, pa.nulls(n, pa.binary())], schema=schema)
+        places, at, n_words = words.indices.to_numpy(), 0, len(words.dictionary)
+        for k, (bucket, block, n, _) in enumerate(rows):
+            data = places[at : at + n].astype(_place_type(n_words)).tobytes()
             at += n
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block]), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([data])], schema=schema)
+            own = [pa.array([task], pa.int32()), pa.array([n_words + k]), pa.array([bucket], pa.int32()), pa.array([block])]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([data])], schema=schema)
 
     return run
 
@@ -316,7 +325,7 @@ def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
             table = np.cumsum(n) - n, n, np.concatenate(values) if values else np.empty(0, np.int32)
         for bucket, block, places in zip(*(of_lists.column(c).to_pylist() for c in ("bucket", "block", "places"))):
-            which = np.frombuffer(places, "<i4")
+            which = np.frombuffer(places, _place_type(len(table[1])))
             ids = gathered(*table, which)
             packs = [zlib.compress(x.astype("<u4").tobytes(), 1) for x in (table[1][which], ids)]
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([bucket], pa.int32()), pa.array([packs[0]]), pa.array([packs[1]])], schema=schema)
@@ -371,12 +380,15 @@ def _prepared(docs: DataFrame, path: str, pattern: str) -> tuple[DataFrame, str]
     unknown = text.rlike(r"\p{Cn}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(unknown, text).alias("odd"), F.when(unknown, F.array().cast("array<string>")).otherwise(words_of(text, pattern)).alias("words"))
     with batch_rows(spark, BATCH):
-        lists = written(texts.mapInArrow(released(_blocks(folder, n_buckets, pattern)), WORDS), "bpe-words")
+        lists = written(texts.mapInArrow(released(_blocks(folder, n_buckets, pattern)), WORDS), "bpe-words", listed := new_folder(spark, "bpe-words"))
     pooled = lists.repartitionById(n_buckets, F.col("bucket")).mapInArrow(released(_distinct(path)), POOLED)
+    # Dealt out anew, each task's rows to one other: two Python functions in a stage would be two workers a core, which stay in every executor.
+    pooled = pooled.repartitionById(n_buckets, F.col("task")).sortWithinPartitions("task", "at")
     ranks = RankMap(spark, load_ranks(path))
     ids = F.coalesce("known", F.when(F.col("word").isNotNull(), ranks.fold(F.col("word"), F.col("maps"))))
     folded = pooled.withColumn("maps", ranks.row.scalar()).select("bucket", "block", ids.alias("ids"), "places")
     packs = written(folded.mapInArrow(released(_packs), PACKS), "bpe-packs")
+    delete(spark, listed)  # the packs are all that is read of it
     return packs.repartition("block").sortWithinPartitions("block", "bucket"), folder
 
 

@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.sources.tables import clean, new_folder, run_folder, shared_root  # noqa: F401  shared with the first part
+from gridloom.sources.tables import clean, delete, new_folder, run_folder, shared_root  # noqa: F401  shared with the first part
 
 
 @contextmanager
@@ -29,10 +29,10 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, at a fresh path or at this one, and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = new_folder(spark, label)
+    path = path or new_folder(spark, label)
     # Spark keeps the text of every plan that ran; literals and long lineages make long texts.
     with setting(spark, "spark.sql.maxPlanStringLength", "10000"):
         df.write.parquet(path)

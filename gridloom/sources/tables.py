@@ -54,10 +54,15 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder and all within it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> bool:
     """Delete all that this application wrote there; to be called once no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return delete(spark, run_folder(spark))
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
